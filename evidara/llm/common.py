@@ -55,6 +55,16 @@ def one_chunk(column) -> pa.Array:
     return column
 
 
+def in_pieces(batches, most: int = 6_000_000):
+    """The same rows in batches of at most ``most`` text bytes (or one row), to bound a task's memory."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def split_words(column) -> tuple[pa.Array, np.ndarray]:
     """All words of a text column in order, and where each text's words begin (one more entry than texts)."""
     text = pc.fill_null(one_chunk(column).cast(pa.large_string()), "")

@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm.common import table, texts
+from evidara.llm.common import in_pieces, table, texts
 
 KINDS = ("email", "ip", "card", "phone", "account", "url")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -148,7 +148,7 @@ def personal_data(docs: DataFrame, redact: bool = True) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 base, added = find(text or "", automaton)
@@ -167,7 +167,7 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
-        for batch in batches:
+        for batch in in_pieces(batches):
             hid = [t if t is None else hidden(t, [s for part in find(t, automaton) for s in part]) for t in batch["text"].to_pylist()]
             new = {"text": hid, "n_chars": [t if t is None else len(t) for t in hid]}
             columns = [pa.array(new[f.name], f.type) if f.name in new else batch[f.name] for f in batch.schema]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import rolling, split_words, table, texts
+from evidara.llm.common import in_pieces, rolling, split_words, table, texts
 
 ITEM_CHARS, LEAST, WORDS_PER_EDIT = 8_000_000, 5, 10
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$|<>-_/"
@@ -164,7 +164,7 @@ def _matcher(part: pa.Table, least: int):
         for length, entries in by_length.items():
             entries.sort()
             lookup[length] = (np.array([e[0] for e in entries], np.uint64), entries)
-        for batch in batches:
+        for batch in in_pieces(batches):
             codes, offsets, place = normal_codes(batch["text"])
             starts: dict[tuple[int, int], set[int]] = {}
             for length, (keys, entries) in lookup.items():

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import crc_bucket, rolling, split_words, table, texts, window_starts
+from evidara.llm.common import crc_bucket, in_pieces, rolling, split_words, table, texts, window_starts
 
 BUCKETS, DIMENSIONS, STEPS, FIT_ROWS, THRESHOLD = 1 << 17, 8, 60, 3000, 0.7
 SHARPNESS, SHRINK = 3.0, 3e-5
@@ -144,7 +144,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every whole text."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(batch["text"]))], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(score, "doc_id long, score double")
@@ -154,7 +154,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     """The rows, all columns as they are, whose text scores under ``threshold``."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             yield batch.filter(pa.array(model.score(batch["text"]) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
