@@ -29,6 +29,7 @@ from evidara.llm.common import covered, rolling, runs, scramble, table, window_s
 
 LENGTH, GRAM, RUN = 50, 6, 20
 SCHEMA = "doc_id long, start long, end long, n_words long, n_removable long, passage string"
+NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 
 
 def minimisers(codes: np.ndarray, offsets: np.ndarray, gram: int, run: int) -> np.ndarray:
@@ -64,7 +65,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
         inside[window_starts(block.offsets, reach)] = True
         return _key(block, np.flatnonzero(minimisers(block.codes, block.offsets, gram, run) & inside), reach)
 
-    bounds = repeats.plan_groups(blocks, lambda block: suffixes(block)[1] >> np.uint64(48))
+    bounds = repeats.plan_groups(docs, lambda block: suffixes(block)[1] >> np.uint64(48))
     seeds = repeats.answers(blocks, suffixes, bounds)
 
     def extended(block: repeats.Words, answer: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +76,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
         return _key(block, starts[until[starts + run] > until[starts]], length)
 
     def send(texts: pa.Table, answer: pa.Table) -> pa.Table:
-        block = repeats.Words(texts)
-        return repeats.packed(int(texts["block"][0].as_py()), extended(block, answer)[1], bounds)
+        block = texts["block"][0].as_py()
+        return repeats.packed(block, extended(repeats.Words(texts), answer)[1] if block >= 0 else np.empty(0, np.uint64), bounds)
 
     def spans(texts: pa.Table, both: pa.Table) -> pa.Table:
+        if texts["block"][0].as_py() < 0:  # NULL ids
+            return pa.table({name: pa.array([], kind) for name, kind in zip(NAMES, [pa.int64()] * 5 + [pa.string()], strict=True)})
         block = repeats.Words(texts)
         of = [both.filter(pc.equal(both["round"], k)) for k in (1, 2)]
         at, keys = extended(block, of[0])
@@ -89,10 +92,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
         passages = pa.array([" ".join(block.words.slice(x, y - x).to_pylist()) for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.string())
         return pa.table({"doc_id": pa.array(block.doc_id[i], pa.int64()), "start": a - block.offsets[i], "end": b - block.offsets[i], "n_words": b - a, "n_removable": n[b] - n[a], "passage": passages})
 
-    known = blocks.filter("block >= 0")
-    matched = repeats.answered(known, seeds, send, "grp long, block long, keys binary")
+    matched = repeats.answered(blocks, seeds, send, "grp long, block long, keys binary")
     replies = seeds.selectExpr("*", "1 as round").unionByName(repeats.compared(matched).selectExpr("*", "2 as round"))
-    return repeats.answered(known, replies, spans, SCHEMA)
+    return repeats.answered(blocks, replies, spans, SCHEMA)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

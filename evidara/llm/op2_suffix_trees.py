@@ -44,7 +44,7 @@ def leading(block: repeats.Words, width: int = WINDOW) -> np.ndarray:
 def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) and the removed word spans."""
     blocks = repeats.in_blocks(docs)
-    bounds = repeats.plan_groups(blocks, lambda block: leading(block, width))
+    bounds = repeats.plan_groups(docs, lambda block: leading(block, width))
     keys = lambda block: suffix_keys(block, width)
     reply = repeats.answers(blocks, keys, bounds)
 

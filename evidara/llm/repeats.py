@@ -12,7 +12,7 @@ distinct keys that is expected n*n/2**65 times, far under one for 10**9 keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import code_words, split_words, texts
+from evidara.llm.common import code_words, in_pieces, split_words, texts
 
 #: Words in a block and keys in a group; they set the memory of one task.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 GROUP_KEYS = 2_000_000
 
 
@@ -68,20 +68,23 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("block", block("doc_id"))
 
 
-def plan_groups(blocks: DataFrame, leading: Callable[[Words], np.ndarray]) -> np.ndarray:
+def plan_groups(docs: DataFrame, leading: Callable[[Words], np.ndarray]) -> np.ndarray:
     """Bounds of key ranges that hold about GROUP_KEYS keys each, from a census of the keys' leading 16 bits.
 
     The leading byte stands for a sequence's first word and the next byte for its second, so a range is a set of word
     prefixes: rare first words share a range, a frequent one is split by the second word, and a range that is still
-    too large by further bits of the whole sequence's hash.  At most 65,536 counts reach the driver.
+    too large by further bits of the whole sequence's hash.  The census reads the documents where they lie; at most
+    65,536 counts reach the driver.
     """
 
-    def count(docs: pa.Table) -> pa.Table:
-        found = np.bincount(leading(Words(docs)).astype(np.int64), minlength=1 << 16)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << 16, np.int64)
+        for batch in in_pieces(batches):
+            found += np.bincount(leading(Words(pa.Table.from_batches([batch]))).astype(np.int64), minlength=1 << 16)
         used = np.flatnonzero(found)
-        return pa.table({"prefix": used, "n": found[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], names=["prefix", "n"])
 
-    rows = blocks.filter("block >= 0").groupBy("block").applyInArrow(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts(docs).filter("doc_id is not null").mapInArrow(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << 16, np.int64)
     counts[rows["prefix"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     bounds, held = [0], 0
@@ -117,7 +120,8 @@ def _decode(blob: bytes) -> np.ndarray:
 
 
 def packed(block: int, keys: np.ndarray, bounds: np.ndarray) -> pa.Table:
-    """A block's distinct keys, one row for each key range that it has keys in."""
+    """A block's distinct keys, one row for each key range that it has keys in; none of the block of NULL ids."""
+    keys = keys[: len(keys) * (block >= 0)]
     distinct = np.unique(keys)
     cut = np.searchsorted(distinct, bounds)
     parts = [(g, distinct[a:b]) for g, (a, b) in enumerate(zip(cut, [*cut[1:], len(distinct)], strict=True)) if b > a]
@@ -149,8 +153,12 @@ def compared(sent: DataFrame) -> DataFrame:
 
 def answers(blocks: DataFrame, keys: Keys, bounds: np.ndarray) -> DataFrame:
     """What the key ranges answer each block about the keys of its documents."""
-    send = lambda docs: packed(docs["block"][0].as_py(), keys(Words(docs))[1], bounds)
-    return compared(blocks.filter("block >= 0").groupBy("block").applyInArrow(send, "grp long, block long, keys binary"))
+
+    def send(docs: pa.Table) -> pa.Table:
+        block = docs["block"][0].as_py()
+        return packed(block, keys(Words(docs))[1] if block >= 0 else np.empty(0, np.uint64), bounds)
+
+    return compared(blocks.groupBy("block").applyInArrow(send, "grp long, block long, keys binary"))
 
 
 def judge(block: Words, positions: np.ndarray, keys: np.ndarray, answer: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,5 +179,8 @@ def judge(block: Words, positions: np.ndarray, keys: np.ndarray, answer: pa.Tabl
 
 
 def answered(blocks: DataFrame, reply: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Bring each block's documents and answers together."""
+    """Bring each block's documents and answers together.
+
+    The documents are dealt as in ``answers``, from the same table and columns, so that Spark deals them once.
+    """
     return blocks.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(work, schema)
