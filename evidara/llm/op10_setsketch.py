@@ -9,13 +9,15 @@ probability of their Jaccard similarity.
 * Equal sets collapse first (two 64-bit sums over the set), so copies cost one representative.
 * Band: 32 bands of 4 registers.  Representatives at similarity 0.8 miss all bands with probability 5e-8.
 * Estimate: the joint likelihood of (larger, equal, smaller) registers and the two set sizes gives the similarity;
-  pairs more than four standard errors under the threshold go.  Sizes alone also rule out pairs.
-* Verify: exact intersection of the full sets.
+  a pair more than four standard errors under the threshold is not likely.  Sizes alone also rule out pairs.
+* Verify: exact intersections of the full sets.
 
-In a bucket nobody is paired with everybody.  First all members pair with the bucket's smallest id.  Links make
-components; buckets that still hold several components are looked at again: within such a bucket sketches are
-compared in blocks, only between components, and a member proposes its best partner in each other component; then, once
-more, all remaining pairs that the estimate allows.  Pairs inside a component can't change the result.
+In a bucket nobody is paired with everybody.  First all members pair with the bucket's smallest id; likely pairs make
+families.  A bucket that still holds several families compares its members' sketches across them inside one task and
+sends on one likely pair for two families, no more.  So all pairs that share a bucket and are likely end up in one
+family.  A family's full sets then meet in one task, each sent once; there each member's intersections with all others are
+counted at once, and a link is sent on only if it joins what was not joined before.  Large buckets and families are cut
+into chunks of bounded size and every two chunks meet, so that no pair is lost and no task grows.
 
 Nulls and edges: documents without words have n_shingles 0, link with nothing and are their own component; a NULL
 doc_id gets a NULL component and is not kept; repeated doc_ids are one document of the graph per row content;
@@ -32,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import code_words, durable, rolling, split_words, table, texts, window_starts
+from evidara.llm.common import code_words, durable, in_pieces, rolling, split_words, table, texts, window_starts
 
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.0005, 20.0
+#: Members of a bucket's chunk and shingles of a family's chunk; they set the memory of one task.
+BUCKET_ROWS, FAMILY_SHINGLES = 4096, 1_500_000
 SIGNATURE = "doc_id long, n_shingles long, sum1 long, sum2 long, registers binary"
 _FACTORS = np.random.default_rng(20240229).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -85,7 +89,7 @@ def registers_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             values, offsets = shingle_sets(batch["text"], width)
             registers = registers_of(values, offsets)
             total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
@@ -129,6 +133,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def in_chunks(rows: DataFrame, group: str, weight, most: int) -> DataFrame:
+    """Adds own, low and high: a group of more than ``most`` weight is cut into chunks by a hash of rep, and every two
+    chunks (low, high) meet in one task; a smaller group is one chunk."""
+    total = rows.groupBy(group).agg(F.sum(weight).alias("_weight"))
+    n = F.ceil(F.col("_weight") / most)
+    cut = rows.join(total, group).withColumn("_n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")))
+    met = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return met.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_weight", "_n", "_other")
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links at 100 * intersection >= percent * union, confirmed on full sets."""
     signed = durable(signatures(docs, width))
@@ -136,20 +150,10 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     same = ["n_shingles", "sum1", "sum2"]
     reps = durable(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")))
     band = F.posexplode(F.array(*[F.xxhash64(F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(REGISTERS // ROWS)]))
-    keyed = reps.select("rep", "n_shingles", band.alias("band", "value")).select("rep", "n_shingles", F.xxhash64("band", "value").alias("bucket"))
+    keyed = reps.select("rep", band.alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = durable(keyed.join(shared.select("bucket", "center"), "bucket"))
     sized = reps.select("rep", "n_shingles", "registers")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs a, b whose full sets reach the threshold."""
-        nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        whole = texts(docs).join(nodes, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-        left, right = whole.toDF("a", "set_a"), whole.toDF("b", "set_b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - common
-        return pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * union).select("a", "b")
-
     floor = percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     @F.pandas_udf("double")
@@ -157,26 +161,25 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
         stack = lambda s: np.frombuffer(b"".join(s), np.uint16).reshape(len(s), REGISTERS)
         return pd.Series(estimate(stack(a), stack(b), n_a.to_numpy(), n_b.to_numpy()))
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        a, b = sized.toDF("a", "n_a", "registers_a"), sized.toDF("b", "n_b", "registers_b")
-        near = pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return near.filter(likely("registers_a", "registers_b", "n_a", "n_b") >= floor).select("a", "b")
-
-    tried = durable(promising(members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()))
-    links = durable(verified(tried))
-    for every in (False, True):
-        labels = components(links)
-        placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
-        between = placed.join(mixed, "bucket").join(sized.select("rep", "registers"), "rep").select("bucket", "rep", "component", "n_shingles", "registers")
-        found = between.groupBy("bucket").applyInArrow(_between(percent, floor, every), "a long, b long").distinct()
-        fresh = durable(found.join(tried, ["a", "b"], "left_anti"))
-        more = durable(verified(fresh))
-        if more.isEmpty():
-            continue
-        tried, links = tried.union(fresh), durable(links.union(more))
-    labels = components(links)
-    classes = reps.select(*same, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    a, b = sized.toDF("a", "n_a", "registers_a"), sized.toDF("b", "n_b", "registers_b")
+    near = stars.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    edges = durable(near.filter(likely("registers_a", "registers_b", "n_a", "n_b") >= floor).select("a", "b"))
+
+    def with_family(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+
+    placed = with_family(members, components(edges))
+    mixed = placed.groupBy("bucket").agg(F.min("family").alias("least"), F.max("family").alias("most")).filter("least < most").select("bucket")
+    between = placed.join(mixed, "bucket").join(sized, "rep").select("bucket", "rep", "family", "n_shingles", "registers")
+    more = in_chunks(between, "bucket", F.lit(1), BUCKET_ROWS).groupBy("bucket", "low", "high").applyInArrow(_likely_across(percent, floor), "a long, b long").distinct()
+    edges = durable(edges.union(more))
+
+    families = components(edges).toDF("rep", "family")
+    whole = texts(docs).join(families.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles array<long>")
+    held = whole.join(families, "rep").withColumn("n", F.size("shingles"))
+    links = in_chunks(held, "family", "n", FAMILY_SHINGLES).groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long")
+    classes = with_family(reps.select(*same, "rep"), components(durable(links))).select(*same, F.col("family").alias("component_id"))
     placed = signed.select("doc_id", *same).join(classes, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -191,44 +194,72 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             values, offsets = shingle_sets(batch["text"], width)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], names=["rep", "shingles"])
 
     return sets
 
 
-def _between(percent: int, floor: float, every: bool):
-    """Pairs of one bucket across components: each member's best partner in each other component, or every likely one."""
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(axis=1, initial=np.iinfo(np.int64).max), "b": pairs.max(axis=1, initial=np.iinfo(np.int64).min)})
+
+
+def _likely_across(percent: int, floor: float):
+    """One likely pair for each two families of a bucket's chunks that have one, as far as not joined by others."""
 
-    def propose(bucket: pa.Table) -> pa.Table:
-        rep, n, component = (bucket[c].to_numpy() for c in ("rep", "n_shingles", "component"))
+    def across(bucket: pa.Table) -> pa.Table:
+        rep, n, label, own = (bucket[c].to_numpy() for c in ("rep", "n_shingles", "family", "own"))
         sketch = np.frombuffer(b"".join(bucket["registers"].to_pylist()), np.uint16).reshape(len(rep), REGISTERS)
-        order = np.lexsort((n, component))
-        rep, n, component, sketch = rep[order], n[order], component[order], sketch[order]
-        heads = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
-        sizes = np.diff([*heads, len(rep)])
-        largest = component[heads[np.argmax(sizes)]]
-        out: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(component != largest):  # each pair across components has such a member
-            lo_hi = np.flatnonzero((100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (component != component[i]))
-            if not len(lo_hi):
-                continue
-            likely = estimate(sketch[lo_hi], sketch[[i]], n[lo_hi], n[i])
-            good = likely >= floor
-            cand, score = lo_hi[good], likely[good]
-            if not every:
-                best: dict[int, tuple[float, int]] = {}
-                for j, s in zip(cand.tolist(), score.tolist(), strict=True):
-                    key = int(component[j])
-                    if key not in best or s > best[key][0]:
-                        best[key] = (s, j)
-                cand = [j for _, j in best.values()]
-            out.update((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for j in cand)
-        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return propose
+        apart = bucket["low"][0].as_py() != bucket["high"][0].as_py()
+        names, sizes = np.unique(label, return_counts=True)
+        found = []
+        for i in np.flatnonzero(label != names[sizes.argmax()]):  # one of any two families isn't the largest
+            fits = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (label != label[i])
+            if apart:
+                fits &= own != own[i]
+            other = np.flatnonzero(fits)
+            if len(other):
+                other = other[estimate(sketch[other], sketch[[i]], n[other], n[i]) >= floor]
+            for family, j in zip(*np.unique(label[other], return_index=True), strict=True):
+                found.append((int(rep[i]), int(rep[other[j]])))
+                label = np.where(label == family, label[i], label)
+        return _pairs(found)
+
+    return across
+
+
+def _linked(percent: int):
+    """Links between the full sets of a family's chunks, those that join what no link before has joined."""
+
+    def linked(family: pa.Table) -> pa.Table:
+        rep, own = family["rep"].to_numpy(), family["own"].to_numpy()
+        apart = family["low"][0].as_py() != family["high"][0].as_py()
+        order = np.argsort(rep, kind="stable")
+        order = order[np.concatenate([[True], rep[order][1:] != rep[order][:-1]])]  # a repeated row counts once
+        rep, own = rep[order], own[order]
+        sets = [family["shingles"][int(i)].values.to_numpy() for i in order]
+        n = np.array([len(s) for s in sets])
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        names, code = np.unique(np.concatenate(sets), return_inverse=True)
+        label, found = np.arange(len(rep)), []
+        for i in range(len(rep)):
+            if (label == label[i]).all():
+                break
+            mark = np.zeros(len(names), np.int64)
+            mark[code[begin[i] : begin[i] + n[i]]] = 1
+            common = np.add.reduceat(mark[code], begin)
+            near = (100 * common >= percent * (n + n[i] - common)) & (label != label[i])
+            if apart:
+                near &= own != own[i]
+            for j in np.flatnonzero(near):
+                if label[j] != label[i]:
+                    found.append((int(rep[i]), int(rep[j])))
+                    label = np.where(label == label[j], label[i], label)
+        return _pairs(found)
+
+    return linked
 
 
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
