@@ -16,8 +16,10 @@ In a bucket nobody is paired with everybody.  First all members pair with the bu
 families.  A bucket that still holds several families compares its members' sketches across them inside one task and
 sends on one likely pair for two families, no more.  So all pairs that share a bucket and are likely end up in one
 family.  A family's full sets then meet in one task, each sent once; there each member's intersections with all others are
-counted at once, and a link is sent on only if it joins what was not joined before.  Large buckets and families are cut
-into chunks of bounded size and every two chunks meet, so that no pair is lost and no task grows.
+counted at once, and a link is sent on only if it joins what was not joined before.  Large families are cut into chunks
+that all meet the first chunk; then what that has not joined into one component meets the rest, chunk by chunk, and
+likewise in large buckets.  So no pair that could matter is lost, no task grows, and a huge group of near copies of one
+another is sent a fixed number of times.
 
 Nulls and edges: documents without words have n_shingles 0, link with nothing and are their own component; a NULL
 doc_id gets a NULL component and is not kept; repeated doc_ids are one document of the graph per row content;
@@ -133,14 +135,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def in_chunks(rows: DataFrame, group: str, weight, most: int) -> DataFrame:
-    """Adds own, low and high: a group of more than ``most`` weight is cut into chunks by a hash of rep, and every two
-    chunks (low, high) meet in one task; a smaller group is one chunk."""
-    total = rows.groupBy(group).agg(F.sum(weight).alias("_weight"))
-    n = F.ceil(F.col("_weight") / most)
-    cut = rows.join(total, group).withColumn("_n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")))
-    met = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return met.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_weight", "_n", "_other")
+def in_chunks(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Deals rows of (group, label, weight) to tasks (group, low, high) in which all pairs of unlike labels meet.
+
+    A group of up to ``most`` weight is one chunk.  In a larger one the label with the most weight is cut into chunks of
+    its own, which never meet one another; the other rows' chunks meet those and each other.  So a group that is nearly all
+    of one label is sent once, whatever its size.  Groups of a single label are left out.
+    """
+    by_label = rows.groupBy(group, "label").agg(F.sum("weight").alias("w"))
+    total = by_label.groupBy(group).agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"))
+    chunks = lambda w: F.greatest(F.ceil(w / most), F.lit(1))
+    total = total.filter("w > w_main").select(group, "main", (F.col("w") <= most).alias("small"), chunks(F.col("w_main")).alias("n_main"), chunks(F.col("w") - F.col("w_main")).alias("n_rest"))
+    cut, spread = rows.join(total, group), F.xxhash64("rep")
+    is_main = F.col("label") == F.col("main")
+    own = F.when(F.col("small"), 0).when(is_main, F.pmod(spread, F.col("n_main"))).otherwise(F.col("n_main") + F.pmod(spread, F.col("n_rest")))
+    last = F.col("n_main") + F.col("n_rest") - 1
+    other = F.when(F.col("small"), F.array(F.lit(0).cast("long"))).when(is_main, F.sequence(F.col("n_main"), last)).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    met = cut.withColumn("own", own.cast("long")).withColumn("_other", F.explode(other))
+    return met.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).select(*rows.columns, "own", "low", "high")
+
+
+def to_anchor(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """As ``in_chunks``, but every chunk only meets the group's first."""
+    total = rows.groupBy(group).agg(F.greatest(F.ceil(F.sum("weight") / most), F.lit(1)).alias("n"))
+    cut = rows.join(total, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")))
+    met = cut.withColumn("high", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array("own"))))
+    return met.withColumn("low", F.lit(0).cast("long")).select(*rows.columns, "own", "low", "high", "n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -171,15 +191,20 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
 
     placed = with_family(members, components(edges))
     mixed = placed.groupBy("bucket").agg(F.min("family").alias("least"), F.max("family").alias("most")).filter("least < most").select("bucket")
-    between = placed.join(mixed, "bucket").join(sized, "rep").select("bucket", "rep", "family", "n_shingles", "registers")
-    more = in_chunks(between, "bucket", F.lit(1), BUCKET_ROWS).groupBy("bucket", "low", "high").applyInArrow(_likely_across(percent, floor), "a long, b long").distinct()
+    between = placed.join(mixed, "bucket").join(sized, "rep").select("bucket", "rep", F.col("family").alias("label"), "n_shingles", "registers", F.lit(1).alias("weight"))
+    more = in_chunks(between, "bucket", BUCKET_ROWS).groupBy("bucket", "low", "high").applyInArrow(_likely_across(percent, floor), "a long, b long").distinct()
     edges = durable(edges.union(more))
 
     families = components(edges).toDF("rep", "family")
     whole = texts(docs).join(families.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles array<long>")
-    held = whole.join(families, "rep").withColumn("n", F.size("shingles"))
-    links = in_chunks(held, "family", "n", FAMILY_SHINGLES).groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long")
-    classes = with_family(reps.select(*same, "rep"), components(durable(links))).select(*same, F.col("family").alias("component_id"))
+    held = whole.dropDuplicates(["rep"]).join(families, "rep").withColumn("weight", F.size("shingles"))
+    met = to_anchor(held.withColumn("label", F.col("rep")), "family", FAMILY_SHINGLES)
+    links = durable(met.groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long"))
+    if not held.groupBy("family").agg(F.sum("weight").alias("w")).filter(F.col("w") > FAMILY_SHINGLES).isEmpty():
+        # in families of several chunks, what the first chunk has not joined meets the rest
+        so_far = held.join(components(links).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        links = durable(links.union(in_chunks(so_far, "family", FAMILY_SHINGLES).groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long")))
+    classes = with_family(reps.select(*same, "rep"), components(links)).select(*same, F.col("family").alias("component_id"))
     placed = signed.select("doc_id", *same).join(classes, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -210,7 +235,7 @@ def _likely_across(percent: int, floor: float):
     """One likely pair for each two families of a bucket's chunks that have one, as far as not joined by others."""
 
     def across(bucket: pa.Table) -> pa.Table:
-        rep, n, label, own = (bucket[c].to_numpy() for c in ("rep", "n_shingles", "family", "own"))
+        rep, n, label, own = (bucket[c].to_numpy() for c in ("rep", "n_shingles", "label", "own"))
         sketch = np.frombuffer(b"".join(bucket["registers"].to_pylist()), np.uint16).reshape(len(rep), REGISTERS)
         apart = bucket["low"][0].as_py() != bucket["high"][0].as_py()
         names, sizes = np.unique(label, return_counts=True)
@@ -236,14 +261,11 @@ def _linked(percent: int):
     def linked(family: pa.Table) -> pa.Table:
         rep, own = family["rep"].to_numpy(), family["own"].to_numpy()
         apart = family["low"][0].as_py() != family["high"][0].as_py()
-        order = np.argsort(rep, kind="stable")
-        order = order[np.concatenate([[True], rep[order][1:] != rep[order][:-1]])]  # a repeated row counts once
-        rep, own = rep[order], own[order]
-        sets = [family["shingles"][int(i)].values.to_numpy() for i in order]
+        sets = [x.values.to_numpy() for x in family["shingles"]]
         n = np.array([len(s) for s in sets])
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
         names, code = np.unique(np.concatenate(sets), return_inverse=True)
-        label, found = np.arange(len(rep)), []
+        label, found = family["label"].to_numpy(), []
         for i in range(len(rep)):
             if (label == label[i]).all():
                 break
