@@ -1,6 +1,7 @@
 """Near-duplicate classes by SetSketch registers.
 
-A document's set holds its distinct 2-word shingles (with fewer words the whole sequence).  For each of 128 registers
+A document's set holds its distinct shingles of ``width`` words, five by default and two in the query (with fewer words
+the whole sequence).  For each of 128 registers
 every shingle has an exponential variate of rate 20; the register keeps the smallest one, x, as the integer
 floor(1 - log_b x) truncated to 0..65535 with b = 1.0005: exponentially spaced minima.  Equal sets have equal
 registers, the union's register is the larger of two registers, and two sets agree on a register with about the
@@ -163,7 +164,7 @@ def to_anchor(rows: DataFrame, group: str, most: int) -> DataFrame:
     return met.withColumn("low", F.lit(0).cast("long")).select(*rows.columns, "own", "low", "high", "n")
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links at 100 * intersection >= percent * union, confirmed on full sets."""
     signed = durable(signatures(docs, width))
     real = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -211,9 +212,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows, all columns as they are, but those that another document of their class stands for."""
-    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = near_duplicates(docs, width, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -285,7 +286,7 @@ def _linked(percent: int):
 
 
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 SQL = """
