@@ -26,6 +26,8 @@ from evidara.llm.common import table
 from evidara.llm.op3_line_frequency import words_of
 
 BLOCK, SHARD, CHUNK_DOCS, PIECE = 64, 1024, 2000, 4096
+#: Chunks of documents for each task that makes slots.
+TASK_CHUNKS = 8
 TOTAL, MOST = 1.5, 2
 #: Multipliers of the permutations; a prime that does not divide n permutes 0..n-1.
 PRIMES = (1000003, 999983, 999979)
@@ -36,7 +38,11 @@ def _permuted(at, n, shift):
     return F.pmod(at * factor + shift, n)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def chunks_of(docs: DataFrame) -> int:
+    return -(-docs.select("doc_id").count() // CHUNK_DOCS) or 1
+
+
+def packed(docs: DataFrame, n_chunks: int) -> DataFrame:
     """doc_id, source, mark (the source as a non-null key), size and offset in the source's stream."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -46,7 +52,6 @@ def packed(docs: DataFrame) -> DataFrame:
         F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("")).alias("digest"),
         F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long").alias("spread"),
     )
-    n_chunks = -(-sized.select("doc_id").count() // CHUNK_DOCS) or 1
     sized = sized.withColumn("chunk", F.col("spread") % n_chunks).drop("spread")
     before = Window.partitionBy("mark").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("mark", "chunk").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,10 +82,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return plan.select("source", "mark", "source_size", "target", "n_blocks", "base", "extra", "n_slots", F.coalesce(F.sum("n_slots").over(before), F.lit(0)).alias("first_slot"), F.sum("n_slots").over(one).alias("all_slots"))
 
 
-def slots(plan: DataFrame) -> DataFrame:
-    """mark, block, shard, slot: what each place of the mix holds."""
+def slots(plan: DataFrame, n_chunks: int) -> DataFrame:
+    """mark, block, shard, slot: what each place of the mix holds.
+
+    The number of tasks is given, as the few rows that become many slots would else be put into one.
+    """
     pieces = plan.filter("n_slots > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"(n_slots - 1) div {PIECE}"))))
-    spread = pieces.repartition("mark", "piece")
+    spread = pieces.repartition(-(-n_chunks // TASK_CHUNKS), "mark", "piece")
     each = spread.withColumn("j", F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("piece") * PIECE + PIECE, F.col("n_slots")) - 1)))
     lap = F.expr("j div n_blocks")
     place = _permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(7919))
@@ -103,24 +111,29 @@ def pieces(stream: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    stream = packed(docs)
+    """doc_id, size, source_size, target and taken of every document.
+
+    Joins of what was exploded ask for a merge join: estimates don't see the explosion and would broadcast it.
+    """
+    n_chunks = chunks_of(docs)
+    stream = packed(docs, n_chunks)
     plan = targets(stream.groupBy("mark", "source").agg(F.sum("size").alias("source_size")))
-    times = slots(plan).groupBy("mark", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces(stream, plan).join(times, ["mark", "block"]).groupBy("mark", "offset").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    times = slots(plan, n_chunks).groupBy("mark", "block").agg(F.count(F.lit(1)).alias("times"))
+    taken = pieces(stream, plan).join(times.hint("merge"), ["mark", "block"]).groupBy("mark", "offset").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     keyed = stream.withColumn("offset", F.when(F.col("size") > 0, F.col("offset")))  # blank texts have no place
-    out = keyed.join(taken, ["mark", "offset"], "left").join(plan.select("mark", "source_size", "target"), "mark")
+    out = keyed.join(taken.hint("merge"), ["mark", "offset"], "left").join(plan.select("mark", "source_size", "target"), "mark")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
     """shard, slot, source mark and the words of the block there: the mix itself."""
-    stream = packed(docs.filter("doc_id is not null"))
+    n_chunks = chunks_of(docs)
+    stream = packed(docs.filter("doc_id is not null"), n_chunks)
     plan = targets(stream.groupBy("mark", "source").agg(F.sum("size").alias("source_size")))
     text = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    part = pieces(stream, plan).join(text, "doc_id").select("mark", "block", F.struct("offset", F.slice("words", F.col("from").cast("int") + 1, F.col("n").cast("int")).alias("words")).alias("part"))
+    part = pieces(stream, plan).hint("merge").join(text, "doc_id").select("mark", "block", F.struct("offset", F.slice("words", F.col("from").cast("int") + 1, F.col("n").cast("int")).alias("words")).alias("part"))
     blocks = part.groupBy("mark", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["words"])).alias("words"))
-    return slots(plan).join(blocks, ["mark", "block"]).select("shard", "slot", "mark", "words")
+    return slots(plan, n_chunks).join(blocks.hint("merge"), ["mark", "block"]).select("shard", "slot", "mark", "words")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
