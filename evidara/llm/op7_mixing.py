@@ -120,7 +120,8 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = targets(stream.groupBy("mark", "source").agg(F.sum("size").alias("source_size")))
     times = slots(plan, n_chunks).groupBy("mark", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = pieces(stream, plan).join(times.hint("merge"), ["mark", "block"]).groupBy("mark", "offset").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    keyed = stream.withColumn("offset", F.when(F.col("size") > 0, F.col("offset")))  # blank texts have no place
+    nowhere = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))  # blank texts have no place, and not all the same key
+    keyed = stream.withColumn("offset", F.when(F.col("size") > 0, F.col("offset")).otherwise(nowhere))
     out = keyed.join(taken.hint("merge"), ["mark", "offset"], "left").join(plan.select("mark", "source_size", "target"), "mark")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
