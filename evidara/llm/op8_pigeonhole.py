@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are rows of words: ASCII white space splits, A-Z are lower-cased, punctuation at a word's ends goes.
-An item of m words may differ by k = m // 10 word edits.  It is split into k + 1 pieces; k edits leave one piece
+An item of m words may differ by k = m // 6 word edits.  It is split into k + 1 pieces; k edits leave one piece
 untouched, so a text that holds the item holds a piece exactly.  Piece hits come from rolling hashes looked up in the
 sorted hashes of all pieces of a length.  Around each hit Myers' bit-parallel recurrence over words computes the
 item's smallest edit distance to any stretch of the text, and a second run backwards finds where the stretch begins.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import in_pieces, rolling, split_words, table, texts
 
-ITEM_CHARS, LEAST, WORDS_PER_EDIT = 8_000_000, 5, 10
+ITEM_CHARS, LEAST, WORDS_PER_EDIT = 8_000_000, 5, 6
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$|<>-_/"
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, start long, end long"
 
