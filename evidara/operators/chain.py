@@ -68,6 +68,6 @@ def relink(log: DataFrame, content: str = "content", seq: str = "seq") -> DataFr
             links.append((previous, previous := hashlib.sha256((previous + text).encode()).hexdigest()))
         return pd.DataFrame({"seq": rows["seq"], "previous_hash": [a for a, _ in links], "row_hash": [b for _, b in links]})
 
-    lean = log.select(F.col(seq).alias("seq"), F.col(content).alias("content"))
-    anew = lean.groupBy(F.lit(0)).applyInPandas(fold, "seq long, previous_hash string, row_hash string")
+    lean = log.select(F.col(seq).alias("seq"), F.col(content).alias("content"), F.lit(0).alias("chain"))
+    anew = lean.groupBy("chain").applyInPandas(fold, "seq long, previous_hash string, row_hash string")
     return log.drop("previous_hash", "row_hash").join(anew.withColumnRenamed("seq", seq), seq)

@@ -60,3 +60,16 @@ def test_band_join_equals_naive_join(spark, values, seed):
     got = {(r.a, r.b, r.distance) for r in neighbours.hamming_within(df, df, 12, 6).collect()}
     bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
     assert got == {(i, j, bits(a, b)) for i, a in enumerate(values) for j, b in enumerate(values) if i != j and bits(a, b) <= 12}
+
+
+def test_vector_hashes(spark):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=64)
+    df = spark.createDataFrame([(v.tolist(),)], "v array<float>")
+    row = df.select(hashing.mean_hash(F.col("v")).alias("m"), hashing.gradient_hash(F.col("v")).alias("g"), hashing.median_hash(F.col("v")).alias("d"), hashing.dot(hashing.unit(F.col("v")), hashing.unit(F.col("v"))).alias("n")).first()
+    x = v.astype(np.float32).astype(float)
+    number = lambda bits: int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+    grid = x.reshape(8, 8)
+    assert row.m == number(x > x.mean()) and row.d == number(x > np.median(x)) and row.g == number((grid < np.roll(grid, -1, axis=1)).ravel())
+    assert math.isclose(row.n, 1.0)
