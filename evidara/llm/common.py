@@ -55,7 +55,7 @@ def one_chunk(column) -> pa.Array:
     return column
 
 
-def in_pieces(batches, most: int = 6_000_000):
+def in_pieces(batches, most: int = 3_000_000):
     """The same rows in batches of at most ``most`` text bytes (or one row), to bound a task's memory."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import crc_bucket, in_pieces, rolling, split_words, table, texts, window_starts
 
-BUCKETS, DIMENSIONS, STEPS, FIT_ROWS, THRESHOLD = 1 << 17, 8, 60, 2500, 0.7
+BUCKETS, DIMENSIONS, STEPS, FIT_ROWS, THRESHOLD = 1 << 17, 8, 60, 1500, 0.7
 SHARPNESS, SHRINK = 3.0, 3e-5
 #: At most so many characters are learnt from; whole texts, smallest hashes first.
-FIT_CHARS = 40_000_000
+FIT_CHARS = 20_000_000
 
 
 def subwords(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
