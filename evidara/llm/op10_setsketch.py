@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     held = whole.dropDuplicates(["rep"]).join(families, "rep").withColumn("weight", F.size("shingles"))
     met = to_anchor(held.withColumn("label", F.col("rep")), "family", FAMILY_SHINGLES)
     links = durable(met.groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long"))
-    if not held.groupBy("family").agg(F.sum("weight").alias("w")).filter(F.col("w") > FAMILY_SHINGLES).isEmpty():
+    large = families.join(sized, "rep").groupBy("family").agg(F.sum("n_shingles").alias("w")).filter(F.col("w") > FAMILY_SHINGLES)
+    if not large.isEmpty():
         # in families of several chunks, what the first chunk has not joined meets the rest
         so_far = held.join(components(links).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         links = durable(links.union(in_chunks(so_far, "family", FAMILY_SHINGLES).groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long")))
