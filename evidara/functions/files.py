@@ -122,6 +122,19 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def uuid5(namespace: str, name: Column) -> Column:
+    """Name-based UUID (version 5) under a namespace UUID."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def digest_of(fields: dict[str, Column]) -> Column:
+    """sha256 of the canonical JSON of named fields: keys sorted, no blanks, missing ones as null."""
+    ordered = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+
+
 def row_hash(previous: Column, content: Column) -> Column:
     """Link of a hash chain: sha256 over the previous link's hash and the content."""
     return F.sha2(F.concat(previous, content).cast("binary"), 256)

@@ -68,7 +68,7 @@ def usable_scores(spark: SparkSession, d: str) -> DataFrame:
     """Values over a hundred as scores: those over 1 are dropped, not clamped; and a ramp of what is left."""
     s = scores.usable(F.col("value") / 100)
     ramp = scores.ramp(s, [(0.1, 0.0), (0.3, 0.3), (0.8, 0.9)], 0.6)
-    return table(spark, d, "events").select("event_id", F.round(s, 6).alias("score"), F.round(ramp, 5).alias("ramp"), scores.abstains(s).alias("abstains"))
+    return table(spark, d, "events").select("event_id", F.round(s, 6).alias("score"), F.round(ramp, 5).alias("ramp"), F.coalesce(scores.abstains(s), F.lit(True)).alias("abstains"))
 
 
 def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,13 @@ def match_basis(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", distance.alias("distance"), hashing.band(distance).alias("band"), basis.alias("basis")).filter("distance is not null")
 
 
+def examination_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of an examination's fixed fields, one of them missing now and then."""
+    e = table(spark, d, "events")
+    fields = {"user_id": F.col("user_id"), "event_type": F.col("event_type"), "event_id": F.when(F.col("event_id") % 5 > 0, F.col("event_id"))}
+    return e.select("event_id", files.digest_of(fields).alias("digest"))
+
+
 _B = "CASE WHEN event_id % 5 <> {0} THEN (event_id >> {0}) % 2 = 1 END"
 QUERIES = {
     "perceptual_signal": (
@@ -120,7 +127,7 @@ SELECT a.k AS p_partkey, concat_ws(',', CASE WHEN abs(a.w / a.h - c.w / c.h) > 0
     "usable_scores": (
         usable_scores,
         """WITH s AS (SELECT event_id, CASE WHEN value / 100 BETWEEN 0 AND 1 THEN value / 100 END AS s FROM events)
-SELECT event_id, round(s, 6) AS score, round(CASE WHEN s IS NOT NULL THEN least(0.6::DOUBLE, CASE WHEN s <= 0.1::DOUBLE THEN 0::DOUBLE WHEN s <= 0.3::DOUBLE THEN (s - 0.1::DOUBLE) * 1.5 WHEN s <= 0.8::DOUBLE THEN 0.3::DOUBLE + (s - 0.3::DOUBLE) * 1.2 ELSE 0.9::DOUBLE END) END, 5) AS ramp, abs(s - 0.5::DOUBLE) < 0.15::DOUBLE AS abstains FROM s""",
+SELECT event_id, round(s, 6) AS score, round(CASE WHEN s IS NOT NULL THEN least(0.6::DOUBLE, CASE WHEN s <= 0.1::DOUBLE THEN 0::DOUBLE WHEN s <= 0.3::DOUBLE THEN (s - 0.1::DOUBLE) * 1.5 WHEN s <= 0.8::DOUBLE THEN 0.3::DOUBLE + (s - 0.3::DOUBLE) * 1.2 ELSE 0.9::DOUBLE END) END, 5) AS ramp, coalesce(abs(s - 0.5::DOUBLE) < 0.15::DOUBLE, true) AS abstains FROM s""",
     ),
     "evidence_rows": (evidence_rows, "SELECT doc_id, sha256(text) AS sha256, n_chars AS size_bytes, substr(split_part(text, chr(10), 1), 1, 64) AS title, strftime(make_timestamp((1767225600 + doc_id * 3601) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ingested_at FROM documents"),
     "match_basis": (
@@ -129,4 +136,5 @@ SELECT event_id, round(s, 6) AS score, round(CASE WHEN s IS NOT NULL THEN least(
 s AS (SELECT *, CASE WHEN same THEN 0 WHEN p <= 12 THEN p WHEN least(p, dh, ah) <= 12 THEN least(p, dh, ah) END AS distance FROM e)
 SELECT event_id, distance, CASE WHEN distance <= 6 THEN 'strong' ELSE 'possible' END AS band, concat_ws('+', CASE WHEN same THEN 'bytes' END, CASE WHEN p <= 12 THEN 'phash' END, CASE WHEN dh <= 12 THEN 'dhash' END, CASE WHEN ah <= 12 THEN 'ahash' END) AS basis FROM s WHERE distance IS NOT NULL""",
     ),
+    "examination_digest": (examination_digest, """SELECT event_id, sha256('{"event_id":' || CASE WHEN event_id % 5 > 0 THEN CAST(event_id AS VARCHAR) ELSE 'null' END || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS digest FROM events"""),
 }

@@ -31,7 +31,7 @@ def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage_edges(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d).filter("id % 1000 < 4")
-    return lineage.edges(n, _matches(spark, d))
+    return lineage.edges(n, _matches(spark, d)).withColumn("distance", F.col("distance").cast("string"))
 
 
 def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,8 @@ QUERIES = {
     "lineage_edges": (
         lineage_edges,
         f"""WITH {_N}, {_M}, s AS (SELECT * FROM n WHERE id % 1000 < 4)
-SELECT parent_id AS source, id AS target, 'recorded_parent' AS relation, NULL::INTEGER AS distance, false AS verified FROM s WHERE parent_id IN (SELECT id FROM s)
-UNION ALL SELECT query, candidate, 'near_duplicate_candidate', distance, true FROM mt WHERE query IN (SELECT id FROM s) AND candidate IN (SELECT id FROM s)""",
+SELECT parent_id AS source, id AS target, 'recorded_parent' AS relation, NULL::VARCHAR AS distance, false AS verified FROM s WHERE parent_id IN (SELECT id FROM s)
+UNION ALL SELECT query, candidate, 'near_duplicate_candidate', CAST(distance AS VARCHAR), true FROM mt WHERE query IN (SELECT id FROM s) AND candidate IN (SELECT id FROM s)""",
     ),
     "lineage_nodes": (
         lineage_nodes,

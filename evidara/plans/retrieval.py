@@ -39,7 +39,7 @@ def multi_signal_verify(spark: SparkSession, d: str) -> DataFrame:
     same = (F.col("query") % 100) == (F.col("candidate") % 100)  # stands for equal bytes
     pool = neighbours.hamming_top_k(h, h, 15).withColumn("same_bytes", same)
     ranked = neighbours.ranked_candidates(pool, neighbours.cosine_top_k(v, v, 3, 0.3), 15, 5, 20)
-    return ranked.select("query", "candidate", "distance", "rank", "band")
+    return ranked.select("query", "candidate", F.col("distance").cast("string").alias("distance"), "rank", "band")
 
 
 def min_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,7 @@ both_ AS (SELECT coalesce(r.query, c.query) AS query, coalesce(r.candidate, c.ca
   FROM (SELECT * FROM ranked WHERE rank <= 15) r FULL JOIN (SELECT * FROM cosr WHERE rank <= 3) c ON r.query = c.query AND r.candidate = c.candidate),
 kept AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coalesce(same_bytes, false) DESC, coalesce(distance, 999), greatest(1 - distance / 64.0::DOUBLE, s) DESC, candidate) AS rank
   FROM both_ WHERE coalesce(same_bytes, false) OR distance <= 20 OR s IS NOT NULL)
-SELECT query, candidate, distance, CAST(rank AS INTEGER) AS rank, CASE WHEN coalesce(distance, 999) <= 6 OR coalesce(s >= 0.85, false) THEN 'strong' ELSE 'possible' END AS band FROM kept WHERE rank <= 5""",
+SELECT query, candidate, CAST(distance AS VARCHAR) AS distance, CAST(rank AS INTEGER) AS rank, CASE WHEN coalesce(distance, 999) <= 6 OR coalesce(s >= 0.85, false) THEN 'strong' ELSE 'possible' END AS band FROM kept WHERE rank <= 5""",
     ),
     "min_distance": (min_distance, f"WITH {_H} SELECT query, arg_min(candidate, CAST(distance AS BIGINT) * 1000000000 + candidate) AS nearest, min(distance) AS distance FROM near WHERE candidate % 10 = 0 GROUP BY query"),
     "recall_at_k_rollup": (

@@ -73,3 +73,12 @@ def test_vector_hashes(spark):
     grid = x.reshape(8, 8)
     assert row.m == number(x > x.mean()) and row.d == number(x > np.median(x)) and row.g == number((grid < np.roll(grid, -1, axis=1)).ravel())
     assert math.isclose(row.n, 1.0)
+
+
+def test_uuid5_equals_the_standard(spark):
+    import uuid
+
+    space = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+    names = ["", "a", "example.org", "é😀", *map(str, range(20))]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", files.uuid5(space, F.col("n")).alias("u"))
+    assert all(r.u == str(uuid.uuid5(uuid.UUID(space), r.n)) for r in df.collect())
