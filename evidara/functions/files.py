@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Magic bytes as upper-case hex: position in bytes, bytes, mime type, media type, extension.  Fixed values.
 MAGIC = (
@@ -48,7 +49,7 @@ def sniff(content: Column) -> Column:
     return out.when(head.rlike("^FF(FB|F3|F2|FA)"), kind("audio/mpeg", "audio", ".mp3")).when(head.rlike("^FFF[19]"), kind("audio/aac", "audio", ".aac"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(names: pd.Series) -> pd.Series:
     """NFKC form without unprintable characters."""
     return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKC", s) if c.isprintable()))
@@ -107,7 +108,7 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Any JSON text in canonical form; NULL stays, text that isn't JSON becomes a JSON string."""
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: EXIF tags by number.  Fixed values.
 TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "datetime", 0x9003: "datetime_original", 0x9004: "datetime_digitized"}
@@ -106,18 +107,22 @@ def has_credentials(data: bytes) -> bool:
     return b"jumb" in data and b"c2pa" in data
 
 
-@F.pandas_udf("make string, model string, software string, datetime string, datetime_original string, datetime_digitized string")
+def _table(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    """Missing entries stay None: a column of numbers would turn them into NaN."""
+    return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+
+
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in TAGS.values()]))
 def exif_tags(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([exif(bytes(c)) if c is not None else {} for c in content], columns=list(TAGS.values()))
+    return _table([exif(bytes(c)) if c is not None else {} for c in content], list(TAGS.values()))
 
 
-@F.pandas_udf("brand string, created string, duration_s double, width int, height int")
+@F.pandas_udf(StructType([StructField("brand", StringType()), StructField("created", StringType()), StructField("duration_s", DoubleType()), StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def movie_header(content: pd.Series) -> pd.DataFrame:
-    rows = pd.DataFrame([movie(bytes(c)) if c is not None else {} for c in content], columns=["brand", "created", "duration_s", "width", "height"])
-    return rows.astype({"width": "Int32", "height": "Int32"})
+    return _table([movie(bytes(c)) if c is not None else {} for c in content], ["brand", "created", "duration_s", "width", "height"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def credentials(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else has_credentials(bytes(c)))
 

@@ -47,20 +47,23 @@ def answer(raw) -> tuple[float | None, float | None, str]:
     return (good, _number(confidence), "OK") if good is not None else (None, None, "ERROR")
 
 
+def _runner(call: Callable, columns: tuple[str, ...]):
+    @F.pandas_udf(RESULT)
+    def run(args: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for row in args.itertuples(index=False):
+            try:
+                rows.append(answer(call(**dict(zip(columns, row, strict=True)))))
+            except Exception:
+                rows.append((None, None, "ERROR"))
+        return pd.DataFrame(rows, columns=["score", "confidence", "status"]).astype({"score": "float64", "confidence": "float64"}).replace({float("nan"): None})
+
+    return run
+
+
 def scored(items: DataFrame, media: str = "media_type") -> DataFrame:
     """The items with score, confidence and status; a media type without a callable is UNAVAILABLE."""
     result = F.from_json(F.lit('{"status": "UNAVAILABLE"}'), RESULT)
     for kind, (call, columns) in _REGISTERED.items():
-
-        @F.pandas_udf(RESULT)
-        def run(args: pd.DataFrame, call=call, columns=columns) -> pd.DataFrame:
-            rows = []
-            for row in args.itertuples(index=False):
-                try:
-                    rows.append(answer(call(**dict(zip(columns, row, strict=True)))))
-                except Exception:
-                    rows.append((None, None, "ERROR"))
-            return pd.DataFrame(rows, columns=["score", "confidence", "status"])
-
-        result = F.when(F.col(media) == kind, run(F.struct(*columns))).otherwise(result)
+        result = F.when(F.col(media) == kind, _runner(call, columns)(F.struct(*columns))).otherwise(result)
     return items.withColumn("_r", result).select(*items.columns, "_r.score", "_r.confidence", "_r.status")

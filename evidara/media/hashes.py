@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 @cache
@@ -54,7 +55,7 @@ def hashes_of(pixels: np.ndarray) -> tuple[str, str, str]:
     return to_hex(low > np.median(low)), to_hex(step[:, 1:] > step[:, :-1]), to_hex(flat > flat.mean())
 
 
-@F.pandas_udf("phash string, dhash string, ahash string")
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("phash", "dhash", "ahash")]))
 def perceptual_hashes(image: pd.DataFrame) -> pd.DataFrame:
     """Of an image struct; NULL hashes where there is nothing to decode."""
     rows = []

@@ -20,7 +20,8 @@ def png(pixels: np.ndarray) -> bytes:
 
 def scene(h, w, flip=False):
     y, x = np.mgrid[0:h, 0:w]
-    base = 128 + 60 * np.sin(7 * x / w) * np.cos(5 * y / h) + 50 * (x / w if flip else -x / w)
+    u, v = (y / h, x / w) if flip else (x / w, y / h)  # flipped: another picture, turned and with other waves
+    base = 128 + 60 * np.sin((13 if flip else 7) * u) * np.cos((3 if flip else 5) * v) - 50 * u
     return np.stack([np.clip(base + d, 0, 255) for d in (0, 10, -10)], axis=2).astype(np.uint8)
 
 
