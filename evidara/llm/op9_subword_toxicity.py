@@ -12,7 +12,10 @@ and sf0.01's, so these figures are no independent test; check_s took no part in
 even mean and sharpens step by step.  As only the difference of two logits counts, the output layer keeps that difference.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 3 is not 1, at most FIT_ROWS of each class (the smallest
-hashes of doc_id, a documented bound); every document is scored.  labels, lang, source and doc_id never enter a score.
+hashes of doc_id, a documented bound) and FIT_CHARS // 2 characters of each: a text that doesn't fit what is left is
+skipped and later ones are still taken, and a class of which no text fits is learnt from its shortest.  Training adds up
+the gradients of pieces of the sample, so that memory grows with the n-grams' buckets and not with their working copies.
+Every document is scored.  labels, lang, source and doc_id never enter a score.
 
 Nulls and edges: NULL and blank texts have the zero vector and get the softmax of the bias; labels without a document,
 NULL labels and NULL doc_ids are not learnt from; with no labelled row of both classes the score is the share of toxic
@@ -22,20 +25,23 @@ result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import crc_bucket, in_pieces, rolling, split_words, table, texts, window_starts
+from evidara.llm.common import crc_bucket, in_pieces, one_chunk, rolling, split_words, table, texts, window_starts
 
-BUCKETS, DIMENSIONS, STEPS, FIT_ROWS, THRESHOLD = 1 << 17, 8, 60, 1500, 0.7
+BUCKETS, DIMENSIONS, STEPS, FIT_ROWS, THRESHOLD = 1 << 17, 8, 60, 3000, 0.7
 SHARPNESS, SHRINK = 3.0, 3e-5
-#: At most so many characters are learnt from; whole texts, smallest hashes first.
-FIT_CHARS = 20_000_000
+#: At most so many characters are learnt from, half of them of each class; whole texts, smallest hashes first.
+FIT_CHARS = 40_000_000
+#: Text bytes of the sample whose gradients are computed at once.
+FIT_PIECE = 3_000_000
 
 
 def subwords(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,28 +104,51 @@ class Model:
         return sigmoid(pooled(value, text, word, len(sizes), SHARPNESS)[0] + self.bias)
 
 
+class Piece:
+    """What a step needs of some texts: their (text, word) pairs and, word by word, the buckets of the n-grams."""
+
+    def __init__(self, column):
+        text, word, sizes, distinct = bags(column)
+        of, bucket = subwords(distinct)
+        self.text, self.word, self.n_texts = text.astype(np.int32), word.astype(np.int32), len(sizes)
+        self.bucket, self.fan = bucket[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(distinct))  # a word has itself at least
+
+    def step(self, weights: np.ndarray, bias: float, labels: np.ndarray, weight: np.ndarray, sharpness: float) -> tuple[np.ndarray, float]:
+        """Gradients of all buckets' weights and of the bias."""
+        of = np.repeat(np.arange(len(self.fan)), self.fan)
+        value = np.bincount(of, weights[self.bucket], len(self.fan)) / self.fan
+        logit, attention = pooled(value, self.text, self.word, self.n_texts, sharpness)
+        error = (sigmoid(logit + bias) - labels) * weight
+        by_word = np.bincount(self.word, attention * error[self.text], len(self.fan)) / self.fan
+        return np.bincount(self.bucket, by_word[of], len(weights)), error.sum()
+
+
 def fit(column, labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> Model:
-    """Adam over all rows at once; both classes weigh the same."""
+    """Adam over all rows, whose gradients are added up piece by piece; both classes weigh the same."""
     labels = np.asarray(labels, np.int64)
     share = labels.mean() if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), np.log((share + 1e-9) / (1 - share + 1e-9)))
-    text, word, sizes, distinct = bags(column)
-    of, bucket = subwords(distinct)
-    fan = np.maximum(np.bincount(of, minlength=len(distinct)), 1)
-    used, bucket = np.unique(bucket, return_inverse=True)
+    pieces = [Piece(batch["text"]) for batch in in_pieces([pa.record_batch([one_chunk(column)], ["text"])], FIT_PIECE)]
+    ends = np.cumsum([p.n_texts for p in pieces])
+    seen = np.zeros(BUCKETS, bool)
+    for p in pieces:
+        seen[p.bucket] = True
+    used = np.flatnonzero(seen)
     rng = np.random.default_rng(seed)
     parameters = [rng.normal(0, 0.05, (len(used), DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 1)), np.zeros(1)]
     embedding, output, bias = parameters
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / len(labels)
     for step in range(1, steps + 1):
-        value = np.bincount(of, (embedding @ output)[bucket, 0], len(distinct)) / fan
-        logit, attention = pooled(value, text, word, len(labels), SHARPNESS * min(1, 2 * step / steps))
-        error = (sigmoid(logit + bias[0]) - labels) * weight
-        by_word = np.bincount(word, attention * error[text], len(distinct)) / fan
-        pull = np.bincount(bucket, by_word[of], len(used))[:, None]
-        gradients = [pull @ output.T + SHRINK * embedding, embedding.T @ pull + SHRINK * output, np.array([error.sum()])]
+        spread, pull, error = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
+        spread[used] = (embedding @ output)[:, 0]
+        for p, end in zip(pieces, ends, strict=True):
+            own = slice(end - p.n_texts, end)
+            by_bucket, by_bias = p.step(spread, bias[0], labels[own], weight[own], SHARPNESS * min(1, 2 * step / steps))
+            pull, error = pull + by_bucket, error + by_bias
+        pull = pull[used][:, None]
+        gradients = [pull @ output.T + SHRINK * embedding, embedding.T @ pull + SHRINK * output, np.array([error])]
         for p, g, a, b in zip(parameters, gradients, first, second, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
@@ -129,15 +158,28 @@ def fit(column, labels: np.ndarray, steps: int = STEPS, seed: int = 3) -> Model:
     return Model(weights, bias[0])
 
 
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which are taken one after another where a size over what is left is skipped; the first always is."""
+    out = []
+    for n in sizes:
+        out.append(not out or n <= most)
+        most -= n * out[-1]
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents of each class."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(crc_bucket(F.col("doc_id"), 3) != 1)
-    order = Window.partitionBy("toxic").orderBy("hash", "doc_id")
-    chosen = marks.join(texts(docs).select("doc_id", F.length("text").alias("n")), "doc_id").withColumn("hash", F.xxhash64("doc_id"))
-    # two small top lists, not a window over a whole class
-    parts = [chosen.filter(F.col("toxic") == t).orderBy("hash", "doc_id").limit(rows) for t in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).withColumn("chars", F.sum("n").over(order))
-    chosen = chosen.filter(F.col("chars") <= FIT_CHARS // 2).select("doc_id", "toxic")
+    most = FIT_CHARS // 2
+    chosen = marks.join(texts(docs).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")), "doc_id").withColumn("hash", F.xxhash64("doc_id"))
+    # small top lists, not a window over a whole class; the shortest text stands in where none fits
+    parts = [part for t in (0, 1) for whole in [chosen.filter(F.col("toxic") == t)] for part in (whole.filter(F.col("n") <= most).orderBy("hash", "doc_id", "n").limit(rows), whole.orderBy("n", "hash", "doc_id").limit(1).filter(F.col("n") > most))]
+
+    def within(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("hash", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
+        return rows.filter(pa.array(fitting(rows["n"].to_pylist(), most))).select(["doc_id", "toxic"])
+
+    chosen = functools.reduce(DataFrame.unionByName, parts).groupBy("toxic").applyInArrow(within, "doc_id long, toxic int")
     sample = texts(docs).join(F.broadcast(chosen), "doc_id")
 
     def learnt(rows: pa.Table) -> pa.Table:

@@ -238,6 +238,30 @@ def test_op9_catches_misspellings(spark):
     assert op9.learn(df, marks).score(pa.array(["x"])).shape == (1,)
 
 
+def test_op9_sample_is_whole(spark, monkeypatch):
+    assert (op9.FIT_ROWS, op9.FIT_CHARS) == (3000, 40_000_000)
+    assert op9.fitting([30, 80, 60, 20, 10], 100) == [True, False, True, False, True]
+    say = lambda i: f"plain words number w{i} again" + " pathetic" * (i % 2)
+    rows = [(i, say(i)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    ids = spark.createDataFrame([(i,) for i in range(1, 200, 2)], "doc_id long")
+    first = ids.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").orderBy(op9.F.xxhash64("doc_id")).first().doc_id
+    monkeypatch.setattr(op9, "FIT_CHARS", 8000)
+    odd = pa.array(["all pathetic here", "plain words number again"])
+    for long in ({first}, set(range(1, 200, 2))):  # a text over the budget comes first; a class of such texts only
+        docs = spark.createDataFrame([(i, s + " pathetic" * 600 * (i in long)) for i, s in rows], "doc_id long, text string")
+        score = op9.learn(docs, labels).score(odd)
+        assert score[0] > 0.7 > score[1]
+
+
+def test_op9_pieces_add_up(monkeypatch):
+    column, labels = pa.array([f"some text {i} " + "insult" * (i % 2) for i in range(50)] + [None, ""]), np.array([i % 2 for i in range(52)])
+    whole = op9.fit(column, labels, 5)
+    monkeypatch.setattr(op9, "FIT_PIECE", 60)
+    pieces = op9.fit(column, labels, 5)
+    assert np.allclose(whole.weights, pieces.weights, atol=1e-4) and abs(whole.bias - pieces.bias) < 1e-4
+
+
 def near_brute(rows, width=2):
     sets = []
     for d, t, *_ in rows:
