@@ -73,6 +73,14 @@ def test_op4_rules_and_trees(spark):
     assert op4.UrlModel([], []).block(["x"])[0] == 0 and op4.url_filter(df.limit(0), model).count() == 0
 
 
+def test_op4_labels_no_abuse_family_clean(spark):
+    want = {"http://free-bets.example.com/a": 1, "https://Blog.Adult-x.example.net/": 1, "http://spam-farm.example.com": 1, "http://some-shop.example.org/": None, "http://www.plain.org/free-bets": 0, "no scheme": 0}
+    assert {r.url: r.label for r in op4.labelled(spark.createDataFrame([(u,) for u in want], "url string")).collect()} == want
+    model = op4.learn(op4.labelled(spark.createDataFrame([(f"http://{h}{i}.org/{i}",) for i in range(60) for h in ("free-bets.s", "plain.s")] + [("http://some-shop.org/",)], "url string")))
+    chance = model.block(["http://free-bets.t9.org/7", "http://plain.t9.org/7"])
+    assert chance[0] > 0.8 and chance[1] < 0.2
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
