@@ -3,8 +3,8 @@
 Lines are normalised (white space runs become one blank, trimmed, lower case) and hashed.  Per host (``source``) the
 number of distinct documents that hold a line is counted; documents of equal text count once, so that exact copies,
 which a dedup stage owns, don't condemn each other.  A line is above the limit if more than
-max(``least``, ``share`` of the host's distinct documents) hold it.  Such lines are removed, and a document that keeps
-under ``keep`` of its words is depleted and rejected.
+max(``least``, ``share`` of the host's distinct documents) hold it.  ``without_frequent_lines`` removes such lines from
+the texts; ``quality_rules`` rejects a document that would keep under ``keep`` of its words as depleted.
 
 Nulls and edges: a NULL text has no words and fails the base rule; a NULL source is a host of its own; rows are judged
 one by one, so repeated rows and NULL doc_ids get the same answers as single ones; an empty table gives an empty
@@ -53,23 +53,28 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def depleted(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """host, content (hash of the text), n_left, n_line_words of documents that lose more than they may."""
+def marked_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
+    """host, content (hash of the text), line (hash), n (words), places in the text, and above: true or NULL."""
     docs = docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), F.xxhash64("text").alias("content"), "text").filter("text is not null")
     normal = lambda line: F.lower(F.trim(F.regexp_replace(line, WORD_BREAK, " ")))
     lines = (
-        docs.select("host", "content", F.explode(F.split("text", "\n")).alias("line"))
-        .select("host", "content", normal(F.col("line")).alias("line"))
+        docs.select("host", "content", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+        .select("host", "content", "place", normal(F.col("line")).alias("line"))
         .filter("line <> ''")
-        .select("host", "content", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).alias("n"))
+        .select("host", "content", "place", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).alias("n"))
     )
     # copies of a text have the same content: one row for a line of a text, its words counted in one copy
-    once = lines.groupBy("host", "content", "line").agg(F.sum("n").alias("n"))
+    once = lines.groupBy("host", "content", "line").agg(F.sum("n").alias("n"), F.collect_set("place").alias("places"))
     sizes = docs.groupBy("host").agg(F.countDistinct("content").alias("host_docs"))
     frequent = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > least)
     frequent = frequent.join(sizes, "host").filter(F.col("n_docs") > F.greatest(F.lit(float(least)), share * F.col("host_docs")))
     frequent = frequent.select("host", "line", F.lit(True).alias("above"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    marked = once.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(frequent, ["host", "line", "salt"], "left")
+    return once.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(frequent, ["host", "line", "salt"], "left")
+
+
+def depleted(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """host, content (hash of the text), n_left, n_line_words of documents that lose more than they may."""
+    marked = marked_lines(docs, least, share)
     left = marked.groupBy("host", "content").agg(F.sum(F.when(F.col("above"), 0).otherwise(F.col("n"))).alias("n_left"), F.sum("n").alias("n_line_words"))
     return left.filter(F.col("n_left") < keep * F.col("n_line_words"))
 
@@ -83,6 +88,20 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
 
 
+def without_frequent_lines(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """The rows, all columns as they are but the text, which loses its lines above the limit, and n_removed_lines."""
+    cut = marked_lines(docs, least, share).filter("above").groupBy("host", "content").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("cut"))
+    cut = cut.select(F.col("host").alias("__host"), F.col("content").alias("__content"), F.col("cut").alias("__cut"))
+    host, content = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.xxhash64("text")
+    joined = docs.withColumn("__h", host).withColumn("__c", content).join(cut, (F.col("__h") == F.col("__host")) & (F.col("__c") == F.col("__content")), "left")
+    # what lies between two places that are cut, so that the work is in proportion to the lines
+    joined = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__edges", F.concat(F.array(F.lit(-1)), "__cut", F.array(F.size("__lines"))))
+    between = F.transform(F.sequence(F.lit(0), F.size("__edges") - 2), lambda i: F.slice("__lines", F.get("__edges", i) + 2, F.get("__edges", i + 1) - F.get("__edges", i) - 1))
+    text = F.when(F.col("text").isNull() | F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
+    removed = F.when(F.col("text").isNull() | F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long")
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], removed.alias("n_removed_lines"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -121,3 +140,27 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, depleted,
        NOT base_failed AND NOT depleted AS kept FROM judged
 """
+
+
+def op3_line_frequency_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row how many lines are removed, and the digest of the text that is left."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    return without_frequent_lines(docs).select("doc_id", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+REMOVED_SQL = f"""
+WITH contents AS (SELECT DISTINCT coalesce(source, chr(0)) AS host, text AS t FROM documents WHERE text IS NOT NULL
+), raw AS (
+  SELECT host, t, unnest(string_split(t, chr(10))) AS raw, unnest(range(len(string_split(t, chr(10))))) AS p FROM contents
+), lines AS (SELECT *, lower(trim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS line FROM raw
+), frequent AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n_docs FROM lines WHERE line <> '' GROUP BY host, line)
+  JOIN (SELECT host, count(*) AS host_docs FROM contents GROUP BY host) USING (host)
+  WHERE n_docs > greatest({LEAST}, {SHARE} * host_docs)
+), clean AS (
+  SELECT l.host, l.t, count(f.line) AS n, coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (WHERE f.line IS NULL), '') AS clean
+  FROM lines l LEFT JOIN frequent f ON l.host = f.host AND l.line = f.line GROUP BY l.host, l.t
+)
+SELECT doc_id, coalesce(n, 0) AS n_removed_lines, md5(clean) AS digest
+FROM documents d LEFT JOIN clean c ON c.host = coalesce(d.source, chr(0)) AND c.t = d.text
+"""

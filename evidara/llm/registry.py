@@ -34,8 +34,8 @@ _QUERIES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(module, name) for name, module in _QUERIES.items()}
+    return {name: getattr(module, name) for name, module in _QUERIES.items()} | {"op3_line_frequency_removed": op3_line_frequency.op3_line_frequency_removed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.SQL for name, module in _QUERIES.items() if module.SQL}
+    return {name: module.SQL for name, module in _QUERIES.items() if module.SQL} | {"op3_line_frequency_removed": op3_line_frequency.REMOVED_SQL}

@@ -49,6 +49,18 @@ def test_op3_base_counts_and_depletion(spark):
     assert all(r.kept == (not r.base_failed and not r.depleted) for r in got) and op3.quality_rules(empty(spark)).count() == 0
 
 
+def test_op3_removes_frequent_lines(spark):
+    boiler = ["  Common  boiler one", "common boiler two"]
+    more = [(100 + i, f"{boiler[0]}\nown {i}\n\n{boiler[1]}\nend {i}\n{boiler[0].upper()}", "en", "hot", 1) for i in range(30)]
+    more += [(None, more[0][1], "en", "hot", 1), (500, more[0][1], "en", "cold", 1), (501, boiler[0], "en", "hot", 1), (502, None, "en", "hot", 1)]
+    df, rows = awkward(spark, more)
+    got = op3.without_frequent_lines(df)
+    assert got.columns == [*df.columns, "n_removed_lines"]
+    want = [(d, (f"own {t.split()[4]}\n\nend {t.split()[4]}", 3) if s == "hot" and t and "own" in t else ("", 1) if d == 501 else (t, 0)) for d, t, _, s, _ in rows]
+    assert collections.Counter((r.doc_id, (r.text, r.n_removed_lines)) for r in got.collect()) == collections.Counter(want)
+    assert op3.without_frequent_lines(empty(spark)).count() == 0
+
+
 def test_op4_rules_and_trees(spark):
     urls = {
         1: ("https://Example.net/en/x?y#z", "example.net", "/en/x", "example.net/en/", "allow"),
