@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,60 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.  A temporary one is made only in local mode, as in tests."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="evidara-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that the session names.
+    """Cut the lineage with a table written in the shared folder that the session names, and read again.
+
+    Parquet rather than ``checkpoint()``: that keeps the estimated size of its plan, and in a loop of joins the estimates
+    multiply to numbers of so many digits that planning stalls after a dozen rounds.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A join salts the keys of most rows: at most so many, the proven bound of what is broadcast, of at least so many rows.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 32
+
 
-    The folder comes from ``spark.checkpoint.dir``.  Only where that is unset, as in tests, a temporary one is used.
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The HOT_KEYS keys of most rows; any other key holds under a thousandth of all rows."""
+    return counts.filter(F.col(n) > HOT_ROWS).orderBy(F.col(n).desc(), *keys).limit(HOT_KEYS).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose rows of the hot keys are repeated so that left's are dealt over SALTS tasks.
+
+    ``by`` is a column that differs among left's rows of a key.  Right's keys are unique, so no row is joined twice.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidara-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    marked = F.broadcast(hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias("__hot")))
+
+    def mark(rows: DataFrame) -> DataFrame:
+        same = [F.col(k) == F.col(f"__hot_{k}") for k in keys]
+        return rows.join(marked, same, "left").drop(*[f"__hot_{k}" for k in keys])
+
+    one = mark(left).withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return one.join(mark(right).withColumn("__salt", F.explode(every)).drop("__hot"), [*keys, "__salt"], how).drop("__salt")
+
+
+def row_hash(df: DataFrame):
+    """A 64-bit hash of all columns of a row but maps, which have no order."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
 
 
 def crc_bucket(column, modulus: int):

@@ -22,9 +22,14 @@ that all meet the first chunk; then what that has not joined into one component
 likewise in large buckets.  So no pair that could matter is lost, no task grows, and a huge group of near copies of one
 another is sent a fixed number of times.
 
+A representative is a set, not a doc_id, with a number that the checkpoint fixes; a component's id is the smallest doc_id of
+its documents.  Keys that hold very many rows (a bucket, a set with very many copies, a large family) are salted in joins.
+
 Nulls and edges: documents without words have n_shingles 0, link with nothing and are their own component; a NULL
-doc_id gets a NULL component and is not kept; repeated doc_ids are one document of the graph per row content;
-an empty table gives an empty result.  Extra columns are ignored.
+doc_id takes no part, gets a NULL component and is not kept; rows that share a doc_id are judged each by its own text and
+are not linked by the id; an empty table gives an empty result.  Extra columns are ignored.
+``without_near_duplicates`` keeps exactly one row of each class (smallest doc_id, then hash of the row), also of fully equal
+rows, and every row without words or doc_id.
 """
 
 from __future__ import annotations
@@ -37,12 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import code_words, durable, in_pieces, rolling, split_words, table, texts, window_starts
+from evidara.llm.common import code_words, durable, hot_keys, in_pieces, rolling, row_hash, salted_join, split_words, table, texts, window_starts
 
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.0005, 20.0
 #: Members of a bucket's chunk and shingles of a family's chunk; they set the memory of one task.
 BUCKET_ROWS, FAMILY_SHINGLES = 4096, 1_500_000
-SIGNATURE = "doc_id long, n_shingles long, sum1 long, sum2 long, registers binary"
+SAME = ["n_shingles", "sum1", "sum2"]
+SIGNATURE = "doc_id long, row long, n_shingles long, sum1 long, sum2 long, registers binary"
 _FACTORS = np.random.default_rng(20240229).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -90,17 +96,28 @@ def registers_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_sums(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """n_shingles, sum1 and sum2 of each set: equal sets have equal ones."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    mixed = np.concatenate([[np.uint64(0)], np.cumsum((values ^ (values >> np.uint64(29))) * _FACTORS[0], dtype=np.uint64)])
+    return [pa.array(np.diff(offsets)), *(pa.array((x[offsets[1:]] - x[offsets[:-1]]).view(np.int64)) for x in (total, mixed))]
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """Of doc_id, text and row: all but the text, the size and sums of its set and the registers."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches):
             values, offsets = shingle_sets(batch["text"], width)
-            registers = registers_of(values, offsets)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-            mixed = np.concatenate([[np.uint64(0)], np.cumsum((values ^ (values >> np.uint64(29))) * _FACTORS[0], dtype=np.uint64)])
-            sums = [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in (total, mixed)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "n_shingles", "sum1", "sum2", "registers"])
+            registers = pa.array([r.tobytes() for r in registers_of(values, offsets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], *set_sums(values, offsets), registers], names=["doc_id", "row", *SAME, "registers"])
+
+    return docs.mapInArrow(sign, SIGNATURE)
+
 
-    return texts(docs).mapInArrow(sign, SIGNATURE)
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Registers of the union of two sets."""
+    return np.maximum(a, b)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -143,11 +160,11 @@ def in_chunks(rows: DataFrame, group: str, most: int) -> DataFrame:
     its own, which never meet one another; the other rows' chunks meet those and each other.  So a group that is nearly all
     of one label is sent once, whatever its size.  Groups of a single label are left out.
     """
-    by_label = rows.groupBy(group, "label").agg(F.sum("weight").alias("w"))
-    total = by_label.groupBy(group).agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"))
+    by_label = rows.groupBy(group, "label").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    total = by_label.groupBy(group).agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"), F.sum("n").alias("n"))
     chunks = lambda w: F.greatest(F.ceil(w / most), F.lit(1))
-    total = total.filter("w > w_main").select(group, "main", (F.col("w") <= most).alias("small"), chunks(F.col("w_main")).alias("n_main"), chunks(F.col("w") - F.col("w_main")).alias("n_rest"))
-    cut, spread = rows.join(total, group), F.xxhash64("rep")
+    total = durable(total.filter("w > w_main").select(group, "main", "n", (F.col("w") <= most).alias("small"), chunks(F.col("w_main")).alias("n_main"), chunks(F.col("w") - F.col("w_main")).alias("n_rest")))
+    cut, spread = salted_join(rows, total.drop("n"), [group], hot_keys(total, [group]), F.col("rep")), F.xxhash64("rep")
     is_main = F.col("label") == F.col("main")
     own = F.when(F.col("small"), 0).when(is_main, F.pmod(spread, F.col("n_main"))).otherwise(F.col("n_main") + F.pmod(spread, F.col("n_rest")))
     last = F.col("n_main") + F.col("n_rest") - 1
@@ -156,24 +173,25 @@ def in_chunks(rows: DataFrame, group: str, most: int) -> DataFrame:
     return met.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).select(*rows.columns, "own", "low", "high")
 
 
-def to_anchor(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """As ``in_chunks``, but every chunk only meets the group's first."""
-    total = rows.groupBy(group).agg(F.greatest(F.ceil(F.sum("weight") / most), F.lit(1)).alias("n"))
-    cut = rows.join(total, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")))
-    met = cut.withColumn("high", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array("own"))))
-    return met.withColumn("low", F.lit(0).cast("long")).select(*rows.columns, "own", "low", "high", "n")
+def to_anchor(rows: DataFrame, total: DataFrame, group: str, most: int) -> DataFrame:
+    """As ``in_chunks``, but every chunk only meets the group's first; ``total`` has each group's weight w and rows n."""
+    chunks = total.select(group, F.greatest(F.ceil(F.col("w") / most), F.lit(1)).alias("chunks"))
+    cut = salted_join(rows, chunks, [group], hot_keys(total, [group]), F.col("rep")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    met = cut.withColumn("high", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))))
+    return met.withColumn("low", F.lit(0).cast("long")).select(*rows.columns, "own", "low", "high")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links at 100 * intersection >= percent * union, confirmed on full sets."""
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles and component_id of docs with doc_id, text and row."""
     signed = durable(signatures(docs, width))
     real = signed.filter("n_shingles > 0 and doc_id is not null")
-    same = ["n_shingles", "sum1", "sum2"]
-    reps = durable(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")))
+    # the checkpoint fixes the numbers
+    reps = durable(real.groupBy(*SAME).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("registers").alias("registers")).withColumn("rep", F.monotonically_increasing_id()))
     band = F.posexplode(F.array(*[F.xxhash64(F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(REGISTERS // ROWS)]))
     keyed = reps.select("rep", band.alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = durable(keyed.join(shared.select("bucket", "center"), "bucket"))
+    shared = durable(keyed.groupBy("bucket").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot_buckets = hot_keys(shared, ["bucket"])
+    members = durable(salted_join(keyed, shared.select("bucket", "center"), ["bucket"], hot_buckets, F.col("rep")))
     sized = reps.select("rep", "n_shingles", "registers")
     floor = percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
@@ -183,47 +201,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return pd.Series(estimate(stack(a), stack(b), n_a.to_numpy(), n_b.to_numpy()))
 
     stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    hot_centers = hot_keys(shared.groupBy(F.col("center").alias("a")).agg(F.sum("n").alias("n")), ["a"])
     a, b = sized.toDF("a", "n_a", "registers_a"), sized.toDF("b", "n_b", "registers_b")
-    near = stars.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = salted_join(stars, a, ["a"], hot_centers, F.col("b")).join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     edges = durable(near.filter(likely("registers_a", "registers_b", "n_a", "n_b") >= floor).select("a", "b"))
 
     def with_family(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
 
-    placed = with_family(members, components(edges))
+    placed = durable(with_family(members, components(edges)))
     mixed = placed.groupBy("bucket").agg(F.min("family").alias("least"), F.max("family").alias("most")).filter("least < most").select("bucket")
-    between = placed.join(mixed, "bucket").join(sized, "rep").select("bucket", "rep", F.col("family").alias("label"), "n_shingles", "registers", F.lit(1).alias("weight"))
+    between = salted_join(placed, mixed, ["bucket"], hot_buckets, F.col("rep")).join(sized, "rep").select("bucket", "rep", F.col("family").alias("label"), "n_shingles", "registers", F.lit(1).alias("weight"))
     more = in_chunks(between, "bucket", BUCKET_ROWS).groupBy("bucket", "low", "high").applyInArrow(_likely_across(percent, floor), "a long, b long").distinct()
     edges = durable(edges.union(more))
 
     families = components(edges).toDF("rep", "family")
-    whole = texts(docs).join(families.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles array<long>")
-    held = whole.dropDuplicates(["rep"]).join(families, "rep").withColumn("weight", F.size("shingles"))
-    met = to_anchor(held.withColumn("label", F.col("rep")), "family", FAMILY_SHINGLES)
+    total = durable(families.join(sized, "rep").groupBy("family").agg(F.sum("n_shingles").alias("w"), F.count(F.lit(1)).alias("n")))
+    # the set of a family's member comes from a document with that set; others of the same doc_id fall out in the second join
+    wanted = families.join(reps.select("rep", "first_id", *SAME), "rep")
+    whole = docs.join(wanted.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "n_shingles long, sum1 long, sum2 long, shingles array<long>")
+    held = whole.dropDuplicates(SAME).join(wanted.drop("first_id"), SAME).select("rep", "family", "shingles", F.col("n_shingles").alias("weight"))
+    met = to_anchor(held.withColumn("label", F.col("rep")), total, "family", FAMILY_SHINGLES)
     links = durable(met.groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long"))
-    large = families.join(sized, "rep").groupBy("family").agg(F.sum("n_shingles").alias("w")).filter(F.col("w") > FAMILY_SHINGLES)
-    if not large.isEmpty():
+    if not total.filter(F.col("w") > FAMILY_SHINGLES).isEmpty():
         # in families of several chunks, what the first chunk has not joined meets the rest
         so_far = held.join(components(links).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         links = durable(links.union(in_chunks(so_far, "family", FAMILY_SHINGLES).groupBy("family", "low", "high").applyInArrow(_linked(percent), "a long, b long")))
-    classes = with_family(reps.select(*same, "rep"), components(links)).select(*same, F.col("family").alias("component_id"))
-    placed = signed.select("doc_id", *same).join(classes, same, "left")
+    labels = components(links).toDF("rep", "label")
+    ids = durable(labels.join(reps.select("rep", "first_id"), "rep").groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    joined = salted_join(labels, ids.drop("n"), ["label"], hot_keys(ids, ["label"]), F.col("rep"))
+    classes = reps.join(joined, "rep", "left").select(*SAME, F.coalesce("component_id", "first_id").alias("component_id"))
+    placed = salted_join(signed.select("doc_id", "row", *SAME), classes, SAME, hot_keys(reps, SAME), F.col("doc_id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return placed.select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links at 100 * intersection >= percent * union, confirmed on full sets."""
+    found = _classes(texts(docs, F.lit(0).cast("long").alias("row")), width, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns as they are, but those that another document of their class stands for."""
-    gone = near_duplicates(docs, width, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class, all columns as they are, and the rows without words or doc_id."""
+    found = _classes(texts(docs, row_hash(docs).alias("row")), width, percent).filter("n_shingles > 0 and doc_id is not null")
+    each = durable(found.groupBy("doc_id", "row").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    first = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
+    gone = each.join(first, ["doc_id", "row"], "left_anti").select("doc_id", "row")
+    again = durable(each.filter("n > 1").join(first, ["doc_id", "row"], "left_semi").select("doc_id", "row"))
+    repeats = not again.isEmpty()
+    keys, hot = ["__id", "__row"], hot_keys(each, ["doc_id", "row"]).toDF("__id", "__row")
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", row_hash(docs))
+    left = lambda rows, how: salted_join(keyed, rows.toDF(*keys), keys, hot, F.spark_partition_id(), how)
+    out = left(gone.union(again) if repeats else gone, "left_anti")
+    if repeats:  # fully equal rows
+        out = out.unionByName(left(again, "left_semi").dropDuplicates(keys))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches):
             values, offsets = shingle_sets(batch["text"], width)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))], names=["rep", "shingles"])
+            shingles = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*set_sums(values, offsets), shingles], names=[*SAME, "shingles"])
 
     return sets
 
