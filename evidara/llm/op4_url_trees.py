@@ -2,14 +2,15 @@
 
 Rules name a host and a path.  A rule fits its host and every subdomain if the url's path starts with the rule's path;
 the longest fitting rule (host, then path) decides.  Where no rule fits, the trees do.  They are learnt from labelled
-urls, at most FIT_ROWS of each label (smallest hashes of the url; a documented bound), and score length, depth, digit ratio, entropy, parameter counts, host shape and, per public suffix and per
-word of the host, smoothed block rates learnt from the same rows out of fold.
+urls, at most FIT_ROWS of each label (smallest hashes of the url; a documented bound), and score lexical features only:
+length, depth, digit ratio, entropy, parameter counts, host shape and the public suffix's smoothed block rate, learnt from
+the same rows out of fold.  No word of a host is a feature, so what they tell of a host they tell of hosts never seen.
 
-The tables label documents, not urls, so the query labels urls itself: block if a word of the host is one of ABUSE
-(betting, adult, pharmacy, malware, advertising and spam terms); no label, and so no training row, if the host is
-hyphenated but has none of them, as such hosts are uncertain; else allow.  So the trees see hyphens in blocked hosts only
-and tend to block hyphenated hosts of unknown words.  (Learning from what the rules decide was tried: as they only block
-under com, it blocked every com host.)
+The tables label documents, not urls, and the pages' content tells nothing of their urls, so the query labels urls itself:
+block if a word of the host is one of ABUSE (betting, adult, pharmacy, malware, advertising and spam terms); no label, and so
+no training row, if the host is hyphenated but has none of them, as such hosts are uncertain; else allow.  So the trees see
+hyphens in blocked hosts only and tend to block hyphenated hosts of unknown words.  (Learning from what the rules decide was
+tried: as they only block under com, it blocked every com host.)
 
 The features of a url are computed where the url is; the trees (24 of depth 3) go to the tasks as arrays.
 
@@ -65,13 +66,12 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumn("rule", name).withColumn("rule_verdict", verdict)
 
 
-def tokens(url: str) -> tuple[str, list[str]]:
-    """Public suffix (the last label) and the words of the host."""
-    host = url.partition("://")[2] if "://" in url else ""
+def suffix(url: str) -> str:
+    """Public suffix of the host (its last label)."""
+    host = url.partition("://")[2]
     for c in "/?#":
         host = host.partition(c)[0]
-    labels = host.lower().split(".")
-    return labels[-1], [w for label in labels for w in label.split("-") if w]
+    return host.lower().rpartition(".")[2]
 
 
 def shape(url: str) -> list[float]:
@@ -90,18 +90,14 @@ def shape(url: str) -> list[float]:
 
 
 class Rates:
-    """Smoothed share of blocked urls by a token, from (token, label) rows."""
+    """Smoothed share of blocked urls by a name, from (name, label) rows."""
 
-    def __init__(self, rows: list[tuple[set[str], int]]):
+    def __init__(self, rows: list[tuple[str, int]]):
         self.base = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
-        self.seen, self.bad = Counter(), Counter()
-        for names, y in rows:
-            for t in names:
-                self.seen[t] += 1
-                self.bad[t] += y
+        self.seen, self.bad = Counter(n for n, _ in rows), Counter(n for n, y in rows if y)
 
-    def of(self, names) -> float:
-        return max(((self.bad[t] + PRIOR * self.base) / (self.seen[t] + PRIOR) for t in names if t in self.seen), key=lambda r: abs(r - self.base), default=self.base)
+    def of(self, name: str) -> float:
+        return (self.bad[name] + PRIOR * self.base) / (self.seen[name] + PRIOR)
 
 
 class Trees:
@@ -162,26 +158,20 @@ class UrlModel:
         self.constant = None if 0 < y.sum() < len(y) else float(y.mean()) if len(y) else 0.0
         if self.constant is not None:
             return
-        parts = [tokens(u) for u in urls]
-        rows = [[({s}, int(v)) for (s, _), v in zip(parts, labels, strict=True)], [(set(w), int(v)) for (_, w), v in zip(parts, labels, strict=True)]]
+        rows = [(s, int(v)) for s, v in zip(map(suffix, urls), labels, strict=True)]
         fold = np.array([xxhash.xxh3_64_intdigest(u) % FOLDS for u in urls])
-        rates = np.zeros((len(urls), 2))
+        rates = np.zeros((len(urls), 1))
         for k in range(FOLDS):  # a url's own label must not reach its features
-            for c in (0, 1):
-                known = Rates([r for r, f in zip(rows[c], fold, strict=True) if f != k])
-                for i in np.flatnonzero(fold == k):
-                    rates[i, c] = known.of(rows[c][i][0])
-        self.rates = [Rates(rows[0]), Rates(rows[1])]
+            known = Rates([r for r, f in zip(rows, fold, strict=True) if f != k])
+            for i in np.flatnonzero(fold == k):
+                rates[i] = known.of(rows[i][0])
+        self.rates = Rates(rows)
         self.trees = Trees().fit(np.hstack([np.array([shape(u) for u in urls]), rates]), y)
 
     def block(self, urls: list[str | None]) -> np.ndarray:
         if self.constant is not None or not urls:
             return np.full(len(urls), self.constant or 0.0)
-        rows = []
-        for url in urls:
-            suffix, words = tokens(url or "")
-            rows.append(shape(url or "") + [self.rates[0].of([suffix]), self.rates[1].of(words)])
-        return self.trees.chance(np.array(rows))
+        return self.trees.chance(np.array([shape(u or "") + [self.rates.of(suffix(u or ""))] for u in urls]))
 
 
 def learn(labelled: DataFrame, rows: int = FIT_ROWS) -> UrlModel:
