@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,18 +13,23 @@ from evidara.functions.files import row_hash
 GENESIS = "0" * 64
 #: Rows of a range whose order is settled in one task.
 RANGE_ROWS = 200_000
+MOST_RANGES = 2000
 
 
-def with_previous(log: DataFrame, seq: str, columns: list[str]) -> DataFrame:
+def with_previous(log: DataFrame, seq: str, columns: list[str], chain: str | None = None) -> DataFrame:
     """Adds previous_<column> of the row before in ``seq`` order, NULL for the first.
 
-    Rows are dealt into ranges of seq; lag works inside a range and a range's first row gets the last row of the range
-    before, found among one row a range.  Gaps in seq don't matter.
+    With ``chain``, a column of many chains (one a case), the row before in the same chain.  One long chain is dealt into
+    ranges between quantiles of seq, so that gaps and dense stretches don't matter; lag works inside a range and a
+    range's first row gets the last row of the range before, found among one row a range.
     """
-    limits = log.agg(F.min(seq).alias("low"), F.max(seq).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high, n = limits["low"] or 0, limits["high"] or 0, max(1, -(-limits["n"] // RANGE_ROWS))
-    width = max(1, -(-(high - low + 1) // n))
-    ranged = log.withColumn("_range", F.expr(f"({seq} - {low}) div {width}"))
+    if chain:
+        own = Window.partitionBy(chain).orderBy(seq)
+        return log.select("*", *[F.lag(c).over(own).alias(f"previous_{c}") for c in columns])
+    n = min(MOST_RANGES, -(-log.count() // RANGE_ROWS))
+    cuts = log.agg(F.percentile_approx(seq, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    bounds = F.array(*map(F.lit, sorted(set(cuts or []))))
+    ranged = log.withColumn("_range", F.size(F.filter(bounds, lambda c: F.col(seq) > c)) if cuts else F.lit(0))
     lasts = ranged.groupBy("_range").agg(F.max_by(F.struct(*columns), seq).alias("_last"))
     shifted = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(seq)
@@ -31,11 +39,11 @@ def with_previous(log: DataFrame, seq: str, columns: list[str]) -> DataFrame:
     return out.drop("_range", "_near", "_before")
 
 
-def link_check(log: DataFrame, content: str = "content", seq: str = "seq") -> DataFrame:
+def link_check(log: DataFrame, content: str = "content", seq: str = "seq", chain: str | None = None) -> DataFrame:
     """seq, content_ok and link_ok: the stored hash fits the row, and the stored previous hash is that of the row before."""
-    linked = with_previous(log, seq, ["row_hash"])
+    linked = with_previous(log, seq, ["row_hash"], chain)
     expected = F.coalesce("previous_row_hash", F.lit(GENESIS))
-    return linked.select(seq, (F.col("row_hash") == row_hash(F.col("previous_hash"), F.col(content))).alias("content_ok"), (F.col("previous_hash") == expected).alias("link_ok"))
+    return linked.select(*([chain] if chain else []), seq, (F.col("row_hash") == row_hash(F.col("previous_hash"), F.col(content))).alias("content_ok"), (F.col("previous_hash") == expected).alias("link_ok"))
 
 
 def summary(checked: DataFrame, log: DataFrame, seq: str = "seq") -> DataFrame:
@@ -52,22 +60,57 @@ def forks(log: DataFrame) -> DataFrame:
     return log.join(shared, "previous_hash")
 
 
-def relink(log: DataFrame, content: str = "content", seq: str = "seq") -> DataFrame:
-    """The log with previous_hash and row_hash computed anew from the first row on.
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """previous_hash and row_hash of rows in order, from the hash that precedes the first one on."""
+    rows = rows.sort_values("seq")
+    previous, links = rows["start"].iloc[0], []
+    for text in rows["content"]:
+        links.append((previous, previous := hashlib.sha256((previous + text).encode()).hexdigest()))
+    return pd.DataFrame({"chain": rows["chain"], "seq": rows["seq"], "previous_hash": [a for a, _ in links], "row_hash": [b for _, b in links]})
+
+
+def relink(log: DataFrame, content: str = "content", seq: str = "seq", chain: str | None = None, start: str | None = None) -> DataFrame:
+    """The log with previous_hash and row_hash computed anew.
+
+    A chain is a fold and has one order, so each chain runs as one group; only seq and the content's text go there.
+    ``start`` names a column with the hash before a chain's first row here; without it the chain begins.
+    """
+    lean = log.select((F.col(chain) if chain else F.lit(0)).cast("string").alias("chain"), F.col(seq).alias("seq"), F.col(content).alias("content"), (F.col(start) if start else F.lit(GENESIS)).alias("start"))
+    anew = lean.groupBy("chain").applyInPandas(_folded, "chain string, seq long, previous_hash string, row_hash string")
+    keys = [chain, seq] if chain else [seq]
+    anew = anew.withColumnRenamed("seq", seq)
+    anew = anew.withColumn(chain, F.col("chain").cast(log.schema[chain].dataType)) if chain else anew
+    return log.drop("previous_hash", "row_hash").join(anew.select(*keys, "previous_hash", "row_hash"), keys)
+
 
-    A chain is a fold and has one order, so it runs as one group; only seq and the content's text go there.
+def diagnosis(log: DataFrame, chain: str, content: str = "content", seq: str = "seq") -> DataFrame:
+    """Per chain n_rows, n_modified, first_break (NULL: none), n_to_relink and status: clean, repairable or refused.
+
+    A row whose own hash doesn't fit its content was changed after it was written: such a chain is refused, as linking it
+    anew would vouch for the change.
     """
-    import hashlib
+    checked = link_check(log, content, seq, chain).withColumn("_rank", F.row_number().over(Window.partitionBy(chain).orderBy(seq)))
+    per = checked.groupBy(chain).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("content_ok")).alias("n_modified"), F.min(F.when(~F.col("link_ok"), F.col(seq))).alias("first_break"), F.max("_rank").alias("_last"), F.min(F.when(~F.col("link_ok"), F.col("_rank"))).alias("_at"))
+    status = F.when(F.col("n_modified") > 0, "refused").when(F.col("first_break").isNotNull(), "repairable").otherwise("clean")
+    later = F.col("_last") - F.col("_at") + 1
+    return per.withColumn("status", status).select(chain, "n_rows", "n_modified", "first_break", F.when(status == "repairable", later).otherwise(0).cast("long").alias("n_to_relink"), "status")
 
-    import pandas as pd
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        previous, links = GENESIS, []
-        for text in rows["content"]:
-            links.append((previous, previous := hashlib.sha256((previous + text).encode()).hexdigest()))
-        return pd.DataFrame({"seq": rows["seq"], "previous_hash": [a for a, _ in links], "row_hash": [b for _, b in links]})
+def repair(log: DataFrame, chain: str, content: str = "content", seq: str = "seq", dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(log, diagnosis): repairable chains linked anew from their first break on, with a row that discloses the repair.
 
-    lean = log.select(F.col(seq).alias("seq"), F.col(content).alias("content"), F.lit(0).alias("chain"))
-    anew = lean.groupBy("chain").applyInPandas(fold, "seq long, previous_hash string, row_hash string")
-    return log.drop("previous_hash", "row_hash").join(anew.withColumnRenamed("seq", seq), seq)
+    A dry run leaves the log as it is.  Rows before a break, clean and refused chains are not touched.
+    """
+    found = diagnosis(log, chain, content, seq)
+    if dry_run:
+        return log, found
+    broken = found.filter("status = 'repairable'").select(chain, "first_break", "n_to_relink")
+    marked = log.join(broken, chain, "left")
+    kept = marked.filter(F.col("first_break").isNull() | (F.col(seq) < F.col("first_break"))).select(*log.columns)
+    before = marked.filter(F.col(seq) < F.col("first_break")).groupBy(chain).agg(F.max_by("row_hash", seq).alias("_start"))
+    told = F.to_json(F.struct(F.lit("CHAIN_REPAIRED").alias("action"), F.col("first_break"), F.col("n_to_relink").alias("n_relinked")))
+    disclosed = marked.filter("first_break is not null").groupBy(chain, "first_break", "n_to_relink").agg((F.max(seq) + 1).alias(seq)).withColumn(content, told)
+    columns = [chain, seq, content]
+    again = marked.filter(F.col(seq) >= F.col("first_break")).select(*log.columns).unionByName(disclosed.select(*columns), allowMissingColumns=True)
+    again = again.join(before, chain, "left").withColumn("_start", F.coalesce("_start", F.lit(GENESIS)))
+    return kept.unionByName(relink(again, content, seq, chain, "_start").select(*log.columns)), found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,20 @@ def next_sequence(*numbers: DataFrame, least: int = 1000) -> DataFrame:
     for more in numbers[1:]:
         out = out.union(more)
     return out.toDF("n").agg((F.greatest(F.coalesce(F.max("n"), F.lit(least)), F.lit(least)) + 1).alias("next"))
+
+
+def flagged_and_analysed(rows: DataFrame, item: str, verdict: str, order: list[str], flags: list[str]) -> DataFrame:
+    """n_flagged: items whose newest verdict is among ``flags``; n_analysed: items with any."""
+    from evidara.operators.latest import latest_per_key
+
+    newest = latest_per_key(rows.select(item, verdict, *[c for c in order if c not in (item, verdict)]), [item], order)
+    return newest.agg(F.count_if(F.col(verdict).isin(flags)).alias("n_flagged"), F.count(verdict).alias("n_analysed"))
+
+
+def previews(rows: DataFrame, verdict: str, order: list[Column], flags: list[str], recent: int = 5, flagged: int = 10) -> DataFrame:
+    """The newest rows and the newest flagged rows, as kind and position before the rows' own columns."""
+    def top(some: DataFrame, kind: str, n: int) -> DataFrame:
+        few = some.orderBy(*order).limit(n)  # so the window sees n rows
+        return few.withColumn("kind", F.lit(kind)).withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
+
+    return top(rows, "recent", recent).unionByName(top(rows.filter(F.col(verdict).isin(flags)), "flagged", flagged))

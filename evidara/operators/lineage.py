@@ -1,10 +1,12 @@
-"""Lineage graphs: bounded climbs, node routes, edges, timelines and components of copies."""
+"""Lineage graphs: bounded climbs, node routes, edges, timelines and the reconstruction of a case."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.functions.hashing import similarity
+
 MOST_HOPS, MOST_NODES = 32, 250
 
 
@@ -56,6 +58,41 @@ def edges(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     return recorded.unionByName(near, allowMissingColumns=True)
 
 
+def with_distances(nodes: DataFrame, own: DataFrame, matches: DataFrame) -> DataFrame:
+    """Adds the distance and similarity to the case: 0 and 1 for its own hashed items, else those of the nearest match."""
+    near = matches.groupBy(F.col("candidate").alias("id")).agg(F.min("distance").alias("_near"))
+    mine = own.filter("hashed").select("id", F.lit(True).alias("_own"))
+    both = nodes.join(near, "id", "left").join(mine, "id", "left").withColumn("distance", F.when(F.col("_own"), 0).otherwise(F.col("_near")))
+    return both.withColumn("similarity", similarity(F.col("distance"))).drop("_near", "_own")
+
+
+def eligible(nodes: DataFrame) -> DataFrame:
+    """Nodes that may be an origin: with a time, and with a distance, a parent or a generation."""
+    return nodes.filter("timestamp is not null and (distance is not null or parent_id is not null or generation is not null)")
+
+
+def reconstruct(case: DataFrame, matches: DataFrame, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """One row: n_nodes, n_edges, status, earliest, n_tied, platforms, generations, truncated of a case's spread.
+
+    ``case`` has id and hashed; ``matches`` query, candidate, distance; ``nodes`` id, parent_id, source_id, generation,
+    platform and timestamp.  The nodes are at most ``most``, so what is collected of them is bounded.
+    """
+    from evidara.sources.tables import durable
+
+    hit = matches.join(case.select(F.col("id").alias("query")), "query", "left_semi")
+    routes = durable(collect_nodes(case, hit.select(F.col("candidate").alias("id")).distinct(), nodes, most))
+    held = durable(with_distances(nodes.join(F.broadcast(routes), "id"), case, hit))
+    kept = eligible(held).select(F.date_trunc("second", "timestamp").alias("at"), F.coalesce("generation", F.lit(99)).alias("g"), "id")
+    first = kept.agg(F.min(F.struct("at", "g", "id")).alias("first"))
+    tied = kept.join(first).filter("at = first.at").agg(F.min("first.id").alias("earliest"), F.count(F.lit(1)).alias("n_tied"))
+    n_edges = edges(held, matches).agg(F.count(F.lit(1)).alias("n_edges"))
+    distinct = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    whole = held.agg(F.count(F.lit(1)).alias("n_nodes"), distinct("platform").alias("platforms"), distinct("generation").alias("generations"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))
+    out = whole.join(n_edges).join(tied)
+    status = F.when(F.col("n_nodes") == 0, "NO_EVIDENCE").when(F.col("n_edges") > 0, "TRACED").otherwise("ISOLATED")
+    return out.withColumn("status", status)
+
+
 def timestamps(items: DataFrame) -> DataFrame:
     """Adds timestamp and where it comes from: observation, else ingestion."""
     source = F.when(F.col("observed_at").isNotNull(), "recorded_observation").otherwise("local_ingestion")

@@ -65,6 +65,13 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def counted_page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page with the total of all rows and whether rows remain after it."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    cut = page(rows, order, limit, offset).crossJoin(F.broadcast(total))  # one row
+    return cut.withColumn("truncated", F.least(F.lit(offset + limit), F.col("total")) < F.col("total"))
+
+
 def with_counts(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Adds a count of each child table, one aggregate and one join each; 0 where there are none."""
     for name, (child, child_key) in children.items():

@@ -1,51 +1,58 @@
-"""Nearest neighbours: exhaustive top-k in blocks of queries, and exact radius joins through bands."""
+"""Nearest neighbours: exhaustive top-k over cells of a grid, and exact radius joins through bands."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import hashing
 
-#: Queries sent to every task at once: the proven bound of what a task holds besides its own rows.
-QUERY_BLOCK = 2048
+#: Queries and index rows of a cell: they set the memory of one task.
+QUERY_BLOCK, INDEX_BLOCK = 2048, 65_536
 
 
 def _top_k(index: DataFrame, queries: DataFrame, k: int, score: Callable, floor: float | None) -> DataFrame:
     """For each query its k lowest (score, candidate) rows among ``index``, the query itself left out.
 
-    Every task reads its part of the index once per block of queries, keeps k rows a query and passes only those on;
-    nothing is paired in a shuffle.  ``score`` gets the block's and the batch's values as arrays.
+    Queries and index are dealt to blocks by id, and each pair of blocks meets in one task, which passes on k rows a query;
+    nothing goes through the driver.  ``score`` gets the two blocks' values as arrays.  The work is queries x rows by
+    definition; each side is sent once for every block of the other.
     """
-    n = queries.count()
-    parts = -(-n // QUERY_BLOCK) or 1
-    slot = F.pmod(F.xxhash64("id"), F.lit(parts))
-    found = None
-    for part in range(parts):
-        block = (queries if parts == 1 else queries.filter(slot == part)).toArrow()
-        ids = block["id"].to_numpy()
-
-        def nearest(batches: Iterator[pa.RecordBatch], block=block, ids=ids) -> Iterator[pa.RecordBatch]:
-            best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
-            best = np.full((len(ids), k), np.inf)
-            for batch in batches:
-                own = batch["id"].to_numpy()
-                value = score(block["value"], batch["value"]).astype(np.float64)
-                value[ids[:, None] == own[None, :]] = np.inf
-                if floor is not None:
-                    value[value > floor] = np.inf
-                both, names = np.hstack([best, value]), np.hstack([best_id, np.broadcast_to(own, value.shape)])
-                order = np.lexsort((names, both), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-            q, j = np.nonzero(np.isfinite(best))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, j]), pa.array(best[q, j])], names=["query", "candidate", "score"])
-
-        one = index.mapInArrow(nearest, "query long, candidate long, score double")
-        found = one if found is None else found.unionByName(one)
+    spread = index.sparkSession.sparkContext.defaultParallelism
+    n_queries, n_index = queries.count(), index.count()
+    rows, columns = -(-n_queries // QUERY_BLOCK) or 1, max(-(-n_index // INDEX_BLOCK), min(spread, -(-n_index // QUERY_BLOCK))) or 1
+    cell = lambda own, other, n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((own if other == "column" else i).alias("row"), (i if other == "column" else own).alias("column"))))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asked = queries.withColumn("cell", cell(deal(rows), "column", columns))
+    held = index.withColumn("cell", cell(deal(columns), "row", rows))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        step = max(1, 8_000_000 // max(1, len(own)))
+        for a in range(0, len(ids) if len(own) else 0, step):
+            value = score(left["value"].slice(a, step), right["value"]).astype(np.float64)
+            some = ids[a : a + step]
+            value[some[:, None] == own[None, :]] = np.inf
+            if floor is not None:
+                value[value > floor] = np.inf
+            # all that tie with the k-th, so that ids decide among them
+            last = np.partition(value, min(k, len(own)) - 1, axis=1)[:, [min(k, len(own)) - 1]]
+            q, j = np.nonzero((value <= last) & np.isfinite(value))
+            order = np.lexsort((own[j], value[q, j], q))
+            q, j = q[order], j[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+            q, j = q[rank < k], j[rank < k]
+            found.append((some[q], own[j], value[q, j]))
+        query, candidate, best = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query": query, "candidate": candidate, "score": best})
+
+    found = asked.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(nearest, "query long, candidate long, score double")
     order = Window.partitionBy("query").orderBy("score", "candidate")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -54,7 +61,7 @@ def hamming_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, candidate, distance, rank over (id, value) tables of 64-bit hashes; NULL hashes take no part."""
 
     def distances(a, b):
-        a, b = a.to_numpy().view(np.uint64), b.to_numpy(zero_copy_only=False).view(np.uint64)
+        a, b = a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)
         return np.bitwise_count(a[:, None] ^ b[None, :])
 
     keep = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("value").cast("long").alias("value")).filter("value is not null")
@@ -66,9 +73,8 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int, floor: float) ->
     """query, candidate, similarity, rank over (id, value) tables of unit vectors; only similarities of ``floor`` or more."""
 
     def negative(a, b):
-        stack = lambda x: np.stack([np.asarray(v, np.float64) for v in x.to_pylist()]) if len(x) else np.empty((0, 0))
-        a, b = stack(a), stack(b)
-        return -(a @ b.T) if len(a) and len(b) else np.empty((len(a), len(b)))
+        a, b = (pc.list_flatten(x).to_numpy().astype(np.float64).reshape(len(x), -1) for x in (a, b))
+        return -(a @ b.T)
 
     keep = lambda df: df.select(F.col("id").cast("long").alias("id"), "value").filter("value is not null")
     found = _top_k(keep(index), keep(queries), k, negative, -floor)
@@ -87,8 +93,11 @@ def hamming_within(left: DataFrame, right: DataFrame, radius: int, bands: int) -
     """All pairs a, b, distance within ``radius`` of two (id, value) tables, by equi-joins on bands.
 
     Hashes within the radius differ by at most radius // bands bits in some band.  The left side lists each band's
-    values within that many bits, the right side its own, and only pairs that share a band are compared.
+    values within that many bits, the right side its own, and only pairs that share a band are compared.  Settings that
+    would flip more than one bit a band are refused: their lists match a third of all pairs and more.
     """
+    if radius // bands > 1:
+        raise ValueError(f"{bands} bands are too few for a radius of {radius}")
     cuts = [hashing.BITS * i // bands for i in range(bands + 1)]
     part = lambda i: F.shiftrightunsigned("value", hashing.BITS - cuts[i + 1]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
     near = lambda i: F.transform(F.array(*[F.lit(m).cast("long") for m in _near_values(cuts[i + 1] - cuts[i], radius // bands)]), lambda m: F.struct(F.lit(i).alias("band"), part(i).bitwiseXOR(m).alias("bits")))
@@ -105,12 +114,20 @@ def ranked_candidates(hashes: DataFrame, vectors: DataFrame, pool: int, top_k: i
 
     ``hashes``: query, candidate, distance, rank, same_bytes of a pool of ``pool`` a query, cut before any filter;
     ``vectors``: query, candidate, similarity, rank.  The union of both is kept where bytes are equal, the distance is
-    within ``most`` or a vector hit vouches for it, then ranked: equal bytes, distance, similarity, id.
+    within ``most`` or a vector hit vouches for it, then ranked: equal bytes, distance, similarity, the distance of a second
+  hash (``dhash_distance``, if ``hashes`` has it; none counts 999), id.
     """
     both = hashes.filter(F.col("rank") <= pool).drop("rank").join(vectors.drop("rank").withColumnRenamed("similarity", "cosine"), ["query", "candidate"], "full_outer")
     same = F.coalesce("same_bytes", F.lit(False))
     kept = both.filter(same | (F.col("distance") <= most) | F.col("cosine").isNotNull())
     scored = kept.withColumn("similarity", hashing.candidate_similarity(hashing.similarity(F.col("distance")), F.col("cosine")))
-    order = Window.partitionBy("query").orderBy(same.desc(), F.coalesce("distance", F.lit(999)), F.col("similarity").desc(), "candidate")
+    dhash = [F.coalesce("dhash_distance", F.lit(999))] if "dhash_distance" in scored.columns else []
+    order = Window.partitionBy("query").orderBy(same.desc(), F.coalesce("distance", F.lit(999)), F.col("similarity").desc(), *dhash, "candidate")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     return ranked.withColumn("band", hashing.band(F.coalesce("distance", F.lit(999)), F.col("cosine")))
+
+
+def match_summary(ranked: DataFrame) -> DataFrame:
+    """Per query the candidates of each band and in all, the least distance and the largest similarity."""
+    kinds = [F.count_if(F.col("band") == b).alias(f"n_{b}") for b in ("strong", "possible")]
+    return ranked.groupBy("query").agg(*kinds, F.count(F.lit(1)).alias("n_candidates"), F.min("distance").alias("least_distance"), F.max("similarity").alias("most_similarity"))

@@ -7,9 +7,9 @@ labels the measured signals and pages the occurrences on the web.
 
 from __future__ import annotations
 
-from evidara.plans import cases, derived, graphs, measures, retrieval, signals
+from evidara.plans import cases, derived, graphs, measures, reads, retrieval, signals
 
-_MODULES = (retrieval, cases, signals, derived, graphs, measures)
+_MODULES = (retrieval, cases, signals, derived, graphs, measures, reads)
 
 
 def queries():

@@ -54,7 +54,7 @@ def anti_unanalysed(spark: SparkSession, d: str) -> DataFrame:
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     """Reports with their case, if it still exists."""
     cases_ = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").filter("l_linenumber = 1")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return lines.join(cases_, "l_orderkey", "left").withColumn("is_orphan", F.col("o_orderdate").isNull())
 
 
@@ -92,7 +92,7 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_pivot(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("user_id % 3 <> 0 or event_type <> 'error'")
+    e = table(spark, d, "events")
     return latest.stage_pivot(e.select("user_id", "event_type", "event_id", "ts", "value"), "user_id", "event_type", EVENT_KINDS, "value", ["ts", "event_id"])
 
 
@@ -123,38 +123,53 @@ def session_validity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a log with gaps; every 97th row names a wrong predecessor, every 101st was changed after hashing."""
-    e = table(spark, d, "events").filter("event_id % 7 <> 3").select(F.col("event_id").alias("seq"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props").alias("content"))
-    linked = chain.with_previous(e, "seq", ["content"])
-    before = F.coalesce(F.sha2(F.col("previous_content"), 256), F.lit(chain.GENESIS))
-    return linked.select("seq", F.when(F.col("seq") % 101 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"), F.when(F.col("seq") % 97 == 0, F.lit("0")).otherwise(before).alias("previous_hash"), F.sha2("content", 256).alias("row_hash"))
+    """Events as one hash chain a user, then spoilt: some rows name a wrong predecessor, others were changed afterwards."""
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props").alias("content"))
+    log = chain.relink(e, chain="user_id")
+    wrong, changed = F.col("seq") % 97 == 0, F.col("seq") % 101 == 0
+    log = log.withColumn("row_hash", F.when(wrong, files.row_hash(F.lit("0"), F.col("content"))).otherwise(F.col("row_hash")))
+    return log.withColumn("previous_hash", F.when(wrong, "0").otherwise(F.col("previous_hash"))).withColumn("content", F.when(changed, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
 
 
 def chain_link_check(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    linked = chain.with_previous(log, "seq", ["row_hash"])
-    return linked.select("seq", (F.col("previous_hash") == F.coalesce("previous_row_hash", F.lit(chain.GENESIS))).alias("link_ok"), (F.sha2("content", 256) == F.col("row_hash")).alias("content_ok"))
+    return chain.link_check(_log(spark, d), chain="user_id")
 
 
 def chain_content_hash(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select("event_id", files.row_hash(F.lit(chain.GENESIS), F.concat_ws("|", "event_type", "props")).alias("row_hash"))
+    """The hashes of each user's chain."""
+    return _log(spark, d).select("seq", "previous_hash", "row_hash")
 
 
 def chain_summary(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    return chain.summary(chain_link_check(spark, d), log)
+    return chain.summary(chain_link_check(spark, d), _log(spark, d))
 
 
 def chain_forks(spark: SparkSession, d: str) -> DataFrame:
     return chain.forks(_log(spark, d)).select("seq", "n_siblings")
 
 
+def chain_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    """What a repair would do with each chain."""
+    return chain.repair(_log(spark, d), "user_id")[1].withColumn("first_break", F.col("first_break").cast("string"))
+
+
+def chain_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows and which head each chain has after the repair, and whether all its links hold."""
+    log, found = chain.repair(_log(spark, d), "user_id", dry_run=False)
+    checked = chain.link_check(log, chain="user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and("link_ok").alias("links_hold"))
+    return checked.join(found.select("user_id", "status"), "user_id")
+
+
 _NEWEST = "row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)"
-_LOG_SQL = """base AS (SELECT event_id AS seq, event_id || '|' || event_type || '|' || props AS content FROM events WHERE event_id % 7 <> 3),
-log AS (SELECT seq, CASE WHEN seq % 101 = 0 THEN content || '!' ELSE content END AS content, sha256(content) AS row_hash,
-  CASE WHEN seq % 97 = 0 THEN '0' ELSE coalesce(sha256(lag(content) OVER (ORDER BY seq)), repeat('0', 64)) END AS previous_hash FROM base),
-checked AS (SELECT seq, previous_hash = coalesce(lag(row_hash) OVER (ORDER BY seq), repeat('0', 64)) AS link_ok, sha256(content) = row_hash AS content_ok FROM log)"""
+_LOG_SQL = """base AS (SELECT user_id, event_id AS seq, event_id || '|' || event_type || '|' || props AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+h(user_id, k, seq, content, previous_hash, row_hash) AS (
+  SELECT user_id, k, seq, content, repeat('0', 64), sha256(repeat('0', 64) || content) FROM base WHERE k = 1
+  UNION ALL SELECT b.user_id, b.k, b.seq, b.content, h.row_hash, sha256(h.row_hash || b.content) FROM h JOIN base b ON b.user_id = h.user_id AND b.k = h.k + 1),
+log AS (SELECT user_id, k, seq, CASE WHEN seq % 101 = 0 THEN content || '!' ELSE content END AS content, CASE WHEN seq % 97 = 0 THEN '0' ELSE previous_hash END AS previous_hash,
+  CASE WHEN seq % 97 = 0 THEN sha256('0' || content) ELSE row_hash END AS row_hash FROM h),
+checked AS (SELECT user_id, k, seq, previous_hash = coalesce(lag(row_hash) OVER (PARTITION BY user_id ORDER BY seq), repeat('0', 64)) AS link_ok, sha256(previous_hash || content) = row_hash AS content_ok FROM log),
+found AS (SELECT user_id, count(*) AS n_rows, count(*) FILTER (WHERE NOT content_ok) AS n_modified, min(seq) FILTER (WHERE NOT link_ok) AS first_break, max(k) - min(k) FILTER (WHERE NOT link_ok) + 1 AS later FROM checked GROUP BY user_id),
+judged AS (SELECT *, CASE WHEN n_modified > 0 THEN 'refused' WHEN first_break IS NOT NULL THEN 'repairable' ELSE 'clean' END AS status FROM found)"""
 
 QUERIES = {
     "case_list_filtered": (
@@ -168,7 +183,7 @@ SELECT *, (SELECT count(*) FROM r) AS total FROM r ORDER BY o_orderdate DESC, o_
     "case_counts": (case_counts, "SELECT c_custkey AS id, count(o_orderkey) AS n_cases, count(o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS n_open FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
     "semi_pending": (semi_pending, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')"),
     "anti_unanalysed": (anti_unanalysed, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
-    "report_rows": (report_rows, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderdate, o_orderdate IS NULL AS is_orphan FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_orderkey = l_orderkey WHERE l_linenumber = 1"),
+    "report_rows": (report_rows, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderdate, o_orderdate IS NULL AS is_orphan FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_orderkey = l_orderkey"),
     "breakdown_zero_filled": (breakdown_zero_filled, "SELECT k.lang, count(d.lang) AS n FROM (SELECT unnest(['en', 'fr', 'de', 'es', 'it']) AS lang) k LEFT JOIN documents d ON d.lang = k.lang GROUP BY k.lang"),
     "verdict_history_vs_current": (
         verdict_history_vs_current,
@@ -186,7 +201,7 @@ UNION ALL SELECT 'cases', count(*) FROM g UNION ALL SELECT 'owners', count(DISTI
     "latest_per_key": (latest_per_key, f"SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, {_NEWEST} AS r FROM events) WHERE r = 1"),
     "stage_pivot": (
         stage_pivot,
-        f"SELECT user_id, {', '.join(f'max(value) FILTER (WHERE event_type = {k!r}) AS {k}' for k in EVENT_KINDS)} FROM (SELECT *, {_NEWEST} AS r FROM events WHERE user_id % 3 <> 0 OR event_type <> 'error') WHERE r = 1 GROUP BY user_id",
+        f"SELECT user_id, {', '.join(f'max(value) FILTER (WHERE event_type = {k!r}) AS {k}' for k in EVENT_KINDS)} FROM (SELECT *, {_NEWEST} AS r FROM events) WHERE r = 1 GROUP BY user_id",
     ),
     "trail_last_n": (
         trail_last_n,
@@ -205,11 +220,16 @@ SELECT user_id, arg_min(event_id, g * 1000000000 + event_id) AS earliest, count(
         """SELECT s.event_id, s.user_id FROM events s LEFT JOIN (SELECT user_id, max(ts) AS r FROM events WHERE event_type = 'error' AND ts <= TIMESTAMP '2024-01-15' GROUP BY user_id) x ON x.user_id = s.user_id
 WHERE event_type = 'signup' AND ts <= TIMESTAMP '2024-01-15' AND ts > TIMESTAMP '2024-01-14' AND (r IS NULL OR r < ts)""",
     ),
-    "chain_link_check": (chain_link_check, f"WITH {_LOG_SQL} SELECT seq, link_ok, content_ok FROM checked"),
-    "chain_content_hash": (chain_content_hash, "SELECT event_id, sha256(repeat('0', 64) || event_type || '|' || props) AS row_hash FROM events"),
+    "chain_link_check": (chain_link_check, f"WITH RECURSIVE {_LOG_SQL} SELECT user_id, seq, link_ok, content_ok FROM checked"),
+    "chain_content_hash": (chain_content_hash, f"WITH RECURSIVE {_LOG_SQL} SELECT seq, previous_hash, row_hash FROM log"),
     "chain_summary": (
         chain_summary,
-        f"WITH {_LOG_SQL} SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (link_ok AND content_ok)) AS n_invalid, min(seq) FILTER (WHERE NOT (link_ok AND content_ok)) AS first_invalid, (SELECT arg_max(row_hash, seq) FROM log) AS head_hash, count(*) FILTER (WHERE NOT (link_ok AND content_ok)) = 0 AS valid FROM checked",
+        f"WITH RECURSIVE {_LOG_SQL} SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (link_ok AND content_ok)) AS n_invalid, min(seq) FILTER (WHERE NOT (link_ok AND content_ok)) AS first_invalid, (SELECT arg_max(row_hash, seq) FROM log) AS head_hash, count(*) FILTER (WHERE NOT (link_ok AND content_ok)) = 0 AS valid FROM checked",
+    ),
+    "chain_forks": (chain_forks, f"WITH RECURSIVE {_LOG_SQL} SELECT seq, n_siblings FROM (SELECT seq, count(*) OVER (PARTITION BY previous_hash) AS n_siblings FROM log) WHERE n_siblings > 1"),
+    "chain_diagnosis": (chain_diagnosis, f"WITH RECURSIVE {_LOG_SQL} SELECT user_id, n_rows, n_modified, CAST(first_break AS VARCHAR) AS first_break, CASE WHEN status = 'repairable' THEN later ELSE 0 END AS n_to_relink, status FROM judged"),
+    "chain_repaired": (
+        chain_repaired,
+        f"""WITH RECURSIVE {_LOG_SQL} SELECT user_id, n_rows + CASE WHEN status = 'repairable' THEN 1 ELSE 0 END AS n_rows, status = 'repairable' OR first_break IS NULL AS links_hold, status FROM judged""",
     ),
-    "chain_forks": (chain_forks, f"WITH {_LOG_SQL} SELECT seq, n_siblings FROM (SELECT seq, count(*) OVER (PARTITION BY previous_hash) AS n_siblings FROM log) WHERE n_siblings > 1"),
 }

@@ -18,10 +18,11 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """Some first answers near the second turn of the conversation before."""
     n = _nodes(spark, d)
-    a = n.select(F.col("id").alias("query"), (F.floor(F.col("id") / 1000) % 17).alias("g"), "generation").filter("generation = 1")
-    b = n.select(F.col("id").alias("candidate"), (F.floor(F.col("id") / 1000) % 17).alias("g"), "generation").filter("generation = 2")
-    return a.join(b, "g").select("query", "candidate", ((F.col("query") + F.col("candidate")) % 13).cast("int").alias("distance")).filter("distance <= 3")
+    a = n.filter("generation = 1").select(F.col("id").alias("query"), F.expr("id div 1000 - 1").alias("conversation"))
+    b = n.filter("generation = 2").select(F.col("id").alias("candidate"), F.expr("id div 1000").alias("conversation"))
+    return a.join(b, "conversation").select("query", "candidate", ((F.col("query") + F.col("candidate")) % 13).cast("int").alias("distance")).filter("distance <= 3")
 
 
 def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +31,7 @@ def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage_edges(spark: SparkSession, d: str) -> DataFrame:
-    n = _nodes(spark, d).filter("id % 1000 < 4")
+    n = _nodes(spark, d)
     return lineage.edges(n, _matches(spark, d)).withColumn("distance", F.col("distance").cast("string"))
 
 
@@ -39,7 +40,7 @@ def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
     case = n.filter("id div 1000 = 4")
     hit = _matches(spark, d).join(case.select(F.col("id").alias("query")), "query", "left_semi").select(F.col("candidate").alias("id")).distinct()
-    return lineage.collect_nodes(case, hit, n).select("id", "discovered_by")
+    return lineage.collect_nodes(case, hit, n).select("id", "discovered_by", "truncated")
 
 
 def propagation_timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def occurrence_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 _N = "n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id, CASE WHEN turn > 0 THEN conv_id * 1000 END AS source_id, turn AS generation FROM conversations GROUP BY conv_id, turn)"
-_M = "mt AS (SELECT a.id AS query, b.id AS candidate, CAST((a.id + b.id) % 13 AS INTEGER) AS distance FROM n a JOIN n b ON a.generation = 1 AND b.generation = 2 AND a.id // 1000 % 17 = b.id // 1000 % 17 WHERE (a.id + b.id) % 13 <= 3)"
+_M = "mt AS (SELECT a.id AS query, b.id AS candidate, CAST((a.id + b.id) % 13 AS INTEGER) AS distance FROM n a JOIN n b ON a.generation = 1 AND b.generation = 2 AND a.id // 1000 - 1 = b.id // 1000 WHERE (a.id + b.id) % 13 <= 3)"
 
 QUERIES = {
     "lineage_recursive": (
@@ -72,7 +73,7 @@ QUERIES = {
     ),
     "lineage_edges": (
         lineage_edges,
-        f"""WITH {_N}, {_M}, s AS (SELECT * FROM n WHERE id % 1000 < 4)
+        f"""WITH {_N}, {_M}, s AS (SELECT * FROM n)
 SELECT parent_id AS source, id AS target, 'recorded_parent' AS relation, NULL::VARCHAR AS distance, false AS verified FROM s WHERE parent_id IN (SELECT id FROM s)
 UNION ALL SELECT query, candidate, 'near_duplicate_candidate', CAST(distance AS VARCHAR), true FROM mt WHERE query IN (SELECT id FROM s) AND candidate IN (SELECT id FROM s)""",
     ),
@@ -83,7 +84,7 @@ g AS (SELECT DISTINCT source_id FROM n WHERE id IN (SELECT id FROM hit) AND id N
 known AS (SELECT id, 0 AS r FROM own UNION ALL SELECT id, 1 FROM hit UNION ALL SELECT id, 2 FROM n WHERE source_id IN (SELECT source_id FROM g) OR id IN (SELECT source_id FROM g)),
 up(id) AS (SELECT id FROM known UNION SELECT n.parent_id FROM up JOIN n ON n.id = up.id WHERE n.parent_id IS NOT NULL),
 al AS (SELECT id, min(r) AS r FROM (SELECT * FROM known UNION ALL SELECT id, 2 FROM up WHERE id IN (SELECT id FROM n)) GROUP BY id)
-SELECT id, ['case_evidence', 'perceptual_match', 'recorded_lineage'][r + 1] AS discovered_by FROM al ORDER BY r, id LIMIT 250""",
+SELECT id, ['case_evidence', 'perceptual_match', 'recorded_lineage'][r + 1] AS discovered_by, (SELECT count(*) FROM al) > 250 AS truncated FROM al ORDER BY r, id LIMIT 250""",
     ),
     "propagation_timeline": (
         propagation_timeline,

@@ -26,7 +26,7 @@ def hamming_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def hamming_bands(spark: SparkSession, d: str) -> DataFrame:
     h = _hashes(spark, d)
-    return neighbours.hamming_within(h, h, 20, 10).withColumn("band", hashing.band(F.col("distance"), strong=16))
+    return neighbours.hamming_within(h, h, 17, 9).withColumn("band", hashing.band(F.col("distance"), strong=16))
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -34,17 +34,27 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.cosine_top_k(v, v, 5, 0.2).select("query", "candidate", "rank", F.round("similarity", 5).alias("similarity"))
 
 
-def multi_signal_verify(spark: SparkSession, d: str) -> DataFrame:
+def _verified(spark: SparkSession, d: str) -> DataFrame:
     h, v = _hashes(spark, d), _vectors(spark, d)
-    same = (F.col("query") % 100) == (F.col("candidate") % 100)  # stands for equal bytes
-    pool = neighbours.hamming_top_k(h, h, 15).withColumn("same_bytes", same)
-    ranked = neighbours.ranked_candidates(pool, neighbours.cosine_top_k(v, v, 3, 0.3), 15, 5, 20)
-    return ranked.select("query", "candidate", F.col("distance").cast("string").alias("distance"), "rank", "band")
+    owner = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("digest"))  # equal labels stand for equal bytes
+    pool = neighbours.hamming_top_k(h, h, 15).join(owner.toDF("query", "q"), "query").join(owner.toDF("candidate", "c"), "candidate")
+    pool = pool.withColumn("same_bytes", F.col("q") == F.col("c")).drop("q", "c")
+    return neighbours.ranked_candidates(pool, neighbours.cosine_top_k(v, v, 3, 0.3), 15, 5, 20)
+
+
+def multi_signal_verify(spark: SparkSession, d: str) -> DataFrame:
+    return _verified(spark, d).select("query", "candidate", F.col("distance").cast("string").alias("distance"), "rank", "band")
+
+
+def stored_match_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per query its candidates by band, the nearest and the most similar one."""
+    out = neighbours.match_summary(_verified(spark, d))
+    return out.withColumn("least_distance", F.col("least_distance").cast("string")).withColumn("most_similarity", F.round("most_similarity", 5))
 
 
 def min_distance(spark: SparkSession, d: str) -> DataFrame:
     h = _hashes(spark, d)
-    found = neighbours.hamming_top_k(h.filter("id % 10 = 0"), h, 1)
+    found = neighbours.hamming_top_k(h, h, 1)
     return found.select("query", F.col("candidate").alias("nearest"), "distance")
 
 
@@ -66,7 +76,8 @@ def false_match_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return docs.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids")).filter("n > 1")
+    groups = docs.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return docs.join(groups, "sha256")  # the members as rows: a group may hold any number
 
 
 def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -89,20 +100,25 @@ _C = """cosv AS (SELECT a.vec_id AS query, b.vec_id AS candidate, list_sum([CAST
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 cosr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, candidate) AS INTEGER) AS rank FROM cosv WHERE s >= {floor})"""
 
+_VERIFIED = f"""WITH {_H}, {_C.format(floor=0.3)},
+both_ AS (SELECT coalesce(r.query, c.query) AS query, coalesce(r.candidate, c.candidate) AS candidate, r.distance, r.same AS same_bytes, c.s
+  FROM (SELECT ranked.*, q.label = c.label AS same FROM ranked JOIN embeddings q ON q.vec_id = query JOIN embeddings c ON c.vec_id = candidate WHERE rank <= 15) r
+  FULL JOIN (SELECT * FROM cosr WHERE rank <= 3) c ON r.query = c.query AND r.candidate = c.candidate),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coalesce(same_bytes, false) DESC, coalesce(distance, 999), greatest(1 - distance / 64.0::DOUBLE, s) DESC, candidate) AS r
+  FROM both_ WHERE coalesce(same_bytes, false) OR distance <= 20 OR s IS NOT NULL),
+verified AS (SELECT query, candidate, distance, s, CAST(r AS INTEGER) AS rank, CASE WHEN coalesce(distance, 999) <= 6 OR coalesce(s >= 0.85, false) THEN 'strong' ELSE 'possible' END AS band FROM kept WHERE r <= 5)"""
+
 QUERIES = {
     "hamming_topk": (hamming_topk, f"WITH {_H} SELECT query, candidate, distance, rank, 1 - distance / 64.0::DOUBLE AS similarity, CASE WHEN distance <= 16 THEN 'strong' ELSE 'possible' END AS band FROM ranked WHERE rank <= 5"),
-    "hamming_bands": (hamming_bands, f"WITH {_H} SELECT query AS a, candidate AS b, distance, CASE WHEN distance <= 16 THEN 'strong' ELSE 'possible' END AS band FROM near WHERE distance <= 20"),
+    "hamming_bands": (hamming_bands, f"WITH {_H} SELECT query AS a, candidate AS b, distance, CASE WHEN distance <= 16 THEN 'strong' ELSE 'possible' END AS band FROM near WHERE distance <= 17"),
     "cosine_topk": (cosine_topk, f"WITH {_C.format(floor=0.2)} SELECT query, candidate, rank, round(s, 5) AS similarity FROM cosr WHERE rank <= 5"),
-    "multi_signal_verify": (
-        multi_signal_verify,
-        f"""WITH {_H}, {_C.format(floor=0.3)},
-both_ AS (SELECT coalesce(r.query, c.query) AS query, coalesce(r.candidate, c.candidate) AS candidate, r.distance, r.query % 100 = r.candidate % 100 AS same_bytes, c.s
-  FROM (SELECT * FROM ranked WHERE rank <= 15) r FULL JOIN (SELECT * FROM cosr WHERE rank <= 3) c ON r.query = c.query AND r.candidate = c.candidate),
-kept AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coalesce(same_bytes, false) DESC, coalesce(distance, 999), greatest(1 - distance / 64.0::DOUBLE, s) DESC, candidate) AS rank
-  FROM both_ WHERE coalesce(same_bytes, false) OR distance <= 20 OR s IS NOT NULL)
-SELECT query, candidate, CAST(distance AS VARCHAR) AS distance, CAST(rank AS INTEGER) AS rank, CASE WHEN coalesce(distance, 999) <= 6 OR coalesce(s >= 0.85, false) THEN 'strong' ELSE 'possible' END AS band FROM kept WHERE rank <= 5""",
+    "multi_signal_verify": (multi_signal_verify, f"{_VERIFIED} SELECT query, candidate, CAST(distance AS VARCHAR) AS distance, rank, band FROM verified"),
+    "stored_match_summary": (
+        stored_match_summary,
+        f"""{_VERIFIED} SELECT query, count(*) FILTER (WHERE band = 'strong') AS n_strong, count(*) FILTER (WHERE band = 'possible') AS n_possible, count(*) AS n_candidates,
+  CAST(min(distance) AS VARCHAR) AS least_distance, round(max(greatest(1 - distance / 64.0::DOUBLE, s)), 5) AS most_similarity FROM verified GROUP BY query""",
     ),
-    "min_distance": (min_distance, f"WITH {_H} SELECT query, arg_min(candidate, CAST(distance AS BIGINT) * 1000000000 + candidate) AS nearest, min(distance) AS distance FROM near WHERE candidate % 10 = 0 GROUP BY query"),
+    "min_distance": (min_distance, f"WITH {_H} SELECT query, arg_min(candidate, CAST(distance AS BIGINT) * 1000000000 + candidate) AS nearest, min(distance) AS distance FROM near GROUP BY query"),
     "recall_at_k_rollup": (
         recall_at_k_rollup,
         f"""WITH {_H}, hit AS (SELECT CAST(q.label AS VARCHAR) AS category, r.query, min(CASE WHEN q.label = c.label THEN rank END) AS hit
@@ -111,7 +127,7 @@ SELECT coalesce(category, 'overall') AS category, count(*) AS n_queries, {", ".j
 FROM hit GROUP BY ROLLUP (category)""",
     ),
     "false_match_rate": (false_match_rate, f"WITH {_H} SELECT count(*) AS n_pairs, count(*) FILTER (WHERE distance <= 28) AS n_matched FROM near WHERE candidate - query BETWEEN 1 AND 3"),
-    "exact_dup_groups": (exact_dup_groups, "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1"),
+    "exact_dup_groups": (exact_dup_groups, "SELECT * FROM (SELECT doc_id, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS n, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE n > 1"),
     "dedup_first_wins": (dedup_first_wins, "SELECT min(doc_id) AS doc_id, source, sha256(text) AS sha256 FROM documents GROUP BY source, text"),
     "contamination_exact": (contamination_exact, "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON lower(trim(d.text)) = lower(trim(b.text))"),
 }
