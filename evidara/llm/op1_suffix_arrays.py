@@ -3,7 +3,7 @@
 1. Sample.  In every run of 20 consecutive 6-word grams the one with the smallest hash (leftmost of equals) is a
    minimiser, so the choice depends on content alone and equal passages keep equal suffixes.  Every 25 consecutive
    words hold at least one retained suffix.
-2. Sort and compare.  Retained suffixes are sorted by their first 25 words (64-bit keys over key ranges,
+2. Sort and compare.  Retained suffixes are sorted by their first 25 words (64-bit keys with 32 more bits of a second hash, over key ranges,
    ``repeats``); one whose neighbours come from another document is a seed.
 3. Extend.  Every 50-word window whose leading 25 words hold a seed is matched left and right of the seed: the
    windows' keys are sorted and compared in the same way.  Two equal windows of 50 words have the same leading
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm import repeats
-from evidara.llm.common import covered, rolling, runs, scramble, table, window_starts
+from evidara.llm.common import covered, rolling, runs, table, window_starts
 
 LENGTH, GRAM, RUN = 50, 6, 20
 SCHEMA = "doc_id long, start long, end long, n_words long, n_removable long, passage string"
@@ -49,43 +49,38 @@ def minimisers(codes: np.ndarray, offsets: np.ndarray, gram: int, run: int) -> n
     return kept
 
 
-def _key(block: repeats.Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    first = scramble(block.codes) >> np.uint64(56)
-    whole = rolling(block.codes, width)[starts]
-    return starts, (first[starts] << np.uint64(56)) | (first[starts + 1] << np.uint64(48)) | (whole >> np.uint64(16))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN) -> DataFrame:
     """Maximal spans of words that lie in ``length``-word windows found in several documents."""
     reach = gram + run - 1
     assert length >= 2 * reach, "a repeat must hold a retained suffix with reach words to its right"
     blocks = repeats.in_blocks(docs)
-    def suffixes(block: repeats.Words) -> tuple[np.ndarray, np.ndarray]:
+
+    def suffixes(block: repeats.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = np.zeros(len(block.codes), bool)
         inside[window_starts(block.offsets, reach)] = True
-        return _key(block, np.flatnonzero(minimisers(block.codes, block.offsets, gram, run) & inside), reach)
+        return repeats.sequence_keys(block, np.flatnonzero(minimisers(block.codes, block.offsets, gram, run) & inside), reach)
 
     bounds = repeats.plan_groups(docs, lambda block: suffixes(block)[1] >> np.uint64(48))
     seeds = repeats.answers(blocks, suffixes, bounds)
 
-    def extended(block: repeats.Words, answer: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        at, keys = suffixes(block)
-        shared, _ = repeats.judge(block, at, keys, answer, bounds)
+    def extended(block: repeats.Words, answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, keys, checks = suffixes(block)
+        shared, _ = repeats.judge(block, at, keys, checks, answer, bounds)
         until = np.concatenate([[0], np.cumsum(np.bincount(at[shared], minlength=len(block.codes)))])
         starts = window_starts(block.offsets, length)
-        return _key(block, starts[until[starts + run] > until[starts]], length)
+        return repeats.sequence_keys(block, starts[until[starts + run] > until[starts]], length)
 
     def send(texts: pa.Table, answer: pa.Table) -> pa.Table:
         block = texts["block"][0].as_py()
-        return repeats.packed(block, extended(repeats.Words(texts), answer)[1] if block >= 0 else np.empty(0, np.uint64), bounds)
+        return repeats.packed(block, *(extended(repeats.Words(texts), answer)[1:] if block >= 0 else repeats.NO_KEYS), bounds)
 
     def spans(texts: pa.Table, both: pa.Table) -> pa.Table:
         if texts["block"][0].as_py() < 0:  # NULL ids
             return pa.table({name: pa.array([], kind) for name, kind in zip(NAMES, [pa.int64()] * 5 + [pa.string()], strict=True)})
         block = repeats.Words(texts)
         of = [both.filter(pc.equal(both["round"], k)) for k in (1, 2)]
-        at, keys = extended(block, of[0])
-        shared, earlier = repeats.judge(block, at, keys, of[1], bounds)
+        at, keys, checks = extended(block, of[0])
+        shared, earlier = repeats.judge(block, at, keys, checks, of[1], bounds)
         some, removable = (covered(len(block.words), at[x], length) for x in (shared, earlier))
         i, a, b = runs(some, block.offsets)
         n = np.concatenate([[0], np.cumsum(removable)])

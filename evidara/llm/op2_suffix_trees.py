@@ -20,19 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm import repeats
-from evidara.llm.common import covered, per_text, rolling, runs, scramble, table, window_starts
+from evidara.llm.common import covered, per_text, runs, scramble, table, window_starts
 
 WINDOW = 13
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
 
-def suffix_keys(block: repeats.Words, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows and their keys: a byte of the first word's code, a byte of the second's, 48 bits of the whole."""
-    starts = window_starts(block.offsets, width)
-    first = scramble(block.codes) >> np.uint64(56)
-    whole = rolling(block.codes, width)
-    second = first[starts + 1] if width > 1 else np.zeros(len(starts), np.uint64)
-    return starts, (first[starts] << np.uint64(56)) | (second << np.uint64(48)) | (whole[starts] >> np.uint64(16))
+def suffix_keys(block: repeats.Words, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of windows, their keys and checks."""
+    return repeats.sequence_keys(block, window_starts(block.offsets, width), width)
 
 
 def leading(block: repeats.Words, width: int = WINDOW) -> np.ndarray:
@@ -53,8 +49,8 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             texts = texts.set_column(0, "doc_id", pa.array(np.zeros(texts.num_rows, np.int64)))
             return _kept(repeats.Words(texts), np.empty(0, np.int64), width, True)
         block = repeats.Words(texts)
-        starts, key = keys(block)
-        _, earlier = repeats.judge(block, starts, key, answer, bounds)
+        starts, key, check = keys(block)
+        _, earlier = repeats.judge(block, starts, key, check, answer, bounds)
         return _kept(block, starts[earlier], width, False)
 
     return repeats.answered(blocks, reply, remove, SCHEMA)

@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import WORD_BREAK, table
+from evidara.llm.common import WORD_BREAK, hot_keys, salted_join, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-LEAST, SHARE, KEEP = 20, 0.005, 0.5
+LEAST, SHARE, KEEP = 5, 0.005, 0.5
 #: The frequent lines are repeated so often, and a line's rows are dealt over as many keys.
 SALTS = 16
 
@@ -72,20 +72,22 @@ def marked_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
     return once.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(frequent, ["host", "line", "salt"], "left")
 
 
-def depleted(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """host, content (hash of the text), n_left, n_line_words of documents that lose more than they may."""
+def losses(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """host, content (hash of the text), n_frequent_words and depleted, of documents that lose words at all."""
     marked = marked_lines(docs, least, share)
-    left = marked.groupBy("host", "content").agg(F.sum(F.when(F.col("above"), 0).otherwise(F.col("n"))).alias("n_left"), F.sum("n").alias("n_line_words"))
-    return left.filter(F.col("n_left") < keep * F.col("n_line_words"))
+    lost = marked.groupBy("host", "content").agg(F.sum(F.when(F.col("above"), F.col("n")).otherwise(0)).alias("n_frequent_words"), F.sum("n").alias("n"))
+    return lost.filter("n_frequent_words > 0").select("host", "content", "n_frequent_words", (F.col("n") - F.col("n_frequent_words") < keep * F.col("n")).alias("depleted"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, depleted and kept."""
+    """doc_id, the base counts, base_failed, n_frequent_words (in lines above the limit), depleted and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    judged = base_counts(docs).withColumn("host", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("content", F.xxhash64("text")).drop("text")
-    gone = depleted(docs).select("host", "content", F.lit(True).alias("depleted"))
-    out = judged.join(gone, ["host", "content"], "left").withColumn("depleted", F.coalesce("depleted", F.lit(False)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
+    host, content = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.xxhash64("text")
+    judged = base_counts(docs).withColumn("host", host).withColumn("content", content).drop("text")
+    copies = docs.select(host.alias("host"), content.alias("content")).groupBy("host", "content").agg(F.count(F.lit(1)).alias("n"))
+    out = salted_join(judged, losses(docs), ["host", "content"], hot_keys(copies, ["host", "content"]), F.col("doc_id"), "left")
+    out = out.withColumn("depleted", F.coalesce("depleted", F.lit(False))).withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)).cast("long"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
 
 
 def without_frequent_lines(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -130,14 +132,15 @@ WITH w AS (
   SELECT host, line FROM (SELECT host, line, count(*) AS n_docs FROM once GROUP BY host, line)
   JOIN (SELECT host, count(*) AS host_docs FROM contents GROUP BY host) USING (host)
   WHERE n_docs > greatest({LEAST}, {SHARE} * host_docs)
-), gone AS (
-  SELECT o.host, o.t FROM once o LEFT JOIN frequent f ON o.host = f.host AND o.line = f.line
-  GROUP BY o.host, o.t HAVING sum(CASE WHEN f.line IS NULL THEN n ELSE 0 END) < {KEEP} * sum(n)
+), lost AS (
+  SELECT o.host, o.t, sum(CASE WHEN f.line IS NULL THEN 0 ELSE n END) AS away, sum(n) AS n FROM once o LEFT JOIN frequent f ON o.host = f.host AND o.line = f.line
+  GROUP BY o.host, o.t
 ), judged AS (
-  SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, gone.t IS NOT NULL AS depleted
-  FROM base LEFT JOIN gone ON gone.host = base.host AND gone.t = base.t
+  SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(coalesce(away, 0) AS BIGINT) AS n_frequent_words,
+         coalesce(n - away < {KEEP} * n, FALSE) AS depleted
+  FROM base LEFT JOIN lost ON lost.host = base.host AND lost.t = base.t
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, depleted,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, depleted,
        NOT base_failed AND NOT depleted AS kept FROM judged
 """
 

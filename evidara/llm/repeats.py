@@ -6,8 +6,10 @@ neighbours and answers each block with two bits a key: held by another document,
 doc_id.  Within a block the documents decide for themselves.  A passage that a third of all documents share is
 therefore one key a block, whatever the number of documents, and no task sees more than a block or a group.
 
-Keys are 64-bit hashes of word sequences.  Two different sequences with equal keys would be taken for equal; over n
-distinct keys that is expected n*n/2**65 times, far under one for 10**9 keys.
+A sequence is known by 96 bits: a 64-bit key, whose leading two bytes stand for its first two words and whose other 48 are
+of a hash of the whole, and 32 bits of a second hash.  Sequences are never compared word by word, as that would send
+each of them in full.  Two different sequences with the same first two words would be taken for equal with a chance of
+2**-80: over m sequences of that beginning m*m/2**81 expected times, 4e-8 for 3*10**8 of them.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import code_words, in_pieces, split_words, texts
+from evidara.llm.common import code_words, in_pieces, rolling, scramble, split_words, texts
 
 #: Words in a block and keys in a group; they set the memory of one task.
 BLOCK_CHARS = 4_000_000
 GROUP_KEYS = 2_000_000
+#: Quantiles of doc_id that the driver gets at most.
+RANGES = 1 << 16
 
 
 class Words:
@@ -43,29 +47,79 @@ class Words:
         return self.doc_id[np.searchsorted(self.offsets, positions, "right") - 1]
 
 
-#: Of a block's words: the positions that count and the key of each.
-Keys = Callable[[Words], tuple[np.ndarray, np.ndarray]]
+#: Of a block's words: the positions that count, and the key and check of each.
+Keys = Callable[[Words], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def sequence_keys(block: Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts; a byte of the first word's code, one of the second's and 48 bits of the whole; 32 bits of another hash."""
+    other = scramble(block.codes)
+    first = other >> np.uint64(56)
+    second = first[starts + 1] if width > 1 else np.zeros(len(starts), np.uint64)
+    key = (first[starts] << np.uint64(56)) | (second << np.uint64(48)) | (rolling(block.codes, width)[starts] >> np.uint64(16))
+    return starts, key, (rolling(other, width)[starts] >> np.uint64(32)).astype(np.uint32)
+
+
+def _sorted(keys: np.ndarray, checks: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """Order by key, check and ``then``; checks only matter to the rare keys that have several."""
+    order = np.lexsort((*then, keys))
+    k, c = keys[order], checks[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((*then, checks, keys))
+    return order
+
+
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys with their checks, and the place of each one given among them."""
+    order = _sorted(keys, checks)
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    at = np.empty(len(k), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return k[new], c[new], at
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text, block: ranges of doc_id of about BLOCK_CHARS characters; NULL ids form the block -1.
+    """doc_id, text, block: ranges of doc_id of about BLOCK_CHARS characters; rows of NULL ids form blocks under 0.
 
-    The bounds are quantiles of doc_id, a list of one number a block, and become constants of the plan: a stage that
-    runs again after a lost executor deals the same rows to the same block.
+    At most RANGES quantiles of doc_id reach the driver, with the characters between two of them: small neighbours are
+    put together, a large one is cut into equal widths of doc_id.  They become constants of the plan: a stage that runs
+    again after a lost executor deals the same rows to the same block.
     """
     docs = texts(docs)
-    n_chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-n_chars // BLOCK_CHARS))
-    cuts = np.linspace(0, 1, n + 1)[1:-1].tolist()
-    bounds = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * n))).first()[0] if cuts else None
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    first = docs.agg(F.sum(size).alias("n"), F.sum(F.when(F.col("doc_id").isNull(), size)).alias("none")).first()
+    n_none = -(-(first["none"] or 0) // BLOCK_CHARS) or 1
+    n_ranges = min(RANGES, 4 * -(-(first["n"] or 0) // BLOCK_CHARS))
+    cuts = np.linspace(0, 1, n_ranges + 1)[1:-1].tolist() if n_ranges > 4 else []
+    found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * n_ranges))).first()[0] if cuts else None
+    edges = np.unique(np.array(found or [], np.int64))
+
+    @F.pandas_udf("long")
+    def between(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, doc_id.to_numpy(np.int64), "left"))
+
+    bounds = [*edges.tolist()]
+    if len(edges):
+        ranged = docs.filter("doc_id is not null").select("doc_id", size.alias("n"), between("doc_id").alias("range"))
+        sums = ranged.groupBy("range").agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).toPandas().sort_values("range")
+        bounds, held = [], 0
+        for n, low, high in zip(sums["n"].tolist(), sums["low"].tolist(), sums["high"].tolist(), strict=True):
+            if held and held + n > BLOCK_CHARS:
+                bounds.append(low - 1)
+                held = 0
+            parts = max(1, -(-n // BLOCK_CHARS))
+            bounds += [low + (high - low) * k // parts for k in range(1, parts)]
+            held += n // parts
+    inner = np.unique(np.array(bounds, np.int64))
 
     @F.pandas_udf("long")
     def block(doc_id: pd.Series) -> pd.Series:
-        ids = doc_id.fillna(0).astype("int64").to_numpy()
-        return pd.Series(np.where(doc_id.isna(), -1, np.searchsorted(bounds, ids, "left")))
+        return pd.Series(np.searchsorted(inner, doc_id.to_numpy(np.int64), "left"))
 
-    return docs.withColumn("block", block("doc_id"))
+    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(n_none))
+    return docs.withColumn("block", F.when(F.col("doc_id").isNull(), spread).otherwise(block(F.coalesce("doc_id", F.lit(0).cast("long")))))
 
 
 def plan_groups(docs: DataFrame, leading: Callable[[Words], np.ndarray]) -> np.ndarray:
@@ -102,47 +156,46 @@ def plan_groups(docs: DataFrame, leading: Callable[[Words], np.ndarray]) -> np.n
     return np.unique(np.array(bounds, np.uint64))
 
 
-def _encode(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys: the first in full, then differences in as few bytes as the largest one needs."""
+def _encode(keys: np.ndarray, checks: np.ndarray) -> bytes:
+    """Sorted keys: the first in full, then differences in as few bytes as the largest one needs; then the checks."""
     gaps = np.diff(keys)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
     body = np.ascontiguousarray(gaps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + body.tobytes()
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + body.tobytes() + checks.astype("<u4").tobytes()
 
 
-def _decode(blob: bytes) -> np.ndarray:
+def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
+    n = (len(blob) - 9 + width) // (width + 4)
+    gaps = np.zeros((n, 8), np.uint8)
     gaps[0] = np.frombuffer(blob, np.uint8, 8, 1)
-    gaps[1:, :width] = body
-    return np.cumsum(gaps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+    gaps[1:, :width] = np.frombuffer(blob, np.uint8, (n - 1) * width, 9).reshape(-1, width)
+    return np.cumsum(gaps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64), np.frombuffer(blob[9 + (n - 1) * width :], "<u4")
 
 
-def packed(block: int, keys: np.ndarray, bounds: np.ndarray) -> pa.Table:
-    """A block's distinct keys, one row for each key range that it has keys in; none of the block of NULL ids."""
-    keys = keys[: len(keys) * (block >= 0)]
-    distinct = np.unique(keys)
-    cut = np.searchsorted(distinct, bounds)
-    parts = [(g, distinct[a:b]) for g, (a, b) in enumerate(zip(cut, [*cut[1:], len(distinct)], strict=True)) if b > a]
-    return pa.table({"grp": pa.array([g for g, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "keys": pa.array([_encode(k) for _, k in parts], pa.binary())})
+def packed(block: int, keys: np.ndarray, checks: np.ndarray, bounds: np.ndarray) -> pa.Table:
+    """A block's distinct keys, one row for each key range that it has keys in."""
+    keys, checks, _ = distinct(keys, checks)
+    cut = np.searchsorted(keys, bounds)
+    parts = [(g, a, b) for g, (a, b) in enumerate(zip(cut, [*cut[1:], len(keys)], strict=True)) if b > a]
+    sent = [_encode(keys[a:b], checks[a:b]) for _, a, b in parts]
+    return pa.table({"grp": pa.array([g for g, *_ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "keys": pa.array(sent, pa.binary())})
 
 
 def _compare(sent: pa.Table) -> pa.Table:
     """The subtree of one key range: equal neighbours in sorted order are one node; who else is below it."""
     blocks = sent["block"].to_numpy()
     lists = [_decode(x.as_py()) for x in sent["keys"]]
-    rank = np.repeat(blocks, [len(x) for x in lists])
-    keys = np.concatenate(lists)
-    order = np.lexsort((rank, keys))
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
+    rank = np.repeat(blocks, [len(x) for x, _ in lists])
+    keys, checks = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = _sorted(keys, checks, rank)
+    same = (keys[order][1:] == keys[order][:-1]) & (checks[order][1:] == checks[order][:-1])
     later = np.concatenate([[False], same])  # a smaller block has it too
     shared = later | np.concatenate([same, [False]])
     bits = np.zeros((2, len(keys)), bool)
     bits[0, order], bits[1, order] = shared, later
-    ends = np.cumsum([len(x) for x in lists])
-    pack = lambda row: [np.packbits(row[e - len(x) : e]).tobytes() for x, e in zip(lists, ends, strict=True)]
+    ends = np.cumsum([len(x) for x, _ in lists])
+    pack = lambda row: [np.packbits(row[e - len(x) : e]).tobytes() for (x, _), e in zip(lists, ends, strict=True)]
     return pa.table({"grp": sent["grp"], "block": sent["block"], "shared": pa.array(pack(bits[0]), pa.binary()), "earlier": pa.array(pack(bits[1]), pa.binary())})
 
 
@@ -151,27 +204,31 @@ def compared(sent: DataFrame) -> DataFrame:
     return sent.groupBy("grp").applyInArrow(_compare, "grp long, block long, shared binary, earlier binary")
 
 
+#: What the blocks of NULL ids send.
+NO_KEYS = (np.empty(0, np.uint64), np.empty(0, np.uint32))
+
+
 def answers(blocks: DataFrame, keys: Keys, bounds: np.ndarray) -> DataFrame:
     """What the key ranges answer each block about the keys of its documents."""
 
     def send(docs: pa.Table) -> pa.Table:
         block = docs["block"][0].as_py()
-        return packed(block, keys(Words(docs))[1] if block >= 0 else np.empty(0, np.uint64), bounds)
+        return packed(block, *(keys(Words(docs))[1:] if block >= 0 else NO_KEYS), bounds)
 
     return compared(blocks.groupBy("block").applyInArrow(send, "grp long, block long, keys binary"))
 
 
-def judge(block: Words, positions: np.ndarray, keys: np.ndarray, answer: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def judge(block: Words, positions: np.ndarray, keys: np.ndarray, checks: np.ndarray, answer: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per position: another document has its key; a document with a smaller doc_id has it."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    cut = [*np.searchsorted(distinct, bounds), len(distinct)]
-    shared, earlier = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+    own, _, at = distinct(keys, checks)
+    cut = [*np.searchsorted(own, bounds), len(own)]
+    shared, earlier = np.zeros(len(own), bool), np.zeros(len(own), bool)
     for g, s, e in zip(answer["grp"].to_pylist(), answer["shared"].to_pylist(), answer["earlier"].to_pylist(), strict=True):
         a, b = cut[g], cut[g + 1]
         shared[a:b] = np.unpackbits(np.frombuffer(s, np.uint8), count=b - a)
         earlier[a:b] = np.unpackbits(np.frombuffer(e, np.uint8), count=b - a)
     owner = block.owner(positions)
-    least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+    least, most = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
     np.minimum.at(least, at, owner)
     np.maximum.at(most, at, owner)
     shared |= least < most

@@ -144,6 +144,49 @@ def test_op6_base_score_and_model(spark, monkeypatch, head):
     assert len(nothing) == len(rows) and all(r.base_score == 0 and math.isfinite(r.score) for r in nothing)
 
 
+def test_op6_head_is_bounded_at_equal_counts(spark, monkeypatch):
+    """More kinds than HEAD at the top count: own classes stay, the head is filled with the smallest codes."""
+    monkeypatch.setattr(op6, "HEAD", 500)
+    counts = spark.range(5000).selectExpr("xxhash64(id) as code", "id % 64 as shared", "2000000L as n")
+    found = op6.Vocabulary(counts)
+    assert (found.own >= 0).sum() == op6.OWN and 200 < len(found.codes) <= 500 + op6.OWN and found.n == 10**10
+
+
+def test_op6_scores_equal_the_definition_and_no_partitioning_matters(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "end", "of", f"w{rng.randrange(400)}", f"once{i}"]) for _ in range(rng.randrange(30)))) for i in range(120)]
+    docs = spark.createDataFrame(rows + [rows[5], rows[5], (None, "the end"), (500, None)], "doc_id long, text string")
+    learnt = docs.filter("doc_id % 5 > 0")
+    found = [sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in op6.language_model(docs.repartition(n), learnt.repartition(n)).collect()) for n in (1, 5)]
+    assert len(found[0]) == 124 and np.allclose(np.array(found[0]), np.array(found[1]), atol=1e-6)
+
+    counts = op6.count(op6.texts(learnt))
+    words_ = op6.Vocabulary(counts)
+    context, out, c1, c2, bias = (model := op6.train(op6.texts(learnt), words_)).parts
+    n_of = {np.uint64(r.code & (2**64 - 1)): r.n for r in counts.collect()}
+
+    def class_of(code, shared):
+        at = np.flatnonzero(words_.codes == code)
+        return int(words_.own[at[0]]) if len(at) and words_.own[at[0]] >= 0 else op6.OWN + shared
+
+    want = []
+    for d, t in [(r.doc_id, r.text) for r in docs.collect()]:
+        total, two, one = 0.0, op6.START, op6.START
+        for w in [*words(lower(t)), None]:
+            code = np.uint64(op6.END if w is None else op6.xxhash.xxh3_64_intdigest(w))
+            of = class_of(code, 0 if w is None else op6.xxhash.xxh3_64_intdigest(w[-2:]) % op6.SHARED)
+            logits = out @ (context[one] @ c1 + context[two] @ c2) + bias
+            share = np.exp(logits - logits.max())
+            total += math.log10(0.9 * share[of] / share.sum() + 0.1 * model.noise[of])
+            if of >= op6.OWN:
+                unseen = max(op6.DISCOUNT * words_.class_kinds[of], 0.5)
+                n = n_of.get(code, 0)
+                total += math.log10((n - op6.DISCOUNT if n else unseen) / max(words_.class_tokens[of], 1, unseen))
+            two, one = one, of
+        want.append((d or -1, total))
+    assert np.allclose(sorted((f[0], f[4]) for f in found[0]), sorted(want), atol=1e-3)
+
+
 def test_op6_probabilities_sum_to_one_and_beat_the_base(spark):
     model = op6.LogBilinear(np.arange(op6.CLASSES))
     assert np.allclose((10.0 ** model.log_table()[[0, 5, op6.START]]).sum(axis=2), 1, atol=1e-4)
@@ -186,8 +229,33 @@ def test_op7_meets_targets(spark):
     assert op7.mix(empty(spark)).count() == 0
     blank = op7.mix(df.filter("doc_id in (4, 5, 6)")).collect()
     assert [(r.size, r.target, r.taken) for r in blank] == [(0, 0.0, 0)] * 3
-    blocks = op7.mixed_blocks(df.filter("doc_id >= 1000")).collect()
-    assert len({(r.shard, r.slot) for r in blocks}) == len(blocks) and all(0 < len(r.words) <= op7.BLOCK for r in blocks)
+
+
+def test_op7_blocks_are_the_mix_that_is_counted(spark):
+    """One doc_id on different texts, fully equal rows, NULL ids and a text of several blocks."""
+    say = lambda k, n: " ".join(f"d{k}w{i}" for i in range(n))
+    rows = [(k, say(k, 7 * k), "ab"[k % 2]) for k in range(1, 30)] + [(3, say(100, 50), "b")] + [(5, say(101, 90), "b")] * 4 + [(None, say(102, 70), "a"), (None, say(103, 30), None), (77, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks = op7.mixed_blocks(docs).collect()
+    assert len({(r.shard, r.slot) for r in blocks}) == len(blocks) and all(0 < r.n_words <= op7.BLOCK and r.n_words == len(r.text.split()) for r in blocks)
+    mixed, taken = collections.Counter(), collections.Counter()
+    for r in blocks:
+        assert {w.split("w")[0][1:] for w in r.text.split()} and (None in r.doc_ids or all(isinstance(d, int) for d in r.doc_ids))
+        mixed.update(w.split("w")[0] for w in r.text.split())
+    name = collections.defaultdict(list)
+    for d, t, _ in rows:
+        name[d, len((t or "").split())].append((t or "").split("w")[0])
+    for r in op7.mix(docs).collect():
+        if r.size:
+            taken[name[r.doc_id, r.size][0]] += r.taken
+            assert (r.first_shard is None) == (r.taken == 0)
+    assert mixed == +taken
+
+
+def test_op7_permutations(spark):
+    for n in (1, 2, 7, 64, 1000):
+        found = spark.range(n).select(op7.permuted(op7.F.col("id"), op7.F.lit(n), op7.F.lit(12345)).alias("id")).toPandas().id.tolist()
+        assert sorted(found) == list(range(n)) and (n < 64 or found != list(range(n)))
 
 
 def distance(pattern, text):
