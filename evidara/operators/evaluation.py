@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores from 0 to 1.
+RANGES = 4096
+
 
 def first_hit(ranked: DataFrame) -> DataFrame:
     """From category, query, rank, relevant: rank of the first relevant hit, NULL if there is none."""
@@ -36,16 +39,22 @@ def confusion(rows: DataFrame, by: list[str], threshold: float = 0.5, abstained_
     return c.withColumn("accuracy", over(tp + tn, tp + fp + tn + fn)).withColumn("precision", over(tp, tp + fp)).withColumn("recall", over(tp, tp + fn)).withColumn("f1", over(2 * tp, 2 * tp + fp + fn))
 
 
-def auc(rows: DataFrame) -> DataFrame:
+def auc(rows: DataFrame, by: str | None = None) -> DataFrame:
     """Area under the ROC curve of label, score by rank sums, ties at their mean rank; one class only gives NULL.
 
-    Counts per distinct score come first; the running sum is over distinct scores, not rows.
+    With ``by``, one a group.  Counts per distinct score come first; the running sum is over distinct scores, not rows, and
+    over ranges of scores that are summed before.
     """
-    by_score = rows.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    part = by_score.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    total = part.agg(F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).alias("auc"))
+    keys = [by] if by else []
+    by_score = rows.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).withColumn("_range", F.floor(F.col("score") * RANGES))
+    per = by_score.groupBy(*keys, "_range").agg(F.sum("neg").alias("n"))
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.select(*keys, "_range", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("_start"))
+    part = by_score.withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(start, [*keys, "_range"])
+    wins = F.col("pos") * (F.col("_start") + F.col("_in") + F.col("neg") / 2)
+    total = part.groupBy(*keys).agg(F.sum(wins).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return total.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def eer(rows: DataFrame, steps: int = 200) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
-    return df.checkpoint()
+    """The rows written to the folder of ``spark.checkpoint.dir`` and read again; a temporary one only in local mode.
+
+    A table rather than ``checkpoint()``, which keeps its plan's estimated size: in a loop of joins those multiply.
+    """
+    context, spark = df.sparkSession.sparkContext, df.sparkSession
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
+        folder = context._jsc.sc().getCheckpointDir()
+    path = f"{folder.get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def append(rows: DataFrame, path: str, *partitions: str) -> None:

@@ -98,3 +98,58 @@ def test_windows(spark):
     row = spark.range(1).select(windows.even_frames(F.lit(100)).alias("long"), windows.even_frames(F.lit(3)).alias("short"), windows.fitted(F.array(F.lit(1), F.lit(2)), 5).alias("fit")).first()
     assert row.long[0] == 0 and row.long[-1] == 99 and len(row.long) == 16
     assert row.short == [0, 1] + [2] * 14 and row.fit == [1, 2, 1, 2, 1]
+
+
+def test_chain_repair_relinks_from_the_first_break_and_refuses_changes(spark):
+    from evidara.operators import chain
+
+    rows = spark.createDataFrame([(c, 10 * c + i, f"row {i}") for c in range(4) for i in range(5)], "case long, seq long, content string")
+    log = chain.relink(rows, chain="case")
+    broken = log.withColumn("previous_hash", F.when(F.col("seq") == 12, "0").otherwise(F.col("previous_hash")))
+    broken = broken.withColumn("row_hash", F.when(F.col("seq") == 12, row_hash(F.lit("0"), F.col("content"))).otherwise(F.col("row_hash")))
+    broken = broken.withColumn("content", F.when(F.col("seq") == 23, "changed").otherwise(F.col("content")))
+    same, found = chain.repair(broken, "case")
+    assert same is broken and {(r.case, r.status, r.first_break, r.n_to_relink) for r in found.collect()} == {(0, "clean", None, 0), (1, "repairable", 12, 3), (2, "refused", None, 0), (3, "clean", None, 0)}
+    after, _ = chain.repair(broken, "case", dry_run=False)
+    checked = chain.link_check(after, chain="case").collect()
+    assert all(r.link_ok and (r.content_ok or r.seq == 23) for r in checked) and len(checked) == 21
+    kept = {r.seq: r.row_hash for r in after.collect()}
+    assert all(kept[r.seq] == r.row_hash for r in broken.collect() if r.case != 1 or r.seq < 12)
+    assert "CHAIN_REPAIRED" in after.filter("seq = 15").first().content
+
+
+def test_long_chain_in_ranges(spark, monkeypatch):
+    from evidara.operators import chain
+
+    monkeypatch.setattr(chain, "RANGE_ROWS", 7)
+    log = chain.relink(spark.createDataFrame([(i * i, f"row {i}") for i in range(40)], "seq long, content string"))
+    assert all(r.link_ok and r.content_ok for r in chain.link_check(log).collect())
+
+
+def test_bands_refuse_settings_that_pair_everything(spark):
+    from evidara.operators import neighbours
+
+    h = spark.createDataFrame([(1, 5), (2, 5)], "id long, value long")
+    with pytest.raises(ValueError):
+        neighbours.hamming_within(h, h, 20, 10)
+
+
+def test_top_k_over_a_grid_equals_brute_force(spark, monkeypatch):
+    from evidara.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 11)
+    rows = [(i, i * 2654435761 % (1 << 40)) for i in range(40)] + [(99, None)]
+    h = spark.createDataFrame(rows, "id long, value long")
+    got = {(r.query, r.rank): (r.distance, r.candidate) for r in neighbours.hamming_top_k(h, h, 3).collect()}
+    for i, v in rows[:-1]:
+        want = sorted(((v ^ w).bit_count(), j) for j, w in rows[:-1] if j != i)[:3]
+        assert [got[i, k + 1] for k in range(3)] == want
+    assert neighbours.hamming_top_k(h.limit(0), h, 3).count() == 0
+
+
+def test_owned_files_and_url_lists(spark):
+    from evidara.operators import reports
+
+    files = spark.createDataFrame([("/root/a",), ("/root/a",), ("/root/../b",), ("/rooted/c",), (None,)], "path string")
+    assert [r.path for r in reports.owned_files(files, "path", "/root").collect()] == ["/root/a"]
