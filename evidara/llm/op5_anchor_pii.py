@@ -19,6 +19,7 @@ judged like any row; an empty table gives an empty result.  Extra columns are ig
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -100,14 +101,32 @@ def find(text: str, automaton: ahocorasick.Automaton) -> tuple[list[tuple[int, i
                     base.append((last, end, "phone"))
         else:
             cues.append((last + 1, anchor))
-    added = []
+    added: list[tuple[int, int, str]] = []
+    starts, ends = _merged(base) if cues else ([], [])
     for end, cue in cues:
         span = _from_cue(text, end, cue)
-        if span and not any(a < span[1] and span[0] < b for a, b, _ in base + added):
-            added.append(span)
+        if span:
+            i = bisect.bisect_left(starts, span[1])  # taken stretches don't overlap, so the one before decides
+            if not i or ends[i - 1] <= span[0]:
+                added.append(span)
+                starts.insert(i, span[0])
+                ends.insert(i, span[1])
     return base, added
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 _DIGIT = frozenset("0123456789")
 
 

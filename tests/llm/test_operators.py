@@ -86,6 +86,25 @@ def test_op4_rules_and_trees(spark):
     assert op4.UrlModel([], []).block(["x"])[0] == 0 and op4.url_filter(df.limit(0), model).count() == 0
 
 
+def test_op4_trees_equal_a_plain_walk_and_know_held_out_hosts():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeiorstn") for _ in range(rng.randrange(4, 9)))
+    bad = [f"http://{word()}-{word()}.example.com/{rng.randrange(9999)}?a=1&b={word()}" for _ in range(300)]
+    good = [f"https://www.{word()}.example.org/en/{word()}/{rng.randrange(99)}" for _ in range(300)]
+    model = op4.UrlModel(bad[:200] + good[:200], [1] * 200 + [0] * 200)
+    chance = model.block(bad[200:] + good[200:])
+    assert (chance[:100] > 0.5).mean() > 0.95 and (chance[100:] < 0.5).mean() > 0.95
+    for url, got in zip(bad[200:210] + good[200:210] + ["", "no scheme"], [*chance[:10], *chance[100:110], *model.block([None, "no scheme"])], strict=True):
+        x = op4.shape(url) + [model.rates.of(op4.suffix(url))]
+        total = model.trees.start
+        for feature, cut, value in model.trees.trees:
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + (int(np.searchsorted(model.trees.cuts[feature[at]], x[feature[at]], "left")) > cut[at])
+            total += value[at - len(feature)]
+        assert math.isclose(got, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
 def test_op4_labels_no_abuse_family_clean(spark):
     want = {"http://free-bets.example.com/a": 1, "https://Blog.Adult-x.example.net/": 1, "http://spam-farm.example.com": 1, "http://some-shop.example.org/": None, "http://www.plain.org/free-bets": 0, "no scheme": 0}
     assert {r.url: r.label for r in op4.labelled(spark.createDataFrame([(u,) for u in want], "url string")).collect()} == want
@@ -116,7 +135,12 @@ def test_op5_base_equals_patterns(spark):
             text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(50)))
             assert op5.written(op5.find(text, automaton)[0]) == base_spans(text), text
     base, added = op5.find("joe (at) example (dot) org, tel: 020 7946 0018 12, iban GB82 WEST 1234 5698 7654 32; ssn 123-45-6789 https://u:pw@h.com/x", automaton)
-    assert {k for _, _, k in added} == {"email", "phone", "account", "url"} or {k for _, _, k in added} == {"email", "phone", "account"}
+    assert {k for _, _, k in added} == {"email", "phone", "account"}  # the url holds what looks like an email
+    assert op5.find("see ftp://user:secret@localhost/x now", automaton)[1] == [(4, 33, "url")]
+    for _ in range(2000):
+        text = "".join(rng.choice(["tel: 020 7946 0018 12 ", "a (at) b.org ", "x@y.org ", "://u:p@h/ ", "ssn 123-45-6789 ", "+44 20 7946 0018 ", "q"]) for _ in range(rng.randrange(9)))
+        base, added = op5.find(text, automaton)
+        assert all(b <= c or d <= a for i, (a, b, _) in enumerate(added) for c, d, _ in base + added[:i])
     df, rows = awkward(spark, [(50, "é 4111 1111 1111 1111 and a@b.co, 1.2.3.4", "en", "s", 1)])
     got = {r.doc_id: r for r in op5.personal_data(df).collect()}
     assert (got[50].n_card, got[50].n_email, got[50].n_ip, got[50].spans, got[50].redacted) == (1, 1, 1, "card:2:21,email:26:32,ip:34:41", "é [CARD] and [EMAIL], [IP]")
@@ -327,6 +351,16 @@ def test_op9_catches_misspellings(spark):
     assert op9.learn(df, marks).score(pa.array(["x"])).shape == (1,)
 
 
+def test_op9_scores_equal_the_definition():
+    rng = np.random.default_rng(4)
+    model = op9.Model(rng.normal(0, 3, op9.BUCKETS), -0.4)
+    texts = ["You worthless, worthless IDIOT!", "plain words\nof a text", "", None, "Ünïcode 😀 x", " ".join(f"w{i}" for i in range(500))]
+    for text, got in zip(texts, model.score(pa.array(texts)), strict=True):
+        values = np.array([model.weights[op9.subwords([w.strip(".,;:!?\"'()")])[1]].astype(float).mean() for w in sorted({w.lower() for w in words(text)})])
+        share = np.exp(op9.SHARPNESS * values) / np.exp(op9.SHARPNESS * values).sum()
+        assert math.isclose(got, 1 / (1 + math.exp(-((share * values).sum() + model.bias))), rel_tol=1e-5)
+
+
 def test_op9_sample_is_whole(spark, monkeypatch):
     assert (op9.FIT_ROWS, op9.FIT_CHARS) == (3000, 40_000_000)
     assert op9.fitting([30, 80, 60, 20, 10], 100) == [True, False, True, False, True]
