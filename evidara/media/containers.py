@@ -133,9 +133,39 @@ def declared(content: Column, pattern: str) -> Column:
 
 
 def jpeg_quality(luma: Column, base: list[int]) -> Column:
-    """Quality of a quantisation table from its mean ratio to the standard one, held to 1..100."""
-    ratio = F.aggregate(F.zip_with(luma, F.array(*map(F.lit, base)), lambda a, b: a.cast("double") / b), F.lit(0.0), lambda s, x: s + x) / F.size(luma)
-    return F.when(F.size(luma) == len(base), F.greatest(F.lit(1.0), F.least(F.lit(100.0), F.when(ratio <= 1, 100 - 50 * ratio).otherwise(50 / ratio))))
+    """Estimated quality of a quantisation table from its mean ratio to a standard one, held to 1..100, one digit.
+
+    Entries that are 0 on either side are left out; a table of fewer entries than the standard one gives NULL.
+    """
+    table = F.slice(luma, 1, len(base))
+    ratios = F.filter(F.zip_with(table, F.array(*map(F.lit, base)), lambda a, b: F.when((a != 0) & (b != 0), a.cast("double") / b)), lambda r: r.isNotNull())
+    scale = 100 * F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r) / F.size(ratios)
+    quality = F.when(scale > 100, (200 - scale) / 2).otherwise(5000 / F.greatest(scale, F.lit(1e-6)))
+    return F.when((F.size(luma) >= len(base)) & (F.size(ratios) > 0), F.round(F.greatest(F.lit(1.0), F.least(F.lit(100.0), quality)), 1))
+
+
+#: Source types that declare synthetic media, what names a generator, and the actions.
+GENERATIVE_TYPES = ("trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "algorithmicMedia", "algorithmicallyEnhanced")
+GENERATOR = r'"claim_generator"\s*:\s*"([^"]{1,200})"'
+GENERATOR_INFO = r'"claim_generator_info"\s*:\s*\[\s*\{[^}]{0,400}?"name"\s*:\s*"([^"]{1,200})"'
+ACTION = r"(c2pa\.(?:created|edited|placed|opened|converted|published))"
+
+
+def declared_details(content: Column) -> Column:
+    """struct<generator, actions, generative_types, declares_generative> that a manifest says of itself, unverified."""
+    text = F.decode(content, "ISO-8859-1")
+    found = F.coalesce(F.nullif(F.regexp_extract(text, GENERATOR, 1), F.lit("")), F.nullif(F.regexp_extract(text, GENERATOR_INFO, 1), F.lit("")))
+    kinds = F.sort_array(F.filter(F.array(*map(F.lit, GENERATIVE_TYPES)), lambda k: F.contains(text, k)))
+    return F.struct(found.alias("generator"), declared(content, ACTION).alias("actions"), kinds.alias("generative_types"), (F.size(kinds) > 0).alias("declares_generative"))
+
+
+def provenance_state(readable: Column, present: Column, validated: Column) -> Column:
+    """struct<status, state, manifest_present> from what was found: is the file there, has it a manifest, was that
+    checked.  ``validated`` is NULL where nothing could check it, which never makes a manifest valid or invalid."""
+    there = F.coalesce(readable, F.lit(False))
+    has = there & F.coalesce(present, F.lit(False))
+    state = F.when(~has, "ABSENT").when(validated.isNull(), "UNVERIFIED").when(validated, "VERIFIED").otherwise("INVALID")
+    return F.struct(F.when(there, "OK").otherwise("ERROR").alias("status"), state.alias("state"), has.alias("manifest_present"))
 
 
 def completeness(fields: dict[str, Column]) -> Column:

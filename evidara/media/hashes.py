@@ -39,9 +39,7 @@ def shrunk(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 @cache
 def _cosines(n: int) -> np.ndarray:
     k, i = np.arange(n)[:, None], np.arange(n)[None, :]
-    out = np.sqrt(2 / n) * np.cos(np.pi * (2 * i + 1) * k / (2 * n))
-    out[0] /= np.sqrt(2)
-    return out
+    return 2 * np.cos(np.pi * (2 * i + 1) * k / (2 * n))  # not normalised
 
 
 def to_hex(bits: np.ndarray) -> str:

@@ -51,7 +51,24 @@ def test_containers(spark):
     assert got["mp4"].m.brand == "isom" and got["mp4"].m.duration_s == 5.0 and got["mp4"].m.created.startswith("2025-")
     assert (got["c2pa"].c, got["jpg"].c, got["none"].c) == (True, False, None)
     row = df.filter("k = 'jpg'").select(containers.declared(F.col("content"), "(Editor.)").alias("d"), containers.jpeg_quality(F.array(F.lit(8), F.lit(11)), [16, 22]).alias("q"), containers.completeness({"a": F.lit("x"), "b": F.lit(None).cast("string")}).alias("c")).first()
-    assert row.d == ["EditorX"] and row.q == 75.0 and row.c.missing == ["b"] and row.c.ratio == 0.5
+    assert row.d == ["EditorX"] and row.q == 100.0 and row.c.missing == ["b"] and row.c.ratio == 0.5
+
+
+def test_quality_follows_the_scale_and_skips_zeros(spark):
+    table = lambda *x: F.array(*map(F.lit, x))
+    row = spark.range(1).select(containers.jpeg_quality(table(32, 44), [16, 22]).alias("a"), containers.jpeg_quality(table(24, 0), [16, 22]).alias("b"), containers.jpeg_quality(table(16), [16, 22]).alias("c"), containers.jpeg_quality(table(0, 0), [16, 22]).alias("d"), containers.jpeg_quality(table(800, 22, 9), [16, 22]).alias("e")).first()
+    assert (row.a, row.b, row.c, row.d, row.e) == (1.0, 25.0, None, None, 1.0)
+
+
+def test_manifest_details_and_states(spark):
+    raw = b'\xff{"claim_generator" : "Tool 2"} c2pa.edited c2pa.created c2pa.edited algorithmicMedia'
+    df = spark.createDataFrame([("a", bytearray(raw)), ("b", bytearray(b'"claim_generator_info": [{"x":1,"name":"Other"}]')), ("c", None)], "k string, content binary")
+    got = {r.k: r.d for r in df.select("k", containers.declared_details(F.col("content")).alias("d")).collect()}
+    assert got["a"].generator == "Tool 2" and got["a"].actions == ["c2pa.created", "c2pa.edited"] and got["a"].generative_types == ["algorithmicMedia"] and got["a"].declares_generative
+    assert got["b"].generator == "Other" and got["b"].actions == [] and not got["b"].declares_generative
+    facts = spark.createDataFrame([(False, True, True), (True, False, None), (True, True, None), (True, True, True), (True, True, False), (None, None, None)], "r boolean, p boolean, v boolean")
+    states = [tuple(x.s) for x in facts.select(containers.provenance_state(F.col("r"), F.col("p"), F.col("v")).alias("s")).collect()]
+    assert states == [("ERROR", "ABSENT", False), ("OK", "ABSENT", False), ("OK", "UNVERIFIED", True), ("OK", "VERIFIED", True), ("OK", "INVALID", True), ("ERROR", "ABSENT", False)]
 
 
 def test_detectors_never_clamp(spark):
