@@ -47,7 +47,7 @@ def semi_pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti_unanalysed(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, d, "events").select(F.col("user_id").alias("c_custkey"))
     return table(spark, d, "customer").join(done, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -182,7 +182,7 @@ SELECT *, (SELECT count(*) FROM r) AS total FROM r ORDER BY o_orderdate DESC, o_
     "evidence_library_search": (evidence_library_search, "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND (text ILIKE '%idiot%' OR source ILIKE '%idiot%') ORDER BY doc_id DESC LIMIT 50"),
     "case_counts": (case_counts, "SELECT c_custkey AS id, count(o_orderkey) AS n_cases, count(o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS n_open FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
     "semi_pending": (semi_pending, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')"),
-    "anti_unanalysed": (anti_unanalysed, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "anti_unanalysed": (anti_unanalysed, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)"),
     "report_rows": (report_rows, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderdate, o_orderdate IS NULL AS is_orphan FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_orderkey = l_orderkey"),
     "breakdown_zero_filled": (breakdown_zero_filled, "SELECT k.lang, count(d.lang) AS n FROM (SELECT unnest(['en', 'fr', 'de', 'es', 'it']) AS lang) k LEFT JOIN documents d ON d.lang = k.lang GROUP BY k.lang"),
     "verdict_history_vs_current": (
