@@ -159,7 +159,7 @@ def pieces(stream: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and first_shard (the first output shard with its words) of every row.
+    """doc_id, size, source_size, target, taken and first_shard (the first output shard with its words, or -1).
 
     Joins of what was exploded ask for a merge join: estimates don't see the explosion and would broadcast it.
     """
@@ -172,7 +172,7 @@ def mix(docs: DataFrame) -> DataFrame:
     keyed = stream.withColumn("offset", F.when(F.col("size") > 0, F.col("offset")).otherwise(nowhere))
     out = keyed.join(taken.hint("merge"), ["mark", "offset"], "left")
     out = salted_join(out, plan.select("mark", "source_size", "target"), ["mark"], hot_keys(plan, ["mark"], "n_blocks"), F.col("offset"))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("first_shard", F.lit(-1)).alias("first_shard"))
 
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
@@ -252,6 +252,6 @@ WITH s AS (
   SELECT p.doc_id, p.o, sum(least(o + size, (p.block + 1) * b + least(p.block + 1, e)) - greatest(o, p.block * b + least(p.block, e))) AS taken, min(shard) AS first_shard
   FROM piece p JOIN times ON p.source IS NOT DISTINCT FROM times.source AND p.block = times.block GROUP BY p.doc_id, p.o
 )
-SELECT stream.doc_id, size, sz AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_shard
+SELECT stream.doc_id, size, sz AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(first_shard, -1) AS BIGINT) AS first_shard
 FROM stream JOIN plan0 ON stream.source IS NOT DISTINCT FROM plan0.source LEFT JOIN took ON took.doc_id = stream.doc_id AND size > 0
 """

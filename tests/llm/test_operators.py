@@ -272,7 +272,7 @@ def test_op7_blocks_are_the_mix_that_is_counted(spark):
     for r in op7.mix(docs).collect():
         if r.size:
             taken[name[r.doc_id, r.size][0]] += r.taken
-            assert (r.first_shard is None) == (r.taken == 0)
+            assert (r.first_shard == -1) == (r.taken == 0)
     assert mixed == +taken
 
 
