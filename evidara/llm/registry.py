@@ -17,6 +17,9 @@ from evidara.llm import (
     op8_pigeonhole,
     op9_subword_toxicity,
     op10_setsketch,
+    op11_jacobi_whitening,
+    op12_neighbour_quality,
+    op13_importance_resampling,
 )
 
 _QUERIES = {
@@ -30,6 +33,9 @@ _QUERIES = {
     "op8_pigeonhole_decontamination": op8_pigeonhole,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_setsketch_near_dedup": op10_setsketch,
+    "op11_jacobi_whitening": op11_jacobi_whitening,
+    "op12_neighbour_quality": op12_neighbour_quality,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 
