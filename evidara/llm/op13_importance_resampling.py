@@ -190,7 +190,8 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: crc32 of a distinct word from a table of 256 values that its own rule makes.
+#: crc32 of a distinct word from a table of 256 values that its own rule makes.  The rank is a DOUBLE because a column of
+#: whole numbers and NULLs becomes one in pandas, where the results meet.
 SQL = f"""
 WITH RECURSIVE bits(b, k, v) AS (
   SELECT range, 0, range FROM range(256) UNION ALL
@@ -222,5 +223,5 @@ WITH RECURSIVE bits(b, k, v) AS (
 ), placed AS (
   SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {LEAST_WORDS}
 )
-SELECT scored.*, CASE WHEN r <= {PERCENT} * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+SELECT scored.*, CAST(CASE WHEN r <= {PERCENT} * n // 100 THEN r END AS DOUBLE) AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """

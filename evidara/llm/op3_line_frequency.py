@@ -63,7 +63,7 @@ def marked_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
         .filter("line <> ''")
         .select("host", "content", "place", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).alias("n"))
     )
-    # copies of a text have the same content: one row for a line of a text, its words counted in one copy
+    # copies of a text have the same content: one row for a line of a text, its words summed over the copies
     once = lines.groupBy("host", "content", "line").agg(F.sum("n").alias("n"), F.collect_set("place").alias("places"))
     sizes = docs.groupBy("host").agg(F.countDistinct("content").alias("host_docs"))
     frequent = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > least)
@@ -75,8 +75,10 @@ def marked_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
 def losses(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """host, content (hash of the text), n_frequent_words and depleted, of documents that lose words at all."""
     marked = marked_lines(docs, least, share)
-    lost = marked.groupBy("host", "content").agg(F.sum(F.when(F.col("above"), F.col("n")).otherwise(0)).alias("n_frequent_words"), F.sum("n").alias("n"))
-    return lost.filter("n_frequent_words > 0").select("host", "content", "n_frequent_words", (F.col("n") - F.col("n_frequent_words") < keep * F.col("n")).alias("depleted"))
+    lost = marked.groupBy("host", "content").agg(F.sum(F.when(F.col("above"), F.col("n")).otherwise(0)).alias("lost"), F.sum("n").alias("n")).filter("lost > 0")
+    copies = docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), F.xxhash64("text").alias("content")).groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies"))
+    one = lost.join(copies, ["host", "content"])  # both have one row a text, however many copies it has
+    return one.select("host", "content", F.expr("lost div copies").alias("n_frequent_words"), (F.col("n") - F.col("lost") < keep * F.col("n")).alias("depleted"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

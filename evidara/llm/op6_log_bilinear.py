@@ -7,11 +7,14 @@ unseen words have a class too.  P(token | history) = P(class | two classes befor
 * P(class | history): q = C1 r(before) + C2 r(before that), logits q . t(class) + bias.  Trained in numpy by
   noise-contrastive estimation, noise from the class frequencies.  What training needs of the corpus is how often each
   class follows each two classes, counted over all training documents in SHARDS shards by the hash of the document, at most
-  CLASSES ** 3 rows each.  In each of ROUNDS rounds every shard draws batches by these counts, as many as one pass has but
-  at most STEPS, and the shards' parameters are averaged by tokens.  The result doesn't depend on the partitioning.
+  CLASSES ** 3 rows each.  In each of ROUNDS rounds every shard goes through all its rows, each weighted by its count (a
+  row of over HEAVY times the mean count as several), and the shards' parameters are averaged by tokens.  So every token
+  counts, the work is bounded by the kinds of rows, and the result doesn't depend on the partitioning.
 * Scoring normalises exactly: batched matrix products give the logits of all classes for all pairs of classes before,
   and their softmax is a table that every task computes once.
-* P(token | class): counts less a discount; the discounts' sum is the share of tokens never seen, as one event.
+* P(token | class): (c + 1) / (tokens + kinds + 1) of the class, the base score's own smoothing: one possible word of each
+  class is taken to be unseen, as the base takes one of the whole vocabulary to be.  So the model differs from the base by
+  what the history tells of the class, and an unseen word has no more than its part.
 
 The counts of the most frequent tokens (at most HEAD, the proven bound; of equally frequent ones those of the smallest
 codes) go to the tasks.  All other tokens of a document are joined with the table of counts, which may grow with the
@@ -36,9 +39,9 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import crc_bucket, durable, in_pieces, split_words, table, texts
 
-HEAD, OWN, SHARED, WIDTH, NOISE, BATCH, RATE, DISCOUNT = 1 << 17, 192, 64, 16, 32, 4096, 0.1, 0.75
+HEAD, OWN, SHARED, WIDTH, NOISE, BATCH, RATE = 1 << 17, 192, 64, 16, 32, 4096, 0.1
 CLASSES, START = OWN + SHARED, OWN + SHARED
-SHARDS, ROUNDS, STEPS = 8, 3, 300
+SHARDS, ROUNDS, HEAVY = 8, 3, 8
 END = xxhash.xxh3_64_intdigest("\n")
 HELD_OUT = (7, 2)
 
@@ -127,11 +130,12 @@ class Vocabulary:
         return np.where(own >= 0, own, OWN + shared), np.where(hit, self.counts[at], -1)
 
     def log_in_class(self, of: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 P(token | class) of tokens counted n times; 0 times: the event of an unseen token."""
-        mass = np.maximum(self.class_tokens[of], 1).astype(np.float64)
-        unseen = np.maximum(DISCOUNT * self.class_kinds[of], 0.5)
-        inside = np.where(n > 0, np.maximum(n - DISCOUNT, 1e-9), unseen) / np.maximum(mass, unseen)
-        return np.where(of < OWN, 0.0, np.log10(inside))
+        """log10 P(token | class) of tokens counted n times; 0 times: the class's unseen word."""
+        return np.where(of < OWN, 0.0, np.log10(n + 1) - self.log_mass()[of])
+
+    def log_mass(self) -> np.ndarray:
+        """Of each class log10 of its tokens, kinds and the unseen word."""
+        return np.log10(self.class_tokens + self.class_kinds + 1)
 
 
 class LogBilinear:
@@ -149,8 +153,8 @@ class LogBilinear:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
-    def train(self, before: np.ndarray, further: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation; the noise tokens are shared by the batch."""
+    def train(self, before: np.ndarray, further: np.ndarray, target: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation over weighted rows; the noise tokens are shared by the batch."""
         context, out, c1, c2, bias = self.parts
         noise = rng.choice(CLASSES, NOISE, p=self.noise)
         r1, r2 = context[before], context[further]
@@ -159,6 +163,7 @@ class LogBilinear:
         good = 1 / (1 + np.exp(-np.clip((q * out[target]).sum(axis=1) + bias[target] - k[target], -30, 30))) - 1
         bad = 1 / (1 + np.exp(-np.clip(q @ out[noise].T + bias[noise] - k[noise], -30, 30)))
         n = len(target)
+        good, bad = good * weight, bad * weight[:, None]
         dq = (good[:, None] * out[target] + bad @ out[noise]) / n
         d_out = _summed(target, q * good[:, None], CLASSES) / n
         np.add.at(d_out, noise, bad.T @ q / n)
@@ -247,13 +252,17 @@ def _learnt(frequency: np.ndarray, start: np.ndarray, turn: int):
         number = shard["shard"][0].as_py()
         key, n = shard["key"].to_numpy(), shard["n"].to_numpy()
         order = np.argsort(key)
-        key, upto = key[order], np.cumsum(n[order])
+        key, n = key[order], n[order]
         own, rng = LogBilinear(frequency, start), np.random.default_rng([turn, number])
-        for _ in range(min(STEPS, -(-int(upto[-1]) // BATCH))):
-            drawn = key[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), "right")]
-            pair = drawn // CLASSES
-            own.train(pair // (CLASSES + 1), pair % (CLASSES + 1), drawn % CLASSES, rng)
-        return pa.table({"shard": [number], "n": [int(upto[-1])], "values": pa.array([own.flat()], pa.list_(pa.float64()))})
+        mean = n.sum() / len(n)
+        parts = np.ceil(n / (HEAVY * mean)).astype(np.int64)  # at most an eighth more rows
+        key, weight = np.repeat(key, parts), np.repeat(n / parts / mean, parts)
+        order = rng.permutation(len(key))
+        for a in range(0, len(key), BATCH):
+            some = order[a : a + BATCH]
+            pair = key[some] // CLASSES
+            own.train(pair // (CLASSES + 1), pair % (CLASSES + 1), key[some] % CLASSES, weight[some], rng)
+        return pa.table({"shard": [number], "n": [int(n.sum())], "values": pa.array([own.flat()], pa.list_(pa.float64()))})
 
     return learnt
 
@@ -297,9 +306,7 @@ def scores(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBili
     joined = parts.join(rare, "code", "left")
     times, of = F.floor(F.col("packed") / CLASSES), (F.col("packed") % CLASSES).cast("int")
     numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    mass = np.maximum(words.class_tokens, 1).astype(float)
-    unseen = np.maximum(DISCOUNT * words.class_kinds, 0.5)
-    inside = F.when(F.col("n").isNotNull(), F.log10(F.col("n") - DISCOUNT)).otherwise(F.get(numbers(np.log10(unseen)), of)) - F.get(numbers(np.log10(np.maximum(mass, unseen))), of)
+    inside = F.log10(F.coalesce("n", F.lit(0)) + 1.0) - F.get(numbers(words.log_mass()), of)
     tail = F.col("own").isNull()
     once = joined.groupBy("doc_id", "row").agg(
         F.count("own").alias("copies"),  # fully equal rows
