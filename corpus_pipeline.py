@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: five-word shingles, similarity 0.8."""
-    return without_near_duplicates(docs)
+    """One document of each near-duplicate class: two-word shingles as in the operator's query, similarity 0.8."""
+    return without_near_duplicates(docs, width=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
