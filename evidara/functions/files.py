@@ -155,6 +155,11 @@ def under(path: Column, root: str) -> Column:
     return path.startswith(root.rstrip("/") + "/") & ~path.rlike(r"(^|/)\.\.(/|$)")
 
 
+#: What names an editor, and what a generator of synthetic media.  Fixed values.
+EDITOR_HINTS = ("photoshop", "lightroom", "gimp", "affinity", "paint.net", "pixlr", "snapseed", "picsart", "canva", "facetune", "capture one", "luminar", "topaz", "krita", "inkscape", "imagemagick", "ffmpeg")
+GENERATIVE_HINTS = ("midjourney", "stable diffusion", "stablediffusion", "dall-e", "dalle", "firefly", "openai", "leonardo.ai", "flux", "comfyui", "automatic1111", "invokeai", "gemini", "imagen")
+
+
 def software_hint(software: Column, hints: tuple[str, ...]) -> Column:
     """First of the hints that the lower-cased text contains, else NULL."""
     found = F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(F.lower(software), h))

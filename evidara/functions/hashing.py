@@ -100,5 +100,14 @@ def transformation(width_a: Column, height_a: Column, size_a: Column, width_b: C
     return F.array_compact(F.array(crop, packed))
 
 
+def match_basis(same_bytes: Column, distance: Column, phash: Column, dhash: Column, ahash: Column, cosine: Column) -> Column:
+    """What a match rests on, in words: equal bytes at distance 0, else every measure there is."""
+    said = [F.when(c.isNotNull(), F.concat(F.lit(f"{name} dist "), c.cast("string"))) for name, c in (("pHash", phash), ("dHash", dhash), ("aHash", ahash))]
+    said.append(F.when(cosine.isNotNull(), F.concat(F.lit("embedding sim "), F.format_string("%.2f", cosine))))
+    parts = F.concat_ws(", ", *said)
+    exact = F.coalesce(same_bytes, F.lit(False)) & F.coalesce(distance == 0, F.lit(False))
+    return F.when(exact, "Exact SHA-256 byte match").when(parts != "", F.concat(F.lit("Multi-hash verified ("), parts, F.lit(")"))).otherwise("Perceptual match")
+
+
 def relationship(distance: Column, cosine: Column) -> Column:
     return F.when(distance == 0, "identical").when(distance <= STRONG_DISTANCE, "near_identical").when(distance <= POSSIBLE_DISTANCE, "similar").when(cosine >= 0.75, "semantically_similar").otherwise("unrelated")

@@ -25,7 +25,11 @@ def ramp(value: Column, points: list[tuple[float, float]], ceiling: float) -> Co
     return F.when(value.isNotNull(), F.least(out.otherwise(F.lit(float(points[-1][1]))), F.lit(float(ceiling))))
 
 
-def forensic_score(residual: Column, off_grid: Column, points: list[tuple[float, float]], ceiling: float = 0.60) -> Column:
+#: Share of tiles that their texture doesn't explain, and the score.  Fixed values.
+OUTLIER_RAMP = [(0.05, 0.15), (0.15, 0.30), (0.30, 0.45), (0.45, 0.60)]
+
+
+def forensic_score(residual: Column, off_grid: Column, points: list[tuple[float, float]] = OUTLIER_RAMP, ceiling: float = 0.60) -> Column:
     """Residual ramp plus 0.05 off the block grid, capped."""
     return F.least(ramp(residual, points, ceiling) + F.when(off_grid, 0.05).otherwise(0.0), F.lit(ceiling))
 

@@ -14,18 +14,37 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType,
 #: EXIF tags by number.  Fixed values.
 TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "datetime", 0x9003: "datetime_original", 0x9004: "datetime_digitized"}
 EXIF_POINTER, EPOCH = 0x8769, datetime.datetime(1904, 1, 1)
+#: The uuid of a box with content credentials.  Fixed value.
+CREDENTIALS_UUID = bytes.fromhex("d8fec3d61b0e483c92975828877ec481")
+#: The standard luminance quantisation table.  Fixed values.
+LUMA = (
+    16, 11, 10, 16, 24, 40, 51, 61,
+    12, 12, 14, 19, 26, 58, 60, 55,
+    14, 13, 16, 24, 40, 57, 69, 56,
+    14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77,
+    24, 35, 55, 64, 81, 104, 113, 92,
+    49, 64, 78, 87, 103, 121, 120, 101,
+    72, 92, 95, 98, 112, 100, 103, 99,
+)
 PARENTS = (b"moov", b"trak", b"mdia", b"udta", b"meta")
 
 
 def segments(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Marker and body of each JPEG segment before the pixels."""
+    """Marker and body of each JPEG segment before the pixels; markers without a body and stray bytes are passed over."""
     at = 2
-    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        if size < 2:
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data):
+        marker = data[at + 1]
+        if data[at] != 0xFF:
+            at += 1
+        elif marker in (0xD8, 0xD9) or 0xD0 <= marker <= 0xD7:
+            at += 2
+        elif marker == 0xDA:
             return
-        yield data[at + 1], data[at + 4 : at + 2 + size]
-        at += 2 + size
+        else:
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            yield marker, data[at + 4 : at + 2 + size]
+            at += 2 + max(size, 2)
 
 
 def exif(data: bytes) -> dict[str, str]:
@@ -93,18 +112,18 @@ def movie(data: bytes) -> dict:
 
 
 def has_credentials(data: bytes) -> bool:
-    """A content credentials box where the container keeps one: JPEG APP11, PNG caBX, else a labelled jumb box."""
+    """Content credentials where the container keeps them: JPEG APP11, PNG caBX, an ISO media uuid box or a jumb box with a label."""
     if data[:2] == b"\xff\xd8":
-        return any(m == 0xEB and b"jumb" in b and b"c2pa" in b for m, b in segments(data))
+        return any(m == 0xEB and b"c2pa" in b for m, b in segments(data))
     if data[:8] == b"\x89PNG\r\n\x1a\n":
-        at = 8
-        while at + 8 <= len(data):
+        at, kind = 8, b""
+        while at + 8 <= len(data) and kind != b"IEND":
             size, kind = struct.unpack(">I4s", data[at : at + 8])
             if kind == b"caBX":
                 return True
             at += 12 + size
         return False
-    return b"jumb" in data and b"c2pa" in data
+    return CREDENTIALS_UUID in data or (b"jumb" in data and (b"c2pa" in data or b"c2ma" in data))
 
 
 def _table(rows: list[dict], names: list[str]) -> pd.DataFrame:
@@ -132,8 +151,8 @@ def declared(content: Column, pattern: str) -> Column:
     return F.sort_array(F.array_distinct(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(pattern), 1)))
 
 
-def jpeg_quality(luma: Column, base: list[int]) -> Column:
-    """Estimated quality of a quantisation table from its mean ratio to a standard one, held to 1..100, one digit.
+def jpeg_quality(luma: Column, base: tuple[int, ...] = LUMA) -> Column:
+    """Estimated quality of a quantisation table from its mean ratio to the standard one, held to 1..100, one digit.
 
     Entries that are 0 on either side are left out; a table of fewer entries than the standard one gives NULL.
     """

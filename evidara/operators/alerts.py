@@ -13,6 +13,11 @@ def _alert(rows: DataFrame, category: str, severity: Column | str, title: Column
     return rows.select(F.lit(category).alias("category"), severity.alias("severity"), title.alias("title"), F.col(item).alias("item"), F.col(at).alias("observed_at"))
 
 
+def coverage_alerts(results: DataFrame) -> DataFrame:
+    """From item, verdict, created_at: insufficient evidence as a gap in coverage of its own category, always low."""
+    return _alert(results.filter("verdict = 'INSUFFICIENT_EVIDENCE'"), "coverage", "low", F.lit("Inconclusive analysis"), "item", "created_at")
+
+
 def verdict_alerts(results: DataFrame) -> DataFrame:
     """From item, verdict, created_at: manipulated is high, insufficient evidence low."""
     some = results.filter(F.col("verdict").isin("MANIPULATED", "INSUFFICIENT_EVIDENCE"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions.files import row_hash
+from evidara.operators.skew import salted_join
 
 GENESIS = "0" * 64
 #: Rows of a range whose order is settled in one task.
@@ -54,10 +55,10 @@ def summary(checked: DataFrame, log: DataFrame, seq: str = "seq") -> DataFrame:
     return totals.join(head).withColumn("valid", F.col("n_invalid") == 0)
 
 
-def forks(log: DataFrame) -> DataFrame:
-    """Rows that share their previous hash with another row."""
+def forks(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """Rows that share their previous hash with another row; very many may name one predecessor."""
     shared = log.groupBy("previous_hash").agg(F.count(F.lit(1)).alias("n_siblings")).filter("n_siblings > 1")
-    return log.join(shared, "previous_hash")
+    return salted_join(log, shared, ["previous_hash"], F.col(seq))
 
 
 def _folded(rows: pd.DataFrame) -> pd.DataFrame:

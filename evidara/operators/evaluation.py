@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.operators.quantiles import grouped_quantiles
+
 #: Ranges of scores from 0 to 1.
 RANGES = 4096
 
@@ -21,7 +23,8 @@ def recall_at(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame
 
 
 def latency(rows: DataFrame, column: str) -> DataFrame:
-    return rows.agg(F.avg(column).alias("mean"), F.median(column).alias("median"), F.percentile(column, 0.95).alias("p95"))
+    """Mean, exact median and 95th percentile of a whole table."""
+    return rows.agg(F.avg(column).alias("mean")).join(grouped_quantiles(rows, [], column, {"median": 0.5, "p95": 0.95}))
 
 
 def confusion(rows: DataFrame, by: list[str], threshold: float = 0.5, abstained_as: float | None = 0.5) -> DataFrame:
@@ -57,18 +60,34 @@ def auc(rows: DataFrame, by: str | None = None) -> DataFrame:
     return total.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def eer(rows: DataFrame, steps: int = 200) -> DataFrame:
+def eer(rows: DataFrame, steps: int = 200, by: str | None = None) -> DataFrame:
     """eer_gap, the smallest |FAR - FRR| over evenly spaced thresholds, and eer, the mean of both rates there.
 
     Scores are counted by the number of thresholds at or below them first, so that thresholds meet counts, not rows.
+    With ``by``, one a group; a group of one class has neither.
     """
-    n = rows.groupBy(F.floor(F.col("score") * (steps - 1) + 1e-9).alias("_slot")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    keys = [by] if by else []
+    n = rows.groupBy(*keys, F.floor(F.col("score") * (steps - 1) + 1e-9).alias("_slot")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     at = rows.sparkSession.range(steps).withColumnRenamed("id", "_slot")
-    w = Window.orderBy("_slot").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    rate = at.join(n, "_slot", "left").fillna(0, ["pos", "neg"]).withColumn("far", F.sum("neg").over(w) / F.sum("neg").over(whole)).withColumn("frr", 1 - F.sum("pos").over(w) / F.sum("pos").over(whole))
+    if by:  # every group has every threshold
+        at = rows.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("_slot"))
+    w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy(*keys)
+    share = lambda c, over: F.when(F.sum(c).over(whole) > 0, F.sum(c).over(over) / F.sum(c).over(whole))
+    rate = at.join(n, [*keys, "_slot"], "left").fillna(0, ["pos", "neg"]).withColumn("far", share("neg", w)).withColumn("frr", 1 - share("pos", w))
     gap = F.abs(F.col("far") - F.col("frr"))
-    return rate.agg(F.min(gap).alias("eer_gap"), F.min(F.struct(gap.alias("g"), "_slot", ((F.col("far") + F.col("frr")) / 2).alias("e"))).alias("m")).select("eer_gap", F.col("m.e").alias("eer"))
+    best = F.min(F.when(gap.isNotNull(), F.struct(gap.alias("g"), "_slot", ((F.col("far") + F.col("frr")) / 2).alias("e"))))
+    return rate.groupBy(*keys).agg(F.min(gap).alias("eer_gap"), best.alias("m")).select(*keys, "eer_gap", F.col("m.e").alias("eer"))
+
+
+def report(metrics: DataFrame, path: str, title: str) -> None:
+    """A short table of metrics as one JSON line a row and as a Markdown table, in folders json and markdown under ``path``."""
+    names = metrics.columns
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = metrics.sparkSession.createDataFrame([(i, t) for i, t in enumerate([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names)])], "n long, value string")
+    body = metrics.select((F.row_number().over(Window.orderBy(*names)) + 3).cast("long").alias("n"), line([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(f"{path}/markdown")
 
 
 def distractor_pairs(items: DataFrame, reach: int = 3) -> DataFrame:

@@ -60,6 +60,7 @@ def ai_detection(payload: dict[str, Column]) -> tuple[Column, Column]:
     return F.when(status == "OK", score), status
 
 
+#: The scores of the three descriptive signals below.  Fixed values.
 def perceptual(n_candidates: Column, same_bytes: Column, distance: Column) -> tuple[Column, Column]:
     score = F.when(same_bytes, 0.15).when(n_candidates > 0, F.least(0.15 + 0.04 * distance, F.lit(0.60)))
     return score, F.when(n_candidates.isNull(), "UNAVAILABLE").when(score.isNotNull(), "OK").otherwise("INCONCLUSIVE")
@@ -81,6 +82,16 @@ def provenance(state: Column, generative: Column) -> tuple[Column, Column, Colum
     return score, status, F.when(state == "VERIFIED", "DECISIVE").otherwise("DESCRIPTIVE"), F.when(status == "INCONCLUSIVE", "UNAVAILABLE")
 
 
+#: How a measurement's status reads as a signal's.  Fixed values.
+FORENSIC_STATUS = {"UNSUPPORTED_MEDIA": "UNSUPPORTED_MEDIA", "INSUFFICIENT_DATA": "INCONCLUSIVE", "ERROR": "ERROR"}
+
+
+def forensics(status: Column, score: Column) -> tuple[Column, Column]:
+    """(score, status) of a compression measurement; no status: it never ran, one that isn't known or has no score: ERROR."""
+    good = (status == "OK") & usable(score).isNotNull()
+    return F.when(good, usable(score)), F.when(status.isNull(), "UNAVAILABLE").when(good, "OK").otherwise(_looked_up(status, FORENSIC_STATUS, "ERROR"))
+
+
 def marked(signals: DataFrame) -> DataFrame:
     """Adds usable, weight, check_status, measured, eligible, contributing and check_state."""
     decided = F.coalesce("execution_status", _looked_up(F.col("status"), STATUS_TO_CHECK, "UNAVAILABLE"))

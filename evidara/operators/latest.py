@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.operators.skew import salted_join
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the largest ``order`` (NULL lowest) of each key; name a unique column last to make it exact.
@@ -37,8 +39,12 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str | Column]) -
 
 
 def earliest_with_ties(rows: DataFrame, group: str, ts: str, generation: str, item: str, unit: str = "second") -> DataFrame:
-    """Per group the earliest instance by (time to the second, generation or 99, id) and all that share its time."""
-    dated = rows.filter(F.col(ts).isNotNull()).withColumn("_at", F.date_trunc(unit, ts))
-    first = dated.groupBy(group).agg(F.min(F.struct("_at", F.coalesce(generation, F.lit(99)).alias("g"), F.col(item).alias("i"))).alias("first"))
-    tied = dated.join(first, group).filter(F.col("_at") == F.col("first._at"))
-    return tied.groupBy(group).agg(F.first("first.i").alias("earliest"), F.first("first._at").alias("earliest_at"), F.count(F.lit(1)).alias("n_tied"), F.array_join(F.sort_array(F.collect_list(item)), ",").alias("tied")).withColumn("is_tied", F.col("n_tied") > 1)
+    """Per group all instances of its earliest time (cut to ``unit``), one row each: group, item, earliest, n_tied, is_tied.
+
+    ``earliest`` is the first of them by (generation or 99, id).  A group may have any number of ties.
+    """
+    dated = rows.filter(F.col(ts).isNotNull()).select(group, item, F.date_trunc(unit, ts).alias("_at"), F.coalesce(generation, F.lit(99)).alias("_g"))
+    at = dated.groupBy(group, "_at").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_g", F.col(item).alias("i"))).alias("first"))
+    first = at.groupBy(group).agg(F.min(F.struct("_at", "n", "first")).alias("x")).select(group, F.col("x._at").alias("_first_at"), F.col("x.first.i").alias("earliest"), F.col("x.n").alias("n_tied"))
+    tied = salted_join(dated, first, [group], F.col(item)).filter(F.col("_at") == F.col("_first_at"))
+    return tied.select(group, item, "earliest", F.col("_at").alias("earliest_at"), "n_tied", (F.col("n_tied") > 1).alias("is_tied"))

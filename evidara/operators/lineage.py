@@ -30,6 +30,40 @@ def climb(nodes: DataFrame, start: DataFrame, most: int = MOST_HOPS) -> DataFram
     return found
 
 
+def positions(nodes: DataFrame) -> DataFrame:
+    """id, root, depth, on_cycle of every node of an (id, parent_id) forest, by pointer doubling.
+
+    Every node points to an ancestor; each round it takes over its ancestor's pointer, so the distance doubles and a chain of
+    n nodes takes log2(n) rounds, not n joins.  A node whose pointer is at a root is done and leaves the loop.  A parent that
+    isn't among the nodes counts as a root of its own.  Nodes on a cycle or above which there is one never get done: after as many
+    rounds as the number of nodes has bits their root and depth are NULL and ``on_cycle`` is true.  Of repeated ids the smallest
+    parent counts.  Very many nodes may share an ancestor.
+    """
+    from evidara.operators.skew import salted_join
+    from evidara.sources.tables import durable
+
+    nodes = nodes.filter("id is not null").groupBy("id").agg(F.min("parent_id").alias("to"))
+    roots = nodes.filter("to is null").select("id")
+    known = nodes.filter("to is not null").select("id", "to")
+    done = roots.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("on_cycle"))
+    inner = known.select(F.col("id").alias("to"), F.lit(True).alias("_inner"))
+    # open: the pointer's target has a parent itself
+    first = durable(salted_join(known, inner, ["to"], F.col("id"), "left").withColumn("hops", F.lit(1).cast("long")))
+    open_, rounds = first.filter("_inner").select("id", "to", "hops"), max(1, first.count().bit_length())
+    ends = first.filter("_inner is null").select("id", F.col("to").alias("root"), F.col("hops").alias("depth"), F.lit(False).alias("on_cycle"))
+    done, state = done.unionByName(ends), durable(first.select("id", "to", "hops", F.col("_inner").isNull().alias("_end")))
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        step = state.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), "_end")
+        moved = durable(salted_join(open_, step, ["to"], F.col("id")).select("id", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), "_end"))
+        done = done.unionByName(moved.filter("_end").select("id", F.col("to").alias("root"), F.col("hops").alias("depth"), F.lit(False).alias("on_cycle")))
+        open_ = moved.filter("not _end").select("id", "to", "hops")
+        state = durable(state.filter("_end").unionByName(moved))
+    lost = open_.select("id", F.lit(None).cast(roots.schema["id"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("on_cycle"))
+    return done.unionByName(lost)
+
+
 def collect_nodes(case: DataFrame, matched: DataFrame, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """id, discovered_by of a case's items, their matches, the matches' lineage groups and all ancestors.
 
@@ -49,12 +83,12 @@ def collect_nodes(case: DataFrame, matched: DataFrame, nodes: DataFrame, most: i
 
 
 def edges(nodes: DataFrame, matches: DataFrame) -> DataFrame:
-    """source, target, relation, distance, verified: recorded parents among the nodes, and matches with both ends there."""
+    """source, target, relation, distance, similarity, verified: recorded parents among the nodes, and matches with both ends there."""
     ids = nodes.select("id")
     parent = nodes.filter("parent_id is not null").join(ids.toDF("parent_id"), "parent_id", "left_semi")
     recorded = parent.select(F.col("parent_id").alias("source"), F.col("id").alias("target"), F.lit("recorded_parent").alias("relation"), F.lit(False).alias("verified"))
     both = matches.join(ids.toDF("query"), "query", "left_semi").join(ids.toDF("candidate"), "candidate", "left_semi")
-    near = both.select(F.col("query").alias("source"), F.col("candidate").alias("target"), F.lit("near_duplicate_candidate").alias("relation"), "distance", F.lit(True).alias("verified"))
+    near = both.select(F.col("query").alias("source"), F.col("candidate").alias("target"), F.lit("near_duplicate_candidate").alias("relation"), "distance", similarity(F.col("distance")).alias("similarity"), F.lit(True).alias("verified"))
     return recorded.unionByName(near, allowMissingColumns=True)
 
 

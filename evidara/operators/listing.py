@@ -84,3 +84,13 @@ def matching_or_having(parents: DataFrame, key: str, columns: list[str], child:
     """Parents that contain the term or own a child row that does."""
     owners = child.filter(any_contains(child_columns, term)).select(F.col(child_key).alias(key)).distinct().withColumn("_owns", F.lit(True))
     return parents.join(owners, key, "left").filter(any_contains(columns, term) | F.col("_owns").isNotNull()).drop("_owns")
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, or none: a filter that reaches the scan."""
+    return rows.filter(F.col(key) == F.lit(value))
+
+
+def waits_for_index(evidence: DataFrame) -> DataFrame:
+    """Items with a perceptual hash that the index doesn't have yet."""
+    return evidence.filter(F.col("phash").isNotNull() & ~F.coalesce("indexed", F.lit(False)))

@@ -1,8 +1,22 @@
-"""Nearest neighbours: exhaustive top-k over cells of a grid, and exact radius joins through bands."""
+"""Nearest neighbours: exact top-k that leaves out what can't be near, and exact radius joins through bands.
+
+Both searches collapse equal values first: a value keeps its smallest ids, as many as a list is long, so that copies of one
+another, however many, are one row.
+
+* Hashes are looked up by bands of bits with a growing radius.  Hashes within bands * (flips + 1) - 1 bits share a band but
+  for ``flips`` bits, so a value that has enough neighbours within that radius is settled; the next round is for the others.
+  A band's bucket of over BUCKET_ROWS values isn't paired: the values that ask for it stay unsettled.
+* Vectors are dealt to the regions of at most PIVOTS pivots.  A value asks its nearest regions first; the similarity of the
+  last neighbour found and the triangle inequality of angles then rule out all regions that hold nothing better.
+* What is left (unsettled hashes, regions not ruled out) is compared in full over a grid of blocks, each pair of blocks in
+  one task.
+
+On uniformly random values nothing is near, so all is compared; on values in clusters a small part is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,73 +25,218 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import hashing
+from evidara.operators.skew import salted_join
+from evidara.sources.tables import durable
+
+#: Bytes of values in a block, which set the memory of one task, and pairs of a task where there are tasks to spare.
+BLOCK_BYTES, TASK_PAIRS = 8_000_000, 50_000_000
+BUCKET_ROWS = 2048
+#: At most so many pivots, and rows of a region on average.
+PIVOTS, REGION_ROWS = 1024, 1000
 
-#: Queries and index rows of a cell: they set the memory of one task.
-QUERY_BLOCK, INDEX_BLOCK = 2048, 65_536
 
+def _collapsed(rows: DataFrame, need: int) -> DataFrame:
+    """value, first, ids: of each distinct value the ``need`` smallest ids in order."""
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy("id"))).filter(F.col("_n") <= need)
+    return few.groupBy("value").agg(F.min("id").alias("first"), F.sort_array(F.collect_list("id")).alias("ids"))
 
-def _top_k(index: DataFrame, queries: DataFrame, k: int, score: Callable, floor: float | None) -> DataFrame:
-    """For each query its k lowest (score, candidate) rows among ``index``, the query itself left out.
 
-    Queries and index are dealt to blocks by id, and each pair of blocks meets in one task, which passes on k rows a query;
-    nothing goes through the driver.  ``score`` gets the two blocks' values as arrays.  The work is queries x rows by
-    definition; each side is sent once for every block of the other.
+def _best(found: DataFrame, need: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy("score", "first")
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= need).drop("_n")
+
+
+def _met(index: DataFrame, asked: DataFrame, need: int, score: Callable, floor: float | None, width: int, stats: dict | None) -> DataFrame:
+    """q, first, score: of each q of ``asked`` (region, q, value) the ``need`` lowest rows of ``index`` (region, first, value).
+
+    ``score`` gets the values of two blocks as arrays; scores over ``floor`` don't count.  A value has ``width`` bytes.
     """
-    spread = index.sparkSession.sparkContext.defaultParallelism
-    n_queries, n_index = queries.count(), index.count()
-    rows, columns = -(-n_queries // QUERY_BLOCK) or 1, max(-(-n_index // INDEX_BLOCK), min(spread, -(-n_index // QUERY_BLOCK))) or 1
-    cell = lambda own, other, n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((own if other == "column" else i).alias("row"), (i if other == "column" else own).alias("column"))))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    asked = queries.withColumn("cell", cell(deal(rows), "column", columns))
-    held = index.withColumn("cell", cell(deal(columns), "row", rows))
+    most = max(256, BLOCK_BYTES // width)
+    sizes = [{r["region"]: r["n"] for r in x.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()} for x in (asked, index)]  # a row a region
+    spare = 4 * index.sparkSession.sparkContext.defaultParallelism
+    cells = []
+    for region in sorted(set(sizes[0]) & set(sizes[1])):
+        n, m = sizes[0][region], sizes[1][region]
+        columns = -(-m // most)
+        cells.append((region, max(-(-n // most), -(-min(spare, -(-n * m // TASK_PAIRS)) // columns)), columns))
+        if stats is not None:
+            stats["pairs"] = stats.get("pairs", 0) + n * m
+    grid = F.broadcast(index.sparkSession.createDataFrame(cells, "region int, rows int, columns int"))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "region").withColumn("row", deal("q", "rows")).withColumn("column", every("columns")).select("region", "row", "column", "q", "value")
+    right = index.join(grid, "region").withColumn("column", deal("first", "columns")).withColumn("row", every("rows")).select("region", "row", "column", "first", "value")
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
+        ids, own = left["q"].to_numpy(), right["first"].to_numpy()
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        step = max(1, 8_000_000 // max(1, len(own)))
+        step = max(1, 4_000_000 // max(1, len(own)))
         for a in range(0, len(ids) if len(own) else 0, step):
             value = score(left["value"].slice(a, step), right["value"]).astype(np.float64)
             some = ids[a : a + step]
-            value[some[:, None] == own[None, :]] = np.inf
             if floor is not None:
                 value[value > floor] = np.inf
-            # all that tie with the k-th, so that ids decide among them
-            last = np.partition(value, min(k, len(own)) - 1, axis=1)[:, [min(k, len(own)) - 1]]
+            # all that tie with the last, so that ids decide among them
+            last = np.partition(value, min(need, len(own)) - 1, axis=1)[:, [min(need, len(own)) - 1]]
             q, j = np.nonzero((value <= last) & np.isfinite(value))
             order = np.lexsort((own[j], value[q, j], q))
             q, j = q[order], j[order]
             rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
-            q, j = q[rank < k], j[rank < k]
+            q, j = q[rank < need], j[rank < need]
             found.append((some[q], own[j], value[q, j]))
         query, candidate, best = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"query": query, "candidate": candidate, "score": best})
+        return pa.table({"q": query, "first": candidate, "score": best})
+
+    cell = ["region", "row", "column"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(nearest, "q long, first long, score double")
+    return _best(found, need)
+
+
+def _lists(queries: DataFrame, asked: DataFrame, held: DataFrame, near: DataFrame, need: int) -> DataFrame:
+    """query, candidate, score, rank from near (q, first, score): values become their ids, the query itself is left out."""
+    each = near.join(held.select("first", "ids"), "first").select("q", "score", F.explode("ids").alias("first"))
+    best = _best(each, need).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "first"))).alias("list"))
+    lists = asked.join(best, "q").select("value", "list")
+    own = salted_join(queries, lists, ["value"], F.col("id")).select(F.col("id").alias("query"), F.slice(F.filter("list", lambda x: x["first"] != F.col("id")), 1, need - 1).alias("list"))
+    return own.select("query", F.posexplode("list").alias("rank", "x")).select("query", F.col("x.first").alias("candidate"), F.col("x.score").alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+def _band_keys(bands: int, flips: int):
+    """Of a hash the keys (band, bits) of all its bands' values within ``flips`` bits."""
+    cuts = [hashing.BITS * i // bands for i in range(bands + 1)]
+
+    def keys(i: int):
+        width = cuts[i + 1] - cuts[i]
+        bits = F.shiftrightunsigned("value", hashing.BITS - cuts[i + 1]).bitwiseAND(F.lit((1 << width) - 1))
+        masks = F.array(*[F.lit(m).cast("long") for m in _near_values(width, flips)])
+        return F.transform(masks, lambda m: bits.bitwiseXOR(m) + F.lit(i << 33).cast("long"))
+
+    return F.explode(F.concat(*map(keys, range(bands)))).alias("key")
+
 
-    found = asked.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(nearest, "query long, candidate long, score double")
-    order = Window.partitionBy("query").orderBy("score", "candidate")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def _by_bands(held: DataFrame, asked: DataFrame, need: int, flips: int, stats: dict | None) -> tuple[DataFrame, DataFrame]:
+    """(q, first, score of the settled ones; the rows of ``asked`` that stay unsettled)."""
+    bands = hashing.BITS // min(32, max(8, held.count().bit_length()))
+    keyed = held.select("first", "value", F.size("ids").alias("n_ids"), _band_keys(bands, 0))
+    hot = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET_ROWS).select("key"))
+    left, found = asked, None
+    for step in range(flips + 1):
+        probes = left.select("q", F.col("value").alias("own"), _band_keys(bands, step).alias("key"))
+        if not hot.isEmpty():
+            probes = probes.join(probes.join(hot, "key", "left_semi").select("q").distinct(), "q", "left_anti")
+        near = probes.join(keyed, "key").select("q", "first", "n_ids", hashing.hamming(F.col("own"), F.col("value")).cast("double").alias("score"))
+        if stats is not None:
+            stats["pairs"] = stats.get("pairs", 0) + near.count()
+        near = durable(_best(near.filter(F.col("score") < bands * (step + 1)).distinct(), need))
+        settled = near.groupBy("q").agg(F.sum("n_ids").alias("n")).filter(F.col("n") >= need).select("q")
+        done = near.join(settled, "q", "left_semi").drop("n_ids")
+        found = done if found is None else found.unionByName(done)
+        left = durable(left.join(settled, "q", "left_anti"))
+        if left.isEmpty():
+            break
+    return found, left
 
 
-def hamming_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, candidate, distance, rank over (id, value) tables of 64-bit hashes; NULL hashes take no part."""
+def _numbered(queries: DataFrame) -> DataFrame:
+    """q, value of the distinct values; the written table fixes the numbers."""
+    return durable(queries.select("value").distinct().select(F.monotonically_increasing_id().alias("q"), "value"))
+
+
+def hamming_top_k(index: DataFrame, queries: DataFrame, k: int, flips: int = 1, stats: dict | None = None) -> DataFrame:
+    """query, candidate, distance, rank over (id, value) tables of 64-bit hashes; NULL hashes take no part.
+
+    Ties go to the smaller id.  ``stats`` gets the number of pairs that were compared.
+    """
 
     def distances(a, b):
         a, b = a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)
         return np.bitwise_count(a[:, None] ^ b[None, :])
 
     keep = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("value").cast("long").alias("value")).filter("value is not null")
-    found = _top_k(keep(index), keep(queries), k, distances, None)
+    index, queries, need = keep(index), keep(queries), k + 1
+    held, asked = durable(_collapsed(index, need)), _numbered(queries)
+    near, left = _by_bands(held, asked, need, flips, stats)
+    if not left.isEmpty():
+        one = F.lit(0).alias("region")
+        near = near.unionByName(_met(held.select(one, "first", "value"), left.select(one, "q", "value"), need, distances, None, 8, stats))
+    found = _lists(queries, asked, held, near, need)
     return found.select("query", "candidate", F.col("score").cast("int").alias("distance"), "rank")
 
 
-def cosine_top_k(index: DataFrame, queries: DataFrame, k: int, floor: float) -> DataFrame:
-    """query, candidate, similarity, rank over (id, value) tables of unit vectors; only similarities of ``floor`` or more."""
+def _matrix(column) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class _Regions:
+    """Pivots, and of each region its rows, the widest angle to the pivot and the longest vector."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+        self.n, self.angle, self.length = (np.zeros(len(pivots)) for _ in range(3))
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(x @ self.pivots.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), -1, 1))
 
-    def negative(a, b):
-        a, b = (pc.list_flatten(x).to_numpy().astype(np.float64).reshape(len(x), -1) for x in (a, b))
-        return -(a @ b.T)
+    def first(self, x: np.ndarray, need: int) -> np.ndarray:
+        """bool[rows, regions]: the nearest ones that hold ``need`` rows together."""
+        order = np.argsort(self.angles(x), axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, before < need, axis=1)
+        return out & (self.n > 0)
 
+    def possible(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """bool[rows, regions]: those that may hold a product of ``least`` or more."""
+        gap = np.maximum(self.angles(x) - self.angle - 1e-6, 0)
+        most = np.linalg.norm(x, axis=1, keepdims=True) * self.length * np.maximum(np.cos(gap), 0)
+        return (most >= least[:, None] - 1e-9) & (self.n > 0)
+
+
+def cosine_top_k(index: DataFrame, queries: DataFrame, k: int, floor: float, stats: dict | None = None) -> DataFrame:
+    """query, candidate, similarity, rank over (id, value) tables of unit vectors; only similarities of ``floor`` or more.
+
+    Ties go to the smaller id.  ``stats`` gets the number of pairs that were compared.  NULL vectors take no part.
+    """
     keep = lambda df: df.select(F.col("id").cast("long").alias("id"), "value").filter("value is not null")
-    found = _top_k(keep(index), keep(queries), k, negative, -floor)
+    index, queries, need = keep(index), keep(queries), k + 1
+    held, asked = durable(_collapsed(index, need)), _numbered(queries)
+    n_pivots = min(PIVOTS, max(1, held.count() // REGION_ROWS))
+    chosen = held.select("value").orderBy(F.xxhash64("value"), "value").limit(n_pivots).collect()
+    if not chosen:
+        return queries.select(F.col("id").alias("query"), F.col("id").alias("candidate"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    regions = _Regions(np.array([r["value"] for r in chosen], np.float64))
+    width = 4 * max(1, regions.pivots.shape[1])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch["value"])
+            angles = regions.angles(x)
+            at = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(angles[np.arange(len(x)), at]), pa.array(np.linalg.norm(x, axis=1)), batch["first"], batch["value"]], names=["region", "angle", "length", "first", "value"])
+
+    kind = held.schema["value"].dataType.simpleString()
+    placed = durable(held.select("first", "value").mapInArrow(place, f"region int, angle double, length double, first long, value {kind}"))
+    for r in placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.max("length").alias("length")).collect():  # at most PIVOTS rows
+        regions.n[r["region"]], regions.angle[r["region"]], regions.length[r["region"]] = r["n"], r["angle"], r["length"]
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch["value"])
+            go = regions.first(x, need)
+            if "least" in batch.schema.names:
+                go = regions.possible(x, batch["least"].to_numpy(zero_copy_only=False)) & ~go
+            q, region = np.nonzero(go)
+            yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), batch["q"].take(pa.array(q)), batch["value"].take(pa.array(q))], names=["region", "q", "value"])
+
+    schema = f"region int, q long, value {kind}"
+    negative = lambda a, b: -(_matrix(a) @ _matrix(b).T)
+    met = lambda rows: _met(placed.select("region", "first", "value"), durable(rows.mapInArrow(visits, schema)), need, negative, -floor, width, stats)
+    near = durable(met(asked.select("q", "value")))
+    if n_pivots > 1:
+        last = near.groupBy("q").agg(F.when(F.count(F.lit(1)) >= need, -F.max("score")).otherwise(floor).alias("least"))
+        further = asked.join(last, "q", "left").select("q", "value", F.coalesce("least", F.lit(float(floor))).alias("least"))
+        near = near.unionByName(met(further))
+    found = _lists(queries, asked, held, near, need)
     return found.select("query", "candidate", (-F.col("score")).alias("similarity"), "rank")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.operators.quantiles import grouped_quantiles, with_quantiles
+from evidara.sources.tables import durable
+
 
 def tumbling(rows: DataFrame, key: str, index: str, width: int, least: int, value: str) -> DataFrame:
     """Mean of each run of ``width`` consecutive samples; a last run of under ``least`` samples is dropped."""
@@ -32,13 +35,19 @@ def fitted(samples: Column, length: int) -> Column:
 
 
 def residual_outliers(rows: DataFrame, key: str, x: str, y: str, z: float = 3.5) -> DataFrame:
-    """Per key a line fitted by least squares, its fit, and the tiles whose residual is an outlier by the median deviation."""
+    """Per key a line fitted by least squares, its fit, the tiles whose residual is an outlier by the median deviation, and p99.
+
+    ``mad`` is the median absolute deviation of the residuals from their median, ``p99`` the 99th percentile of the residuals'
+    size.  Medians and percentiles are exact and no task gets a key's rows.
+    """
     line = rows.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
-    left = rows.join(line, key).withColumn("_r", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-    mid = left.groupBy(key).agg(F.median("_r").alias("_m"))
-    off = left.join(mid, key).withColumn("_d", F.abs(F.col("_r") - F.col("_m")))
-    mad = off.groupBy(key).agg(F.median("_d").alias("mad"))
-    return off.join(mad, key).groupBy(key).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("r2").alias("r2"), F.first("mad").alias("mad"), F.count_if((F.col("mad") > 0) & (0.6745 * F.col("_d") / F.col("mad") > z)).alias("n_outliers"), F.count(F.lit(1)).alias("n_tiles"))
+    left = durable(with_quantiles(rows.select(key, x, y), [key], durable(line)).withColumn("_r", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")).withColumn("_size", F.abs("_r")))
+    mid = durable(grouped_quantiles(left, [key], "_r", {"_m": 0.5}))
+    off = durable(with_quantiles(left, [key], mid).withColumn("_d", F.abs(F.col("_r") - F.col("_m"))))
+    spread = durable(grouped_quantiles(off, [key], "_d", {"mad": 0.5}).join(grouped_quantiles(off, [key], "_size", {"p99": 0.99}), key))
+    far = F.count_if((F.col("mad") > 0) & (0.6745 * F.col("_d") / F.col("mad") > z))
+    first = [F.first(c).alias(c) for c in ("slope", "intercept", "r2", "mad", "p99")]
+    return with_quantiles(off, [key], spread).groupBy(key).agg(*first, far.alias("n_outliers"), F.count(F.lit(1)).alias("n_tiles"))
 
 
 def grid_phase(rows: DataFrame, key: str, column: str, energy: str, period: int = 8) -> DataFrame:

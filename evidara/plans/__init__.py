@@ -7,9 +7,9 @@ labels the measured signals and pages the occurrences on the web.
 
 from __future__ import annotations
 
-from evidara.plans import cases, derived, graphs, measures, reads, reports, retrieval, signals
+from evidara.plans import cases, derived, endpoints, graphs, measures, reads, reports, retrieval, signals
 
-_MODULES = (retrieval, cases, signals, derived, graphs, measures, reads, reports)
+_MODULES = (retrieval, cases, signals, derived, graphs, measures, reads, reports, endpoints)
 
 
 def queries():

@@ -104,7 +104,7 @@ def trail_last_n(spark: SparkSession, d: str) -> DataFrame:
 def earliest_instance_ties(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("generation", F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 4).cast("int")))
     out = latest.earliest_with_ties(e, "user_id", "ts", "generation", "event_id", unit="day")
-    return out.select("user_id", "earliest", F.col("n_tied").alias("n_tied"), "tied", "is_tied")
+    return out.select("user_id", "event_id", "earliest", "n_tied", "is_tied")
 
 
 def audit_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +212,7 @@ SELECT user_id, event_id, event_type, truncated, CAST(row_number() OVER (PARTITI
         earliest_instance_ties,
         """WITH e AS (SELECT user_id, event_id, date_trunc('day', ts) AS dy, CASE WHEN event_id % 4 > 0 THEN event_id % 4 ELSE 99 END AS g FROM events),
 f AS (SELECT *, min(dy) OVER (PARTITION BY user_id) AS first_dy FROM e)
-SELECT user_id, arg_min(event_id, g * 1000000000 + event_id) AS earliest, count(*) AS n_tied, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS tied, count(*) > 1 AS is_tied FROM f WHERE dy = first_dy GROUP BY user_id""",
+SELECT user_id, event_id, arg_min(event_id, g * 1000000000 + event_id) OVER w AS earliest, count(*) OVER w AS n_tied, count(*) OVER w > 1 AS is_tied FROM f WHERE dy = first_dy WINDOW w AS (PARTITION BY user_id)""",
     ),
     "audit_filter": (audit_filter, "SELECT event_id, user_id, event_type, iso AS seen_at FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events) WHERE event_type IN ('error', 'signup') AND iso BETWEEN '2024-01-05T00:00:00Z' AND '2024-01-06T00:00:00Z'"),
     "session_validity": (

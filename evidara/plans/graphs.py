@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import files
@@ -30,9 +30,21 @@ def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
     return lineage.climb(n, n.filter("generation >= 3")).select("id", "ancestor", F.col("depth").cast("long").alias("depth"))
 
 
+def lineage_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Root and depth of every turn."""
+    return lineage.positions(_nodes(spark, d))
+
+
+def event_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Of every event its user's first one and how many lie between: chains as long as a user has events."""
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    chain = table(spark, d, "events").select(F.col("event_id").alias("id"), F.lag("event_id").over(own).alias("parent_id"))
+    return lineage.positions(chain).select("id", "root", "depth")
+
+
 def lineage_edges(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
-    return lineage.edges(n, _matches(spark, d)).withColumn("distance", F.col("distance").cast("string"))
+    return lineage.edges(n, _matches(spark, d)).withColumn("distance", F.col("distance").cast("string")).drop("similarity")
 
 
 def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +83,11 @@ QUERIES = {
         lineage_recursive,
         f"WITH RECURSIVE {_N}, r(id, ancestor, depth) AS (SELECT id, id, 0::BIGINT FROM n WHERE generation >= 3 UNION ALL SELECT r.id, n.parent_id, depth + 1 FROM r JOIN n ON n.id = r.ancestor WHERE n.parent_id IS NOT NULL AND depth < 32) SELECT * FROM r",
     ),
+    "lineage_positions": (
+        lineage_positions,
+        f"WITH RECURSIVE {_N}, r(id, spot, root, depth) AS (SELECT id, id, id, 0::BIGINT FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, n.id, r.root, depth + 1 FROM r JOIN n ON n.parent_id = r.spot), x AS (SELECT r.id, CASE WHEN p.parent_id IS NOT NULL THEN p.parent_id ELSE root END AS root, depth + CASE WHEN p.parent_id IS NOT NULL THEN 1 ELSE 0 END AS depth FROM r JOIN n p ON p.id = r.root) SELECT id, root, depth, false AS on_cycle FROM x",
+    ),
+    "event_positions": (event_positions, "SELECT event_id AS id, first_value(event_id) OVER w AS root, row_number() OVER w - 1 AS depth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
     "lineage_edges": (
         lineage_edges,
         f"""WITH {_N}, {_M}, s AS (SELECT * FROM n)

@@ -48,7 +48,7 @@ def suspicious_segments(spark: SparkSession, d: str) -> DataFrame:
 def residual_outliers(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     out = windows.residual_outliers(rows, "l_returnflag", "l_quantity", "l_extendedprice", 1.1)
-    return out.select("l_returnflag", "n_tiles", "n_outliers", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round("mad", 2).alias("mad"))
+    return out.select("l_returnflag", "n_tiles", "n_outliers", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round("mad", 2).alias("mad"), F.round("p99", 2).alias("p99"))
 
 
 def grid_phase(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +84,10 @@ SELECT modality, tp, fp, tn, fn, round(ab, 9) AS abstention_rate, round((tp + tn
         residual_outliers,
         """WITH l AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY 1),
 r AS (SELECT l_returnflag, l_extendedprice - s * l_quantity - i AS r, s, r2 FROM lineitem JOIN l USING (l_returnflag)), m AS (SELECT l_returnflag, median(r) AS m FROM r GROUP BY 1),
-dv AS (SELECT l_returnflag, abs(r - m) AS dev, s, r2 FROM r JOIN m USING (l_returnflag)), md AS (SELECT l_returnflag, median(dev) AS mad FROM dv GROUP BY 1)
-SELECT l_returnflag, count(*) AS n_tiles, count(*) FILTER (WHERE 0.6745::DOUBLE * dev / mad > 1.1::DOUBLE) AS n_outliers, round(any_value(s), 4) AS slope, round(any_value(r2), 6) AS r2, round(any_value(mad), 2) AS mad FROM dv JOIN md USING (l_returnflag) GROUP BY l_returnflag""",
+dv AS (SELECT l_returnflag, abs(r - m) AS dev, s, r2 FROM r JOIN m USING (l_returnflag)), md AS (SELECT l_returnflag, median(dev) AS mad FROM dv GROUP BY 1),
+pc AS (SELECT l_returnflag, quantile_cont(abs(r), 0.99) AS p99 FROM r GROUP BY 1)
+SELECT l_returnflag, count(*) AS n_tiles, count(*) FILTER (WHERE 0.6745::DOUBLE * dev / mad > 1.1::DOUBLE) AS n_outliers, round(any_value(s), 4) AS slope, round(any_value(r2), 6) AS r2, round(any_value(mad), 2) AS mad, round(any_value(p99), 2) AS p99
+FROM dv JOIN md USING (l_returnflag) JOIN pc USING (l_returnflag) GROUP BY l_returnflag""",
     ),
     "grid_phase": (
         grid_phase,

@@ -119,11 +119,16 @@ def chain_heads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def modality_auc(spark: SparkSession, d: str) -> DataFrame:
-    """Area and equal error rate per modality; a modality of one class has neither."""
+    """Area under the ROC curve per modality; a modality of one class has none."""
     rows = _scored(spark, d)
     return evaluation.auc(rows, "modality").select("modality", F.round("auc", 9).cast("string").alias("auc"))
 
 
+def modality_eer(spark: SparkSession, d: str) -> DataFrame:
+    """Equal error rate per modality; a modality of one class has none."""
+    return evaluation.eer(_scored(spark, d), by="modality").select("modality", F.round("eer_gap", 9).cast("string").alias("eer_gap"), F.round("eer", 9).cast("string").alias("eer"))
+
+
 QUERIES = {
     "report_first_rows": (report_first_rows, "SELECT user_id, event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS position FROM events QUALIFY position <= 8"),
     "report_readiness": (
@@ -167,6 +172,11 @@ SELECT (SELECT count(*) FROM g) AS n_evidence, (SELECT count(*) FROM mt WHERE qu
   (SELECT count(*) FROM n WHERE id // 1000 <> 4 AND parent_id IN (SELECT id FROM g)) AS n_detached""",
     ),
     "chain_heads": (chain_heads, f"WITH RECURSIVE {_LOG_SQL} SELECT user_id, count(*) AS n_rows, CAST(min(seq) FILTER (WHERE NOT (link_ok AND content_ok)) AS VARCHAR) AS first_invalid, (SELECT arg_max(row_hash, seq) FROM log WHERE log.user_id = checked.user_id) AS head_hash FROM checked GROUP BY user_id"),
+    "modality_eer": (
+        modality_eer,
+        f"""WITH {_S}, t AS (SELECT unnest(range(0, 200)) AS i), g AS (SELECT modality, i, avg(CASE WHEN score * 199 + 1e-9 >= i THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE label = 0) AS far, avg(CASE WHEN score * 199 + 1e-9 < i THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE label = 1) AS frr FROM sc, t GROUP BY modality, i)
+SELECT modality, CAST(round(min(abs(far - frr)), 9) AS VARCHAR) AS eer_gap, CAST(round(arg_min((far + frr) / 2, abs(far - frr) * 1000000 + i / 1000.0::DOUBLE), 9) AS VARCHAR) AS eer FROM g GROUP BY modality""",
+    ),
     "modality_auc": (
         modality_auc,
         f"""WITH {_S}, r AS (SELECT modality, label, rank() OVER (PARTITION BY modality ORDER BY score) + (count(*) OVER (PARTITION BY modality, score) - 1) / 2.0::DOUBLE AS rk FROM sc),

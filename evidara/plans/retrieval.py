@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import hashing
 from evidara.operators import evaluation, latest, neighbours
+from evidara.operators.skew import salted_join
 from evidara.sources.tables import table
 
 
@@ -77,7 +78,7 @@ def false_match_rate(spark: SparkSession, d: str) -> DataFrame:
 def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     groups = docs.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
-    return docs.join(groups, "sha256")  # the members as rows: a group may hold any number
+    return salted_join(docs, groups, ["sha256"], F.col("doc_id"))  # the members as rows: a group may hold any number
 
 
 def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:

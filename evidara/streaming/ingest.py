@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from evidara.functions.files import row_hash
-from evidara.operators.chain import GENESIS
+from evidara.streaming.keyed import chained, use_rocksdb
 
 
 def first_arrivals(stream: DataFrame, key: str, ts: str, lateness: str) -> DataFrame:
@@ -34,28 +33,16 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "sha256") -
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_chain(stream: DataFrame, path: str, checkpoint: str, seq: str = "seq", content: str = "content") -> StreamingQuery:
-    """Appends events to a hash chain: one writer, each batch linked in seq order from the stored head."""
+def append_chain(stream: DataFrame, path: str, checkpoint: str, seq: str = "seq", content: str = "content", chain: str | None = None) -> StreamingQuery:
+    """Appends events to hash chains in a folder of Parquet files, each chain linked from the head that its state keeps.
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        head = (None, GENESIS)
-        try:
-            row = spark.read.parquet(path).agg(F.max(seq).alias("s"), F.max_by("row_hash", seq).alias("h")).first()
-            head = (row["s"], row["h"] or GENESIS)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh = batch if head[0] is None else batch.filter(F.col(seq) > head[0])
-        linked = F.aggregate(
-            F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(content).alias("content")))),
-            F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("previous_hash"), F.lit(head[1]).alias("row_hash"))),
-            lambda done, x: F.concat(done, F.array(F.struct(x["seq"].alias("seq"), x["content"].alias("content"), F.element_at(done, -1)["row_hash"].alias("previous_hash"), row_hash(F.element_at(done, -1)["row_hash"], x["content"]).alias("row_hash")))),
-        )
-        rows = fresh.agg(linked.alias("rows")).select(F.explode("rows").alias("r")).select("r.*").filter("seq is not null")
-        rows.toDF(seq, content, "previous_hash", "row_hash").coalesce(1).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    With ``chain``, a column that names each event's chain, that column is stored too.
+    """
+    use_rocksdb(stream.sparkSession)
+    linked = chained(stream, seq, content, chain).filter("status = 'LINKED'")
+    named = [F.col("chain").alias(chain)] if chain else []
+    rows = linked.select(*named, F.col("seq").alias(seq), F.col("content").alias(content), "previous_hash", "row_hash")
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(stream: DataFrame, ts: str, kind: str, width: str, lateness: str) -> DataFrame:

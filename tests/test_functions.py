@@ -57,7 +57,7 @@ def test_band_join_equals_naive_join(spark, values, seed):
     rng = random.Random(seed)
     values += [v ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for v in values]
     df = spark.createDataFrame(list(enumerate(values)), "id long, value long")
-    got = {(r.a, r.b, r.distance) for r in neighbours.hamming_within(df, df, 12, 6).collect()}
+    got = {(r.a, r.b, r.distance) for r in neighbours.hamming_within(df, df, 12, 7).collect()}
     bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
     assert got == {(i, j, bits(a, b)) for i, a in enumerate(values) for j, b in enumerate(values) if i != j and bits(a, b) <= 12}
 

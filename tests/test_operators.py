@@ -135,8 +135,7 @@ def test_bands_refuse_settings_that_pair_everything(spark):
 def test_top_k_over_a_grid_equals_brute_force(spark, monkeypatch):
     from evidara.operators import neighbours
 
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 11)
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 50)
     rows = [(i, i * 2654435761 % (1 << 40)) for i in range(40)] + [(99, None)]
     h = spark.createDataFrame(rows, "id long, value long")
     got = {(r.query, r.rank): (r.distance, r.candidate) for r in neighbours.hamming_top_k(h, h, 3).collect()}
