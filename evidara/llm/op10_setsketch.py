@@ -140,14 +140,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node it reaches) for edges a, b: labels flow along edges and are followed to their own label."""
+    """node, component (smallest node it reaches) for edges a, b: labels flow along edges and are followed to their own label.
+
+    A node with very many edges and a label that very many nodes have are dealt out in the joins.
+    """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    hot_nodes = durable(hot_keys(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"]))
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("other"))
+        near = salted_join(both, labels.toDF("b", "component"), ["b"], hot_nodes, F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("other"))
+        hot_labels = hot_keys(labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")), ["component"])
         seen = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "other").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = durable(seen.join(jump, "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")))
+        moved = durable(salted_join(seen, jump, ["component"], hot_labels, F.col("node"), "left").select("node", "old", F.coalesce("further", "component").alias("component")))
         labels = moved.select("node", "component")
         if moved.filter("component <> old").isEmpty():
             return labels

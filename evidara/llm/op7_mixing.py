@@ -183,9 +183,17 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
     spans = _placed(units, plan)
     text = keyed(docs).select("mark", "unit", "text")
     whole = text.join(spans.filter("copies = 1").hint("merge"), ["mark", "unit"])
-    if not units.filter("copies > 1").isEmpty():  # one text for all copies of a unit
-        whole = whole.unionByName(text.join(spans.filter("copies > 1").hint("merge"), ["mark", "unit"]).dropDuplicates(["mark", "unit"]))
     each = _copies(whole)
+    repeated = durable(units.filter("copies > 1 and size > 0").select("mark", "unit", F.col("copies").alias("n")))
+    if not repeated.isEmpty():
+        # one text for all copies of a unit, which are dealt out before they get their words
+        found = salted_join(text, repeated, ["mark", "unit"], hot_keys(repeated, ["mark", "unit"]), F.spark_partition_id())
+        once = found.groupBy("mark", "unit").agg(F.max("text").alias("text"))
+        many = spans.filter("copies > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {PIECE}"))))
+        # the copies of a text in parts: a unit of very many parts is salted
+        parts_of = repeated.select("mark", "unit", F.expr(f"(n - 1) div {PIECE} + 1").alias("n"))
+        dealt = salted_join(many, once, ["mark", "unit"], hot_keys(parts_of, ["mark", "unit"]), F.col("part")).repartition(n_chunks, "mark", "unit", "part")
+        each = each.unionByName(_copies(dealt, F.col("part") * PIECE, F.least((F.col("part") + 1) * PIECE, "copies") - 1).select(*each.columns))
     skip = lambda i: F.greatest(_begin(i) - F.col("offset"), F.lit(0))
     until = lambda i: F.least(_begin(i + 1) - F.col("offset"), F.col("size"))
     share = F.transform(F.sequence(_block_of(F.col("offset")), _block_of(F.col("offset") + F.col("size") - 1)), lambda i: F.struct(i.alias("block"), F.slice("words", skip(i).cast("int") + 1, (until(i) - skip(i)).cast("int")).alias("words")))
@@ -197,9 +205,9 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
     return out.select("shard", "slot", "source", "doc_ids", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("text"))
 
 
-def _copies(whole: DataFrame) -> DataFrame:
-    """Each copy of a unit with its offset, and the words."""
-    each = whole.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+def _copies(whole: DataFrame, first=None, last=None) -> DataFrame:
+    """Each copy of a unit, or those from ``first`` to ``last``, with its offset, and the words."""
+    each = whole.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long") if first is None else first, F.col("copies") - 1 if last is None else last)))
     return each.withColumn("offset", F.col("offset") + F.col("copy") * F.col("size")).withColumn("words", words_of(F.col("text")))
 
 

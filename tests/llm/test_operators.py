@@ -342,6 +342,43 @@ def test_op7_blocks_are_the_mix_that_is_counted(spark):
     assert mixed == +taken
 
 
+def test_op7_one_text_on_very_many_rows(spark, monkeypatch):
+    """A third of all rows are one text without an id: its copies are dealt out, and the mix is what is counted."""
+    monkeypatch.setattr(op7, "PIECE", 7)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(k, f"own{k} " * (5 + k % 9), "ab"[k % 2]) for k in range(1, 200)] + [(None, "hot " * 11, "a")] * 100 + [(None, " ", "a")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed, taken = collections.Counter(), collections.Counter()
+    blocks = op7.mixed_blocks(docs.repartition(5)).collect()
+    assert len({(r.shard, r.slot) for r in blocks}) == len(blocks) and all(r.n_words == len(r.text.split()) for r in blocks)
+    for r in blocks:
+        mixed.update(r.text.split())
+    for r in op7.mix(docs).collect():
+        taken[f"own{r.doc_id}" if r.doc_id else "hot"] += r.taken
+    assert mixed == +taken and mixed["hot"] > 500
+
+
+def test_op10_components_with_hot_nodes_and_labels(spark, monkeypatch):
+    """A star with a third of all nodes, a long chain and pairs, under limits that make the star's centre and label hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", 30)
+    monkeypatch.setattr(common, "SALTS", 4)
+    edges = [(500, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(50)] + [(3000 + 2 * i, 3001 + 2 * i) for i in range(100)] + [(1007, 7), (7, 7)]
+    got = {r.node: r.component for r in op10.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {500: 7, 7: 7} | {1000 + i: 7 for i in range(200)} | {2000 + i: 2000 for i in range(51)} | {3000 + i: 3000 + i - i % 2 for i in range(200)}
+    assert got == want
+
+
+def test_op10_equals_brute_force_with_one_large_family(spark, monkeypatch):
+    """A third of all sets are near copies of one another."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = random.Random(21)
+    base = [f"c{i}" for i in range(80)]
+    near = lambda: " ".join(w if rng.random() > 0.02 else f"n{rng.randrange(10**6)}" for w in base)
+    rows = [(k, near(), "en", "s", 1) for k in range(60)] + [(100 + k, " ".join(f"u{rng.randrange(500)}" for _ in range(40)), "en", "s", 1) for k in range(120)]
+    got = op10.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_brute(rows)
+
+
 def test_op7_permutations(spark):
     for n in (1, 2, 7, 64, 1000):
         found = spark.range(n).select(op7.permuted(op7.F.col("id"), op7.F.lit(n), op7.F.lit(12345)).alias("id")).toPandas().id.tolist()
