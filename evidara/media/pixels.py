@@ -67,8 +67,9 @@ def grid_energies(luma: np.ndarray) -> np.ndarray:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """origin and the decoded image of the files under a path that can be decoded."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image")
+    """origin, written as the path of ``readers.media_files``, and the decoded image of the files that can be decoded."""
+    found = spark.read.format("image").option("dropInvalid", True).load(path)
+    return found.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin"), "image")
 
 
 def _lumas(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:

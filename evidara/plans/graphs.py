@@ -27,7 +27,7 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
-    return lineage.climb(n, n.filter("generation >= 3")).select("id", "ancestor", F.col("depth").cast("long").alias("depth"))
+    return lineage.climb(n, n).select("id", "ancestor", F.col("depth").cast("long").alias("depth"))
 
 
 def lineage_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,7 @@ def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def propagation_timeline(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_type = 'view'")
-    dated = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 > 0, F.col("ts")).alias("observed_at"), F.when(F.col("event_id") % 25 > 0, F.col("ts")).alias("ingested_at"), F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("platform"), F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 4).cast("int")).alias("generation"))
+    dated = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 > 0, F.col("ts")).alias("observed_at"), F.when(F.col("event_id") % 25 > 0, F.col("ts")).alias("ingested_at"), F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("platform"), F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 4).cast("int")).alias("generation"))
     return lineage.timeline(lineage.timestamps(dated)).select("id", "timestamp", "timestamp_source", "dated", "description")
 
 
@@ -81,7 +80,7 @@ _M = "mt AS (SELECT a.id AS query, b.id AS candidate, CAST((a.id + b.id) % 13 AS
 QUERIES = {
     "lineage_recursive": (
         lineage_recursive,
-        f"WITH RECURSIVE {_N}, r(id, ancestor, depth) AS (SELECT id, id, 0::BIGINT FROM n WHERE generation >= 3 UNION ALL SELECT r.id, n.parent_id, depth + 1 FROM r JOIN n ON n.id = r.ancestor WHERE n.parent_id IS NOT NULL AND depth < 32) SELECT * FROM r",
+        f"WITH RECURSIVE {_N}, r(id, ancestor, depth) AS (SELECT id, id, 0::BIGINT FROM n UNION ALL SELECT r.id, n.parent_id, depth + 1 FROM r JOIN n ON n.id = r.ancestor WHERE n.parent_id IS NOT NULL AND depth < 32) SELECT * FROM r",
     ),
     "lineage_positions": (
         lineage_positions,
@@ -106,7 +105,7 @@ SELECT id, ['case_evidence', 'perceptual_match', 'recorded_lineage'][r + 1] AS d
     "propagation_timeline": (
         propagation_timeline,
         """SELECT id, timestamp, timestamp_source, timestamp IS NOT NULL AS dated, concat_ws(' ', 'Instance', id, CASE WHEN user_id % 3 > 0 THEN 'on p' || user_id END, CASE WHEN id % 4 > 0 THEN '(generation ' || id % 4 || ')' END) AS description
-FROM (SELECT event_id AS id, user_id, CASE WHEN event_id % 25 > 0 THEN ts END AS timestamp, CASE WHEN event_id % 5 > 0 THEN 'recorded_observation' ELSE 'local_ingestion' END AS timestamp_source FROM events WHERE event_type = 'view')""",
+FROM (SELECT event_id AS id, user_id, CASE WHEN event_id % 25 > 0 THEN ts END AS timestamp, CASE WHEN event_id % 5 > 0 THEN 'recorded_observation' ELSE 'local_ingestion' END AS timestamp_source FROM events)""",
     ),
     "url_domains": (url_domains, "SELECT regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]+)', 1), '^www\\.', '') AS domain, count(*) AS n_pages, min(page_id) AS first_page, count(*) FILTER (WHERE regexp_matches(url, '^https?://[^/?#]')) AS n_public FROM pages GROUP BY 1"),
     "occurrence_rank": (

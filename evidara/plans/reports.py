@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import files
 from evidara.operators import chain, evaluation, latest, listing, reports
-from evidara.plans.cases import _LOG_SQL, _log
+from evidara.plans.cases import _LOG_SQL, EVENT_KINDS, _log
 from evidara.plans.graphs import _M, _N, _matches, _nodes
 from evidara.plans.measures import _S, _scored
 from evidara.sources.tables import table
@@ -87,9 +87,9 @@ def signal_table(spark: SparkSession, d: str) -> DataFrame:
 def evidence_detail(spark: SparkSession, d: str) -> DataFrame:
     """Per item its newest result of each stage, the number of results and their time span."""
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
-    stages = latest.stage_pivot(e, "user_id", "event_type", ["click", "error", "view"], "value", ["ts", "event_id"])
+    stages = latest.stage_pivot(e, "user_id", "event_type", EVENT_KINDS, "value", ["ts", "event_id"])
     span = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_results"), F.min(files.iso_seconds(F.col("ts"))).alias("first_at"), F.max(files.iso_seconds(F.col("ts"))).alias("last_at"))
-    return span.join(stages, "user_id").fillna(-1.0, ["click", "error", "view"])
+    return span.join(stages, "user_id").fillna(-1.0, EVENT_KINDS)
 
 
 def audit_page(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ SELECT o_orderkey, c_name, o_orderpriority, (SELECT count(*) FROM r) AS total, 8
         evidence_detail,
         """WITH n AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2)
 SELECT user_id, count(*) AS n_results, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS first_at, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS last_at, """
-        + ", ".join(f"coalesce((SELECT v FROM n WHERE n.user_id = e.user_id AND event_type = '{k}'), -1) AS {k}" for k in ("click", "error", "view"))
+        + ", ".join(f"coalesce((SELECT v FROM n WHERE n.user_id = e.user_id AND event_type = '{k}'), -1) AS {k}" for k in EVENT_KINDS)
         + " FROM events e GROUP BY user_id",
     ),
     "audit_page": (audit_page, "WITH r AS (SELECT event_id, user_id FROM events WHERE event_type = 'error') SELECT *, (SELECT count(*) FROM r) AS total, 30 < (SELECT count(*) FROM r) AS truncated FROM r ORDER BY event_id DESC LIMIT 25 OFFSET 5"),
