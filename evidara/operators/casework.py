@@ -190,6 +190,18 @@ def analyse(store: Store, cases: DataFrame, stored_files: DataFrame, decoded: Da
     return store.commit(run, {"analysis_results": results, "matches": found, "audit_log": log})
 
 
+def examined(items: DataFrame, decoded: DataFrame, detections: DataFrame | None = None) -> DataFrame:
+    """Stage results and assessment of files that are no evidence, without storing anything: evidence_id, kind, status, score, payload, verdict.
+
+    ``items`` has id, stored_path, media_type, content and phash; there is no search, so no candidates either.
+    """
+    held = items.withColumn("gate", F.when(F.col("content").isNull(), "MISSING").otherwise("OK"))
+    rows = metadata_stage(held).unionByName(detector_stage(held, detections)).unionByName(provenance_stage(held)).unionByName(forensics_stage(held, decoded))
+    rows = durable(rows)
+    none = items.sparkSession.createDataFrame([], "query_id string, same_bytes boolean, distance int")
+    return rows.withColumn("verdict", F.lit(None).cast("string")).unionByName(fusion_stage(held.withColumn("phash", F.lit(None).cast("string")), rows, none))
+
+
 def verdicts(store: Store, case_id: str) -> DataFrame:
     """evidence_id, verdict, score, pending, leading of a case: stored verdicts only, the item with the highest score leads."""
     evidence = store.read("evidence", schema.EVIDENCE).filter(F.col("case_id") == case_id).select(F.col("id").alias("evidence_id"), "ingested_at")

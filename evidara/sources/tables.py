@@ -92,3 +92,18 @@ def index_changes(index: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     """(entries to add, ids to remove) that bring the index to the evidence."""
     wanted = rebuilt_index(evidence)
     return wanted.join(index, ["id", "value"], "left_anti"), index.select("id").join(wanted, "id", "left_anti")
+
+
+def rebuilt_vectors(embeddings: DataFrame, dims: int) -> DataFrame:
+    """id, value of the vector index: unit vectors, one row an id; other lengths, NULL or infinite entries and zero vectors left out."""
+    from evidara.functions.hashing import dot, unit
+
+    whole = embeddings.select("id", F.col("value").cast("array<double>").alias("value")).filter((F.size("value") == dims) & F.forall("value", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    real = whole.filter(dot(F.col("value"), F.col("value")) > 0)
+    return real.groupBy("id").agg(F.min("value").alias("value")).select("id", unit(F.col("value")).alias("value"))
+
+
+def vector_changes(index: DataFrame, embeddings: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(entries to add, ids to remove) that bring a stored vector index to the embeddings; an entry whose vector changed is both."""
+    wanted = rebuilt_vectors(embeddings, dims)
+    return wanted.join(index, ["id", "value"], "left_anti"), index.join(wanted, ["id", "value"], "left_anti").select("id")
