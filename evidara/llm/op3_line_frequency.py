@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import WORD_BREAK, hot_keys, salted_join, table
+from evidara.llm.common import WORD_BREAK, durable, hot_keys, salted_join, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST, SHARE, KEEP = 5, 0.005, 0.5
 #: The frequent lines are repeated so often, and a line's rows are dealt over as many keys.
 SALTS = 16
+#: So many frequent lines at most are sent to all tasks.
+SENT_LINES = 200_000
 
 
 def words_of(text):
@@ -53,21 +55,37 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def marked_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
-    """host, content (hash of the text), line (hash), n (words), places in the text, and above: true or NULL."""
-    docs = docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), F.xxhash64("text").alias("content"), "text").filter("text is not null")
-    normal = lambda line: F.lower(F.trim(F.regexp_replace(line, WORD_BREAK, " ")))
+def _host():
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
+def _normal(line):
+    return F.lower(F.trim(F.regexp_replace(line, WORD_BREAK, " ")))
+
+
+def text_lines(docs: DataFrame) -> DataFrame:
+    """host, content (hash of the text), line (hash), n (words), places in the text: one row for a line of a text, its words summed over the text's copies."""
+    docs = docs.select(_host().alias("host"), F.xxhash64("text").alias("content"), "text").filter("text is not null")
     lines = (
         docs.select("host", "content", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-        .select("host", "content", "place", normal(F.col("line")).alias("line"))
+        .select("host", "content", "place", _normal(F.col("line")).alias("line"))
         .filter("line <> ''")
         .select("host", "content", "place", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).alias("n"))
     )
-    # copies of a text have the same content: one row for a line of a text, its words summed over the copies
-    once = lines.groupBy("host", "content", "line").agg(F.sum("n").alias("n"), F.collect_set("place").alias("places"))
-    sizes = docs.groupBy("host").agg(F.countDistinct("content").alias("host_docs"))
+    return lines.groupBy("host", "content", "line").agg(F.sum("n").alias("n"), F.collect_set("place").alias("places"))
+
+
+def frequent_lines(docs: DataFrame, once: DataFrame, least: int, share: float) -> DataFrame:
+    """host, line (hash) of the lines above the limit."""
+    sizes = docs.filter("text is not null").select(_host().alias("host"), F.xxhash64("text").alias("content")).groupBy("host").agg(F.countDistinct("content").alias("host_docs"))
     frequent = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > least)
-    frequent = frequent.join(sizes, "host").filter(F.col("n_docs") > F.greatest(F.lit(float(least)), share * F.col("host_docs")))
+    return frequent.join(sizes, "host").filter(F.col("n_docs") > F.greatest(F.lit(float(least)), share * F.col("host_docs"))).select("host", "line")
+
+
+def marked_lines(docs: DataFrame, least: int, share: float) -> DataFrame:
+    """``text_lines`` with above: true or NULL."""
+    once = text_lines(docs)
+    frequent = frequent_lines(docs, once, least, share)
     frequent = frequent.select("host", "line", F.lit(True).alias("above"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return once.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(frequent, ["host", "line", "salt"], "left")
 
@@ -76,7 +94,7 @@ def losses(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: floa
     """host, content (hash of the text), n_frequent_words and depleted, of documents that lose words at all."""
     marked = marked_lines(docs, least, share)
     lost = marked.groupBy("host", "content").agg(F.sum(F.when(F.col("above"), F.col("n")).otherwise(0)).alias("lost"), F.sum("n").alias("n")).filter("lost > 0")
-    copies = docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), F.xxhash64("text").alias("content")).groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies"))
+    copies = docs.select(_host().alias("host"), F.xxhash64("text").alias("content")).groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies"))
     one = lost.join(copies, ["host", "content"])  # both have one row a text, however many copies it has
     return one.select("host", "content", F.expr("lost div copies").alias("n_frequent_words"), (F.col("n") - F.col("lost") < keep * F.col("n")).alias("depleted"))
 
@@ -84,7 +102,7 @@ def losses(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: floa
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, n_frequent_words (in lines above the limit), depleted and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    host, content = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.xxhash64("text")
+    host, content = _host(), F.xxhash64("text")
     judged = base_counts(docs).withColumn("host", host).withColumn("content", content).drop("text")
     copies = docs.select(host.alias("host"), content.alias("content")).groupBy("host", "content").agg(F.count(F.lit(1)).alias("n"))
     out = salted_join(judged, losses(docs), ["host", "content"], hot_keys(copies, ["host", "content"]), F.col("doc_id"), "left")
@@ -93,17 +111,36 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def without_frequent_lines(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """The rows, all columns as they are but the text, which loses its lines above the limit, and n_removed_lines."""
+    """The rows, all columns as they are but the text, which loses its lines above the limit, and n_removed_lines.
+
+    Up to SENT_LINES such lines go to the texts, as a list a host; of more, each text's places to cut go to the text.
+    """
+    frequent = durable(frequent_lines(docs, text_lines(docs), least, share))
+    if frequent.limit(SENT_LINES + 1).count() > SENT_LINES:
+        return _cut_by_places(docs, least, share)
+    lists = frequent.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__list"))
+    joined = docs.withColumn("__h", _host()).join(F.broadcast(lists), F.col("__h") == F.col("__host"), "left")
+    joined = joined.withColumn("__lines", F.split("text", "\n"))
+    joined = joined.withColumn("__hashes", F.when(F.col("__list").isNotNull(), F.transform("__lines", lambda x: F.when(_normal(x) != "", F.xxhash64(_normal(x))))))
+    joined = joined.withColumn("__bad", F.array_compact(F.array_intersect("__hashes", "__list")))
+    kept = F.filter("__lines", lambda x, i: ~F.coalesce(F.array_contains("__bad", F.get("__hashes", i)), F.lit(False)))
+    joined = joined.withColumn("__kept", F.when(F.size("__bad") > 0, kept))
+    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    removed = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long")
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], removed.alias("n_removed_lines"))
+
+
+def _cut_by_places(docs: DataFrame, least: int, share: float) -> DataFrame:
+    """The same where the frequent lines are too many to send."""
     cut = marked_lines(docs, least, share).filter("above").groupBy("host", "content").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("cut"))
-    cut = cut.select(F.col("host").alias("__host"), F.col("content").alias("__content"), F.col("cut").alias("__cut"))
-    host, content = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.xxhash64("text")
-    joined = docs.withColumn("__h", host).withColumn("__c", content).join(cut, (F.col("__h") == F.col("__host")) & (F.col("__c") == F.col("__content")), "left")
+    copies = docs.select(_host().alias("__h"), F.xxhash64("text").alias("__c")).groupBy("__h", "__c").agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(docs.withColumn("__h", _host()).withColumn("__c", F.xxhash64("text")), cut.toDF("__h", "__c", "__cut"), ["__h", "__c"], hot_keys(copies, ["__h", "__c"]), F.spark_partition_id(), "left")
     # what lies between two places that are cut, so that the work is in proportion to the lines
     joined = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__edges", F.concat(F.array(F.lit(-1)), "__cut", F.array(F.size("__lines"))))
     between = F.transform(F.sequence(F.lit(0), F.size("__edges") - 2), lambda i: F.slice("__lines", F.get("__edges", i) + 2, F.get("__edges", i + 1) - F.get("__edges", i) - 1))
     text = F.when(F.col("text").isNull() | F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
     removed = F.when(F.col("text").isNull() | F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], removed.alias("n_removed_lines"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], removed.alias("n_removed_lines"))
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,10 @@ def test_op3_counts_the_words_of_one_copy(spark, duck, same_rows):
     same_rows(got.filter("doc_id is not null").toPandas(), duck.sql(op3.SQL.replace("FROM documents", "FROM copies_ WHERE doc_id IS NOT NULL")).df())
 
 
-def test_op3_removes_frequent_lines(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_op3_removes_frequent_lines(spark, monkeypatch, sent):
+    """The frequent lines sent to the texts, and the places to cut."""
+    monkeypatch.setattr(op3, "SENT_LINES", sent)
     boiler = ["  Common  boiler one", "common boiler two"]
     more = [(100 + i, f"{boiler[0]}\nown {i}\n\n{boiler[1]}\nend {i}\n{boiler[0].upper()}", "en", "hot", 1) for i in range(30)]
     more += [(None, more[0][1], "en", "hot", 1), (500, more[0][1], "en", "cold", 1), (501, boiler[0], "en", "hot", 1), (502, None, "en", "hot", 1)]
