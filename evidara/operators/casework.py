@@ -16,7 +16,7 @@ from evidara import schema
 from evidara.functions import files as names
 from evidara.functions import hashing, scores
 from evidara.media import containers, pixels, profiles
-from evidara.operators import fusion, intake, latest, lineage, neighbours
+from evidara.operators import fusion, intake, latest, lineage, neighbours, skew
 from evidara.sources.commits import Store
 from evidara.sources.tables import durable
 
@@ -107,7 +107,11 @@ def search(items: DataFrame, index: DataFrame, top_k: int, most: int = hashing.P
     near = neighbours.hamming_top_k(number(index), number(own), POOL).select("query", "candidate")
     query, candidate = numbered.toDF("query_id", "query"), numbered.toDF("candidate_id", "candidate")
     pool = near.join(query, "query").join(candidate, "candidate").select("query_id", "candidate_id")
-    same = own.select(F.col("id").alias("query_id"), "sha256").join(index.select(F.col("id").alias("candidate_id"), "sha256"), "sha256").filter("query_id <> candidate_id").select("query_id", "candidate_id")
+    # of very many copies only the smallest ids can rank, as all of them tie
+    few = index.select("id", "sha256").withColumn("_n", F.row_number().over(Window.partitionBy("sha256").orderBy("id"))).filter(F.col("_n") <= top_k + 1)
+    copies = few.groupBy("sha256").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    equal = skew.salted_join(own.select(F.col("id").alias("query_id"), "sha256"), copies, ["sha256"], F.col("query_id"))
+    same = equal.select("query_id", F.explode(F.slice(F.filter("ids", lambda x: x != F.col("query_id")), 1, top_k)).alias("candidate_id"))
     sides = [x.select("id", "sha256", "phash", "dhash", "ahash").toDF(f"{s}_id", f"{s}_sha", f"{s}_p", f"{s}_d", f"{s}_a") for x, s in ((own, "query"), (index, "candidate"))]
     both = pool.union(same).distinct().join(sides[0], "query_id").join(sides[1], "candidate_id")
     far = lambda c: hashing.hamming(hashing.hash_from_hex(F.col(f"query_{c}")), hashing.hash_from_hex(F.col(f"candidate_{c}")))

@@ -43,6 +43,13 @@ def status_filter(column: str, wanted: str | None, closed: str = "closed") -> Co
     return F.col(column) != closed if wanted.lower() == "active" else F.col(column) == wanted.lower()
 
 
+def priority_filter(column: str, wanted: str | None) -> Column:
+    """None or all: everything; else one priority or several with commas between, in lower case."""
+    if wanted is None or wanted.strip().lower() in ("", "all"):
+        return F.lit(True)
+    return F.lower(column).isin(*[w.strip().lower() for w in wanted.split(",") if w.strip()])
+
+
 def verdict_filter(column: str, wanted: str | None) -> Column:
     if wanted is None:
         return F.lit(True)

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidara import schema
 from evidara.functions import files, hashing, nested
 from evidara.media import containers
-from evidara.operators import alerts, chain, fusion, latest, lineage, listing, neighbours, sessions, skew, web
+from evidara.operators import alerts, casework, chain, fusion, intake, latest, lineage, listing, neighbours, sessions, skew, web
 from evidara.plans.cases import _LOG_SQL, EVENT_KINDS, _log
 from evidara.plans.graphs import _M, _N, _matches, _nodes
 from evidara.plans.reads import _V, _dated, _verdicts
 from evidara.plans.retrieval import _C, _H, _hashes, _verified
 from evidara.plans.signals import _SIGNALS_SQL, signals
-from evidara.sources.tables import durable, table
+from evidara.sources.commits import Store
+from evidara.sources.tables import durable, shared_folder, table
 
+#: When the query's own case work takes place.
+NOW = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
 STAGES = ", ".join(f"'{k}'" for k in EVENT_KINDS)
 
 
@@ -183,6 +190,27 @@ def sessions_resolved(spark: SparkSession, d: str) -> DataFrame:
     return sessions.resolved(e.select(token.alias("token")), held, users, now)
 
 
+def case_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken in as files of their source's case and analysed end to end in a store of their own.
+
+    Labels stand for what a detector says, embeddings give the hashes; one row an item with its verdict, stored stages,
+    candidates and what the first of them rests on.
+    """
+    hashed = _hashes(spark, d).select(F.col("id").alias("doc_id"), hashing.hash_to_hex(F.col("value")).alias("phash"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("text").cast("binary").alias("content")).join(hashed, "doc_id", "left")
+    name, none = F.col("doc_id").cast("string"), F.lit(None).cast("string")
+    files_ = docs.select(name.alias("id"), F.col("source").alias("case_id"), name.alias("path"), name.alias("filename"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("length"), F.lit("image/png").alias("mime"), F.lit("image").alias("media_type"), "phash", none.alias("dhash"), none.alias("ahash"), "content")
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    intake.take_in(store, files_.drop("content"), "intake", "query", NOW)
+    said = table(spark, d, "labels").filter("toxic is not null").select(F.col("doc_id").cast("string").alias("evidence_id"), F.when(F.col("toxic") == 1, 0.9).otherwise(0.1).alias("score"), F.lit("OK").alias("status"), F.lit(False).alias("abstained"))
+    decoded = spark.createDataFrame([], "origin string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    casework.analyse(store, files_.select("case_id").distinct(), files_.select("path", "content"), decoded, "run", "query", NOW, said)
+    results = store.read("analysis_results", schema.ANALYSIS)
+    stages = results.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n_stages"), F.max(F.when(F.col("kind") == casework.FUSION, F.col("verdict"))).alias("verdict"))
+    best = store.read("matches", schema.MATCHES).groupBy(F.col("query_evidence_id").alias("evidence_id")).agg(F.count(F.lit(1)).alias("n_candidates"), F.min_by("method", "rank").alias("basis"))
+    return stages.join(best, "evidence_id", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+
+
 _MATCHED = f"""WITH {_H}, {_C.format(floor=0.3)},
 both_ AS (SELECT coalesce(r.query, c.query) AS query, coalesce(r.candidate, c.candidate) AS candidate, r.distance, r.same AS same_bytes, c.s
   FROM (SELECT ranked.*, q.label = c.label AS same FROM ranked JOIN embeddings q ON q.vec_id = query JOIN embeddings c ON c.vec_id = candidate WHERE rank <= 15) r
@@ -198,6 +226,15 @@ nd AS (SELECT al.id, r, parent_id, generation, CASE WHEN al.id % 5 > 0 THEN 1704
 _G = "g AS (SELECT vec_id AS id, CAST(array_to_string([CASE WHEN embedding[i + 1] < embedding[i // 8 * 8 + (i + 1) % 8 + 1] THEN '1' ELSE '0' END for i in range(0, 64)], '') AS BIT) AS g FROM embeddings)"
 
 QUERIES = {
+    "case_analysis": (
+        case_analysis,
+        f"""WITH {_H}, kept AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY CAST(doc_id AS VARCHAR)) = 1),
+x AS (SELECT k.*, h.v FROM kept k JOIN h ON h.id = k.doc_id), near2 AS (SELECT a.id AS q, b.id AS c, CAST(bit_count(xor(a.v, b.v)) AS INTEGER) AS dist, a.text = b.text AS same FROM x a JOIN x b ON a.id <> b.id),
+cand AS (SELECT q, c, CASE WHEN same THEN 0 WHEN dist <= 12 THEN dist END AS eff, dist, same FROM near2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY same DESC, eff, c) AS r FROM cand WHERE eff IS NOT NULL),
+best AS (SELECT q, count(*) AS n_candidates, arg_min(CASE WHEN same AND eff = 0 THEN 'Exact SHA-256 byte match' ELSE 'Multi-hash verified (pHash dist ' || dist || ')' END, r) AS basis FROM r WHERE r <= 10 GROUP BY q)
+SELECT id AS evidence_id, 5::BIGINT AS n_stages, CASE toxic WHEN 1 THEN 'MANIPULATED' WHEN 0 THEN 'AUTHENTIC' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict, coalesce(n_candidates, 0) AS n_candidates, basis
+FROM kept LEFT JOIN labels USING (doc_id) LEFT JOIN best ON q = id""",
+    ),
     "case_detail": (
         case_detail,
         f"""WITH {_V}, n AS (SELECT o_custkey, count(*) AS n_evidence, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_reports FROM orders GROUP BY 1)

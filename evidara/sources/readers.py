@@ -42,6 +42,12 @@ def labelled_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file string, label int").csv(path).filter("label in (0, 1)")
 
 
+def with_files(rows: DataFrame, files: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(rows whose file is among ``files`` (filename, path), with its path; one row n_missing of those without)."""
+    both = rows.join(files.select(F.col("filename").alias(key), "path").dropDuplicates([key]), key, "left")
+    return both.filter("path is not null"), both.agg(F.count_if(F.col("path").isNull()).alias("n_missing"))
+
+
 def web_detection(spark: SparkSession, path: str) -> DataFrame:
     """category, position, url, title of a web detection answer in snake or camel case."""
     page = "array<struct<url:string,pageTitle:string,page_title:string>>"

@@ -13,12 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the folder of ``spark.checkpoint.dir`` and read again; a temporary one only in local mode.
-
-    A table rather than ``checkpoint()``, which keeps its plan's estimated size: in a loop of joins those multiply.
-    """
-    context, spark = df.sparkSession.sparkContext, df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share; a temporary one only in local mode."""
+    context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +23,17 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
         folder = context._jsc.sc().getCheckpointDir()
-    path = f"{folder.get()}/table-{uuid.uuid4().hex}"
+    return folder.get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again.
+
+    A table rather than ``checkpoint()``, which keeps its plan's estimated size: in a loop of joins those multiply.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append(rows: DataFrame, path: str, *partitions: str) -> None:

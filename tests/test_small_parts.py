@@ -72,6 +72,29 @@ def test_reads_by_key_and_what_waits(spark):
     assert [(r.item, r.severity, r.category) for r in alerts.coverage_alerts(rows).collect()] == [(1, "low", "coverage")]
 
 
+def test_priorities_and_missing_files(spark):
+    df = spark.createDataFrame([("HIGH",), ("low",), ("urgent",), (None,)], "p string")
+    kept = lambda w: [r.p for r in df.filter(listing.priority_filter("p", w)).collect()]
+    assert len(kept(None)) == len(kept("All")) == 4 and kept("high, URGENT") == ["HIGH", "urgent"] and kept("none") == []
+    rows = spark.createDataFrame([("x.png", 1), ("y.png", 0), ("z.png", 1)], "file string, label int")
+    held = spark.createDataFrame([("x.png", "a/x.png"), ("x.png", "b/x.png"), ("z.png", "a/z.png")], "filename string, path string")
+    found, missing = readers.with_files(rows, held)
+    assert sorted(r.file for r in found.collect()) == ["x.png", "z.png"] and missing.first().n_missing == 1
+
+
+def test_search_among_very_many_copies(spark):
+    """Of 500 files of the same bytes every one has the smallest other ids as candidates, and no pairs are made within the group."""
+    rows = [(f"f{i:03d}", "same" if i < 500 else f"s{i}", f"{(i * 2654435761) % 2**64:016x}" if i >= 500 else "00000000000000ff") for i in range(520)]
+    df = spark.createDataFrame(rows, "id string, sha256 string, phash string").withColumn("dhash", F.lit(None).cast("string")).withColumn("ahash", F.lit(None).cast("string"))
+    got = {}
+    for r in casework.search(df, df, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.candidate_id, r.distance, r.method))
+    same = [f"f{i:03d}" for i in range(500)]
+    for q in same:
+        assert [c for _, c, _, _ in sorted(got[q])] == [x for x in same[:4] if x != q][:3] and {d for _, _, d, _ in got[q]} == {0}
+    assert sorted(got["f000"])[0][3] == "Exact SHA-256 byte match"
+
+
 def test_sessions(spark):
     at = lambda h: datetime.datetime(2026, 1, 1, h)
     held = spark.createDataFrame([("good", 1, at(12), None), ("over", 1, at(10), None), ("revoked", 1, at(12), at(9)), ("idle", 2, at(12), None), ("nobody", 3, at(12), None)], "t string, user_id long, expires_at timestamp, revoked_at timestamp")
