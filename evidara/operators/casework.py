@@ -35,12 +35,17 @@ PAYLOADS = {
 }
 
 
-def gate(evidence: DataFrame, stored_files: DataFrame) -> DataFrame:
-    """evidence with content and gate: OK, CHANGED (the bytes aren't those taken in: nothing is analysed) or MISSING."""
-    held = stored_files.select(F.col("path").alias("stored_path"), F.sha2("content", 256).alias("_now"), "content")
-    both = evidence.join(held, "stored_path", "left")
-    state = F.when(F.col("_now").isNull(), "MISSING").when(F.col("_now") == F.col("sha256"), "OK").otherwise("CHANGED")
-    return both.withColumn("gate", state).drop("_now")
+def facts(stored_files: DataFrame) -> DataFrame:
+    """What is read from the bytes of files (path, content) where they lie, so that bytes never leave their task: path, recomputed
+    (digest), tags, xmp, icc, has_manifest and declared."""
+    content = F.col("content")
+    return stored_files.select("path", F.sha2(content, 256).alias("recomputed"), containers.exif_tags(content).alias("tags"), profiles.xmp(content).alias("xmp"), profiles.icc(content).alias("icc"), containers.credentials(content).alias("has_manifest"), containers.declared_details(content).alias("declared"))
+
+
+def gate(evidence: DataFrame, read: DataFrame) -> DataFrame:
+    """evidence with its files' facts and gate: OK, CHANGED (the bytes aren't those taken in: nothing is analysed) or MISSING."""
+    both = evidence.join(read.withColumnRenamed("path", "stored_path"), "stored_path", "left")
+    return both.withColumn("gate", F.when(F.col("recomputed").isNull(), "MISSING").when(F.col("recomputed") == F.col("sha256"), "OK").otherwise("CHANGED"))
 
 
 def _result(rows: DataFrame, kind: str, status: Column, score: Column, payload: Column) -> DataFrame:
@@ -53,23 +58,22 @@ def _readable(status: Column | str) -> Column:
 
 def metadata_stage(items: DataFrame) -> DataFrame:
     """Tags, XMP, ICC, hints of editors and generators, and what the declared times say."""
-    read = items.withColumn("e", containers.exif_tags("content")).withColumn("x", profiles.xmp("content")).withColumn("c", profiles.icc("content"))
-    software = F.coalesce("e.software", "x.creator_tool")
-    captured, modified = names.parse_exif(F.col("e.datetime_original")), names.parse_exif(F.col("e.datetime"))
-    whole = containers.completeness({"make": F.col("e.make"), "model": F.col("e.model"), "software": software, "captured": F.col("e.datetime_original"), "xmp": F.col("x.document_id")})
+    software = F.coalesce("tags.software", "xmp.creator_tool")
+    captured, modified = names.parse_exif(F.col("tags.datetime_original")), names.parse_exif(F.col("tags.datetime"))
+    whole = containers.completeness({"make": F.col("tags.make"), "model": F.col("tags.model"), "software": software, "captured": F.col("tags.datetime_original"), "xmp": F.col("xmp.document_id")})
     payload = F.struct(
         _readable("OK").alias("status"), software.alias("software"), names.software_hint(software, names.EDITOR_HINTS).alias("editor"), names.software_hint(software, names.GENERATIVE_HINTS).alias("generative"),
-        (modified > captured).alias("modified_after"), (F.col("e.make").isNotNull() | F.col("e.model").isNotNull()).alias("camera"), captured.isNotNull().alias("captured"),
-        F.col("x").alias("xmp"), F.col("c").alias("icc"), whole.alias("presence"),
+        (modified > captured).alias("modified_after"), (F.col("tags.make").isNotNull() | F.col("tags.model").isNotNull()).alias("camera"), captured.isNotNull().alias("captured"),
+        "xmp", "icc", whole.alias("presence"),
     )
-    return _result(read, METADATA, _readable("OK"), F.lit(None), payload)
+    return _result(items, METADATA, _readable("OK"), F.lit(None), payload)
 
 
 def provenance_stage(items: DataFrame) -> DataFrame:
     """State of the content credentials; without a validator a manifest is never more than UNVERIFIED."""
-    found = containers.provenance_state(F.col("gate") == "OK", containers.credentials("content"), F.lit(None).cast("boolean"))
-    read = items.withColumn("s", found).withColumn("d", containers.declared_details(F.col("content")))
-    payload = F.struct("s.state", "s.manifest_present", F.when(F.col("s.manifest_present"), F.col("d.declares_generative")).otherwise(False).alias("declares_generative"), F.when(F.col("s.manifest_present"), F.col("d")).alias("declared"))
+    found = containers.provenance_state(F.col("gate") == "OK", F.col("has_manifest"), F.lit(None).cast("boolean"))
+    read = items.withColumn("s", found)
+    payload = F.struct("s.state", "s.manifest_present", F.when(F.col("s.manifest_present"), F.col("declared.declares_generative")).otherwise(False).alias("declares_generative"), F.when(F.col("s.manifest_present"), F.col("declared")).alias("declared"))
     return _result(read, PROVENANCE, F.col("s.status"), F.lit(None), payload)
 
 
@@ -161,7 +165,7 @@ def analyse(store: Store, cases: DataFrame, stored_files: DataFrame, decoded: Da
     """
     evidence = store.read("evidence", schema.EVIDENCE)
     held = store.read("analysis_results", schema.ANALYSIS)
-    own = durable(gate(evidence.join(cases.select("case_id").distinct(), "case_id", "left_semi"), stored_files))
+    own = durable(gate(evidence.join(cases.select("case_id").distinct(), "case_id", "left_semi"), facts(stored_files)))
     fit, refused = own.filter("gate <> 'CHANGED'"), own.filter("gate = 'CHANGED'")
     before = durable(stored_results(held.join(fit.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")))
 
@@ -184,7 +188,7 @@ def analyse(store: Store, cases: DataFrame, stored_files: DataFrame, decoded: Da
     said = rows.select("case_id", F.col("evidence_id").alias("path"), F.col("kind").alias("k"), "status", "score", "verdict")
     steps = [(EVENTS[kind], F.col("k") == kind, ["path", "status", "score", "verdict"]) for kind in KINDS]
     told = intake.events(said, steps, actor, now)
-    no = refused.select("case_id", F.col("id").alias("path"), F.col("sha256").alias("recorded_sha256"), F.sha2("content", 256).alias("recomputed_sha256"))
+    no = refused.select("case_id", F.col("id").alias("path"), F.col("sha256").alias("recorded_sha256"), F.col("recomputed").alias("recomputed_sha256"))
     told = told.unionByName(intake.events(no, [("ANALYSIS_REFUSED", F.lit(True), ["path", "recorded_sha256", "recomputed_sha256"])], actor, now))
     # the completion of a case comes last: its path sorts after all ids
     whole = own.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("gate") == "CHANGED").alias("n_refused")).withColumn("path", F.lit("\U0010ffff"))
@@ -199,11 +203,12 @@ def examined(items: DataFrame, decoded: DataFrame, detections: DataFrame | None
 
     ``items`` has id, stored_path, media_type, content and phash; there is no search, so no candidates either.
     """
-    held = items.withColumn("gate", F.when(F.col("content").isNull(), "MISSING").otherwise("OK"))
+    read = facts(items.filter("content is not null").select(F.col("stored_path").alias("path"), "content"))
+    held = durable(gate(items.withColumn("sha256", F.sha2("content", 256)).drop("content"), read))
     rows = metadata_stage(held).unionByName(detector_stage(held, detections)).unionByName(provenance_stage(held)).unionByName(forensics_stage(held, decoded))
     rows = durable(rows)
     none = items.sparkSession.createDataFrame([], "query_id string, same_bytes boolean, distance int")
-    return rows.withColumn("verdict", F.lit(None).cast("string")).unionByName(fusion_stage(held.withColumn("phash", F.lit(None).cast("string")), rows, none))
+    return rows.withColumn("verdict", F.lit(None).cast("string")).unionByName(fusion_stage(held.select("id", "media_type", F.lit(None).cast("string").alias("phash")), rows, none))
 
 
 def verdicts(store: Store, case_id: str) -> DataFrame:

@@ -46,10 +46,10 @@ def _chosen(counts: DataFrame, keys: list[str], wanted: DataFrame, by: str) -> D
     return inside.select(*keys, "q", (F.col("rank") - F.col("_from")).alias("rank"), by)
 
 
-def _within(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are wanted."""
+def _within(rows: DataFrame, wanted: DataFrame, keys: list[str], short: bool) -> DataFrame:
+    """The rows whose keys are wanted; a short list is broadcast."""
     few = wanted.select(*keys).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if short:
         return rows.join(F.broadcast(few), keys, "left_semi")
     return salted_join(rows, few, keys, F.col("_v"), "left_semi")
 
@@ -69,12 +69,13 @@ def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict
     ends = [F.struct(F.floor("x.at").alias("low"), F.lit(False).alias("upper")), F.struct(F.ceil("x.at").alias("low"), F.lit(True).alias("upper"))]
     each = total.select(*names, "x.name", "x.at", F.explode(F.array(*ends)).alias("e"))
     # q: which quantile and which of its two ranks; ranks count from 1
-    ranks = durable(each.select(*names, F.struct("name", "at", "e.upper").alias("q"), (F.col("e.low") + 1).alias("rank")))
+    ranks = each.select(*names, F.struct("name", "at", "e.upper").alias("q"), (F.col("e.low") + 1).alias("rank"))
     in_bin = durable(_chosen(counts, names, ranks, "_bin"))
-    parts = _within(binned, in_bin, [*names, "_bin"]).withColumn("_part", _part(F.col("_v")))
+    short = in_bin.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # as many rows as all lists after it
+    parts = _within(binned, in_bin, [*names, "_bin"], short).withColumn("_part", _part(F.col("_v")))
     part_counts = parts.groupBy(*names, "_bin", "_part").agg(F.count(F.lit(1)).alias("n"))
     in_part = durable(_chosen(part_counts, [*names, "_bin"], in_bin, "_part"))
-    values = _within(parts, in_part, [*names, "_bin", "_part"]).groupBy(*names, "_bin", "_part", "_v").agg(F.count(F.lit(1)).alias("n"))
+    values = _within(parts, in_part, [*names, "_bin", "_part"], short).groupBy(*names, "_bin", "_part", "_v").agg(F.count(F.lit(1)).alias("n"))
     found = _chosen(values, [*names, "_bin", "_part"], in_part, "_v")
     low, high = F.max(F.when(~F.col("q.upper"), F.col("_v"))), F.max(F.when(F.col("q.upper"), F.col("_v")))
     share = F.col("at") - F.floor("at")
