@@ -60,19 +60,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
         inside[window_starts(block.offsets, reach)] = True
         return repeats.sequence_keys(block, np.flatnonzero(minimisers(block.codes, block.offsets, gram, run) & inside), reach)
 
-    bounds = repeats.plan_groups(docs, lambda block: suffixes(block)[1] >> np.uint64(48))
-    seeds = repeats.answers(blocks, suffixes, bounds)
+    groups = repeats.plan_groups(docs, lambda block: suffixes(block)[1] >> np.uint64(48))
+    seeds = repeats.answers(blocks, suffixes, groups)
 
     def extended(block: repeats.Words, answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, keys, checks = suffixes(block)
-        shared, _ = repeats.judge(block, at, keys, checks, answer, bounds)
+        shared, _ = repeats.judge(block, at, keys, checks, answer, groups)
         until = np.concatenate([[0], np.cumsum(np.bincount(at[shared], minlength=len(block.codes)))])
         starts = window_starts(block.offsets, length)
         return repeats.sequence_keys(block, starts[until[starts + run] > until[starts]], length)
 
     def send(texts: pa.Table, answer: pa.Table) -> pa.Table:
         block = texts["block"][0].as_py()
-        return repeats.packed(block, *(extended(repeats.Words(texts), answer)[1:] if block >= 0 else repeats.NO_KEYS), bounds)
+        return repeats.packed(block, *(extended(repeats.Words(texts), answer)[1:] if block >= 0 else repeats.NO_KEYS), groups)
 
     def spans(texts: pa.Table, both: pa.Table) -> pa.Table:
         if texts["block"][0].as_py() < 0:  # NULL ids
@@ -80,7 +80,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
         block = repeats.Words(texts)
         of = [both.filter(pc.equal(both["round"], k)) for k in (1, 2)]
         at, keys, checks = extended(block, of[0])
-        shared, earlier = repeats.judge(block, at, keys, checks, of[1], bounds)
+        shared, earlier = repeats.judge(block, at, keys, checks, of[1], groups)
         some, removable = (covered(len(block.words), at[x], length) for x in (shared, earlier))
         i, a, b = runs(some, block.offsets)
         n = np.concatenate([[0], np.cumsum(removable)])

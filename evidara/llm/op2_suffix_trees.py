@@ -40,9 +40,9 @@ def leading(block: repeats.Words, width: int = WINDOW) -> np.ndarray:
 def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) and the removed word spans."""
     blocks = repeats.in_blocks(docs)
-    bounds = repeats.plan_groups(docs, lambda block: leading(block, width))
+    groups = repeats.plan_groups(docs, lambda block: leading(block, width))
     keys = lambda block: suffix_keys(block, width)
-    reply = repeats.answers(blocks, keys, bounds)
+    reply = repeats.answers(blocks, keys, groups)
 
     def remove(texts: pa.Table, answer: pa.Table) -> pa.Table:
         if texts.num_rows and texts["block"][0].as_py() < 0:  # NULL ids
@@ -50,7 +50,7 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             return _kept(repeats.Words(texts), np.empty(0, np.int64), width, True)
         block = repeats.Words(texts)
         starts, key, check = keys(block)
-        _, earlier = repeats.judge(block, starts, key, check, answer, bounds)
+        _, earlier = repeats.judge(block, starts, key, check, answer, groups)
         return _kept(block, starts[earlier], width, False)
 
     return repeats.answered(blocks, reply, remove, SCHEMA)

@@ -80,12 +80,36 @@ def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k[new], c[new], at
 
 
+class Ranges:
+    """Numbers of parts of a line that is cut into ranges, each of them into equal parts; as many entries as ranges.
+
+    Small neighbours share a number, a large range has several.  The numbers don't fall along the line.
+    """
+
+    def __init__(self, sizes: list[int], most: int):
+        self.first, self.parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        number, held = 0, 0
+        for r, n in enumerate(sizes):
+            if held and held + n > most:
+                number, held = number + 1, 0
+            parts = max(1, -(-n // most))
+            self.first[r], self.parts[r] = number, parts
+            number += parts - 1
+            held += n // parts
+
+    def of(self, ranges: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Of places at ``share`` (0 to 1) of their range."""
+        parts = self.parts[ranges]
+        return self.first[ranges] + np.minimum((share * parts).astype(np.int64), parts - 1)
+
+
 def in_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text, block: ranges of doc_id of about BLOCK_CHARS characters; rows of NULL ids form blocks under 0.
 
     At most RANGES quantiles of doc_id reach the driver, with the characters between two of them: small neighbours are
-    put together, a large one is cut into equal widths of doc_id.  They become constants of the plan: a stage that runs
-    again after a lost executor deals the same rows to the same block.
+    put together, a large one is cut into equal widths of doc_id.  What goes to the tasks is of that length too, whatever the
+    number of blocks.  It is a constant of the plan: a stage that runs again after a lost executor deals the same rows to the
+    same block.  Rows of one doc_id are one block.
     """
     docs = texts(docs)
     size = F.coalesce(F.length("text"), F.lit(0))
@@ -100,30 +124,47 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     def between(doc_id: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, doc_id.to_numpy(np.int64), "left"))
 
-    bounds = [*edges.tolist()]
+    sizes, low, width = [0] * (len(edges) + 1), np.zeros(len(edges) + 1), np.ones(len(edges) + 1)
     if len(edges):
         ranged = docs.filter("doc_id is not null").select("doc_id", size.alias("n"), between("doc_id").alias("range"))
-        sums = ranged.groupBy("range").agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).toPandas().sort_values("range")
-        bounds, held = [], 0
-        for n, low, high in zip(sums["n"].tolist(), sums["low"].tolist(), sums["high"].tolist(), strict=True):
-            if held and held + n > BLOCK_CHARS:
-                bounds.append(low - 1)
-                held = 0
-            parts = max(1, -(-n // BLOCK_CHARS))
-            bounds += [low + (high - low) * k // parts for k in range(1, parts)]
-            held += n // parts
-    inner = np.unique(np.array(bounds, np.int64))
+        for r in ranged.groupBy("range").agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).toPandas().itertuples():
+            sizes[r.range], low[r.range], width[r.range] = int(r.n), float(r.low), float(r.high) - float(r.low) + 1.0
+    ranges = Ranges(sizes, BLOCK_CHARS)
 
     @F.pandas_udf("long")
     def block(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(inner, doc_id.to_numpy(np.int64), "left"))
+        ids = doc_id.to_numpy(np.int64)
+        at = np.searchsorted(edges, ids, "left")
+        return pd.Series(ranges.of(at, np.clip((ids.astype(np.float64) - low[at]) / width[at], 0.0, 1.0)))
 
-    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(n_none))
+    spread = -1 - F.pmod(F.xxhash64("text", F.spark_partition_id()), F.lit(n_none))  # these blocks only pass their texts on
     return docs.withColumn("block", F.when(F.col("doc_id").isNull(), spread).otherwise(block(F.coalesce("doc_id", F.lit(0).cast("long")))))
 
 
-def plan_groups(docs: DataFrame, leading: Callable[[Words], np.ndarray]) -> np.ndarray:
-    """Bounds of key ranges that hold about GROUP_KEYS keys each, from a census of the keys' leading 16 bits.
+class Groups:
+    """Key ranges of about GROUP_KEYS keys from the counts of the keys' leading 16 bits; 65,536 entries, whatever their number."""
+
+    def __init__(self, counts: np.ndarray):
+        by_first = counts.reshape(256, 256).sum(axis=1)
+        self.range = np.zeros(1 << 16, np.int64)
+        sizes: list[int] = []
+        for first in range(256):
+            if by_first[first] <= GROUP_KEYS:
+                self.range[first << 8 : (first + 1) << 8] = len(sizes)
+                sizes.append(int(by_first[first]))
+            else:
+                self.range[first << 8 : (first + 1) << 8] = len(sizes) + np.arange(256)
+                sizes += counts[first << 8 : (first + 1) << 8].tolist()
+        self.ranges = Ranges(sizes, GROUP_KEYS)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The group of each key; only ranges of a single prefix have parts, cut by the bits after it."""
+        rest = ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2.0**32
+        return self.ranges.of(self.range[(keys >> np.uint64(48)).astype(np.int64)], rest)
+
+
+def plan_groups(docs: DataFrame, leading: Callable[[Words], np.ndarray]) -> Groups:
+    """Key ranges from a census of the keys' leading 16 bits.
 
     The leading byte stands for a sequence's first word and the next byte for its second, so a range is a set of word
     prefixes: rare first words share a range, a frequent one is split by the second word, and a range that is still
@@ -141,19 +182,7 @@ def plan_groups(docs: DataFrame, leading: Callable[[Words], np.ndarray]) -> np.n
     rows = texts(docs).filter("doc_id is not null").mapInArrow(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << 16, np.int64)
     counts[rows["prefix"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    bounds, held = [0], 0
-    by_first = counts.reshape(256, 256).sum(axis=1)
-    for first in range(256):
-        whole = by_first[first] <= GROUP_KEYS
-        for prefix in [first << 8] if whole else range(first << 8, (first + 1) << 8):
-            n = int(by_first[first] if whole else counts[prefix])
-            if held and held + n > GROUP_KEYS:
-                bounds.append(prefix << 48)
-                held = 0
-            parts = max(1, -(-n // GROUP_KEYS))
-            bounds += [(prefix << 48) + (k << 48) // parts for k in range(1, parts)]
-            held += n // parts
-    return np.unique(np.array(bounds, np.uint64))
+    return Groups(counts)
 
 
 def _encode(keys: np.ndarray, checks: np.ndarray) -> bytes:
@@ -173,13 +202,12 @@ def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64), np.frombuffer(blob[9 + (n - 1) * width :], "<u4")
 
 
-def packed(block: int, keys: np.ndarray, checks: np.ndarray, bounds: np.ndarray) -> pa.Table:
+def packed(block: int, keys: np.ndarray, checks: np.ndarray, groups: Groups) -> pa.Table:
     """A block's distinct keys, one row for each key range that it has keys in."""
     keys, checks, _ = distinct(keys, checks)
-    cut = np.searchsorted(keys, bounds)
-    parts = [(g, a, b) for g, (a, b) in enumerate(zip(cut, [*cut[1:], len(keys)], strict=True)) if b > a]
-    sent = [_encode(keys[a:b], checks[a:b]) for _, a, b in parts]
-    return pa.table({"grp": pa.array([g for g, *_ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "keys": pa.array(sent, pa.binary())})
+    names, begin = np.unique(groups.of(keys), return_index=True)
+    sent = [_encode(keys[a:b], checks[a:b]) for a, b in zip(begin, [*begin[1:], len(keys)], strict=True)] if len(names) else []
+    return pa.table({"grp": pa.array(names, pa.int64()), "block": pa.array([block] * len(names), pa.int64()), "keys": pa.array(sent, pa.binary())})
 
 
 def _compare(sent: pa.Table) -> pa.Table:
@@ -208,23 +236,23 @@ def compared(sent: DataFrame) -> DataFrame:
 NO_KEYS = (np.empty(0, np.uint64), np.empty(0, np.uint32))
 
 
-def answers(blocks: DataFrame, keys: Keys, bounds: np.ndarray) -> DataFrame:
+def answers(blocks: DataFrame, keys: Keys, groups: Groups) -> DataFrame:
     """What the key ranges answer each block about the keys of its documents."""
 
     def send(docs: pa.Table) -> pa.Table:
         block = docs["block"][0].as_py()
-        return packed(block, *(keys(Words(docs))[1:] if block >= 0 else NO_KEYS), bounds)
+        return packed(block, *(keys(Words(docs))[1:] if block >= 0 else NO_KEYS), groups)
 
     return compared(blocks.groupBy("block").applyInArrow(send, "grp long, block long, keys binary"))
 
 
-def judge(block: Words, positions: np.ndarray, keys: np.ndarray, checks: np.ndarray, answer: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def judge(block: Words, positions: np.ndarray, keys: np.ndarray, checks: np.ndarray, answer: pa.Table, groups: Groups) -> tuple[np.ndarray, np.ndarray]:
     """Per position: another document has its key; a document with a smaller doc_id has it."""
     own, _, at = distinct(keys, checks)
-    cut = [*np.searchsorted(own, bounds), len(own)]
+    of = groups.of(own)
     shared, earlier = np.zeros(len(own), bool), np.zeros(len(own), bool)
     for g, s, e in zip(answer["grp"].to_pylist(), answer["shared"].to_pylist(), answer["earlier"].to_pylist(), strict=True):
-        a, b = cut[g], cut[g + 1]
+        a, b = np.searchsorted(of, [g, g + 1])
         shared[a:b] = np.unpackbits(np.frombuffer(s, np.uint8), count=b - a)
         earlier[a:b] = np.unpackbits(np.frombuffer(e, np.uint8), count=b - a)
     owner = block.owner(positions)

@@ -36,6 +36,23 @@ def cut(request, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_KEYS", request.param[1])
 
 
+def test_numbers_of_ranges_never_fall():
+    rng = np.random.default_rng(3)
+    for most in (1, 50, 10**6):
+        sizes = rng.integers(0, 300, 40).tolist()
+        found = repeats.Ranges(sizes, most)
+        at, share = np.repeat(np.arange(40), 20), np.tile(np.linspace(0, 1, 20), 40)
+        got = found.of(at, share)
+        assert got[0] == 0 and (np.diff(got) >= 0).all() and (np.diff(got) <= 1).sum() >= len(got) - 1 - sum(n > 20 * most for n in sizes) * 20
+        assert all(found.parts[r] == max(1, -(-n // most)) for r, n in enumerate(sizes))
+    counts = np.zeros(1 << 16, np.int64)
+    counts[[0, 1, 255, 256, 300, 65535]] = [5, 10**7, 3, 10, 20, 4]
+    groups = repeats.Groups(counts)
+    keys = np.sort(rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))
+    hot = (np.uint64(1) << np.uint64(48)) + np.arange(0, 2**48, 2**40, dtype=np.uint64)
+    assert (np.diff(groups.of(keys)) >= 0).all() and len(np.unique(groups.of(hot))) == 5
+
+
 def test_op2_equals_brute_force(spark, cut):
     df, rows = awkward(spark)
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed, sha(r.kept_text)) for r in op2.substring_dedup(df).collect())
