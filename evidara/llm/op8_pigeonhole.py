@@ -6,8 +6,9 @@ untouched, so a text that holds the item holds a piece exactly.  Piece hits come
 sorted hashes of all pieces of a length.  Around each hit Myers' bit-parallel recurrence over words computes the
 item's smallest edit distance to any stretch of the text, and a second run backwards finds where the stretch begins.
 
-The items go to the tasks in blocks of at most ITEM_CHARS characters, the proven bound of what is sent; a larger
-benchmark takes more passes over the documents.
+The items go to the tasks in blocks of at most ITEM_CHARS characters, the proven bound of what is sent.  Of a larger benchmark
+only the hashes of its pieces go to the tasks first (SENT_PIECES of 8 bytes in a pass over the documents); the documents that hold
+a piece, few of all, are written, and the blocks of items meet those only.
 
 Result: one row per document row and item within k edits, at its smallest distance (leftmost of equals).
 
@@ -27,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm.common import in_pieces, rolling, split_words, table, texts
+from evidara.llm.common import durable, in_pieces, rolling, split_words, table, texts, window_starts
 
 ITEM_CHARS, LEAST, WORDS_PER_EDIT = 8_000_000, 5, 6
+SENT_PIECES = 4_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$|<>-_/"
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, start long, end long"
 
@@ -63,6 +65,13 @@ def myers(pattern: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def pieces_of(m: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of the pieces of an item of m words: one more than the edits that it may have."""
+    n = m // WORDS_PER_EDIT + 1
+    cut = [m * i // n for i in range(n + 1)]
+    yield from zip(cut[:-1], cut[1:], strict=True)
+
+
 class Item:
     def __init__(self, item_id: int | None, codes: np.ndarray):
         self.id, self.m, self.k = item_id, len(codes), len(codes) // WORDS_PER_EDIT
@@ -73,8 +82,7 @@ class Item:
             self.backward[c] = self.backward.get(c, 0) | 1 << (self.m - 1 - i)
 
     def pieces(self) -> Iterator[tuple[int, int]]:
-        cut = [self.m * i // (self.k + 1) for i in range(self.k + 2)]
-        yield from zip(cut[:-1], cut[1:], strict=True)
+        yield from pieces_of(self.m)
 
     def within(self, text: np.ndarray, at: int) -> tuple[int, int, int] | None:
         """distance, start and end in the text of the best stretch when the item would begin near ``at``."""
@@ -107,19 +115,62 @@ def myers_back(pattern: dict[int, int], m: int, text: list[int], distance: int)
     return distance, len(text)
 
 
-def in_blocks(benchmark: DataFrame) -> Iterator[pa.Table]:
-    """item_id and text of the benchmark in blocks of about ITEM_CHARS characters."""
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """item_id and text of the benchmark, and how many blocks of about ITEM_CHARS characters they make."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // ITEM_CHARS))
+    return items, max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
+
+
+def in_blocks(items: DataFrame, n: int) -> Iterator[pa.Table]:
     for k in range(n):
         yield items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
 
 
+def hashed_pieces(items: DataFrame, least: int) -> DataFrame:
+    """length and hash of the distinct pieces of all items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches):
+            codes, offsets, _ = normal_codes(batch["text"])
+            found = [(b - a, rolling(codes[begin + a : begin + b], b - a)[0]) for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if end - begin >= least for a, b in pieces_of(end - begin)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(np.array([h for _, h in found], np.uint64).view(np.int64))], names=["length", "hash"])
+
+    return items.mapInArrow(cut, "length long, hash long").distinct()
+
+
+def with_hits(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """docs with __hit: the text holds a piece of some item."""
+    pieces = durable(hashed_pieces(items, least))
+    out = docs.withColumn("__hit", F.lit(False))
+    n = -(-pieces.count() // SENT_PIECES)
+    for k in range(n):
+        rows = pieces.filter(F.pmod("hash", F.lit(n)) == k).toArrow()
+        length, hashes = rows["length"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
+        sent = {int(m): np.sort(hashes[length == m]) for m in np.unique(length)}
+
+        def mark(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in in_pieces(batches):
+                codes, offsets, _ = normal_codes(batch["text"])
+                hit = batch["__hit"].to_numpy(zero_copy_only=False).copy()
+                for m, keys in sent.items():
+                    starts = window_starts(offsets, m)
+                    h = rolling(codes, m)[starts] if len(starts) else np.empty(0, np.uint64)
+                    found = starts[keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h]
+                    hit[np.searchsorted(offsets, found, "right") - 1] = True
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit)], names=batch.schema.names)
+
+        out = out.mapInArrow(mark, out.schema)
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, distance, item_words, start, end (words of the text) of every item found in a document."""
+    items, n = items_of(benchmark)
+    docs = texts(docs)
+    if n > 1:
+        docs = durable(with_hits(docs, items, least).filter("__hit").drop("__hit"))
     out = None
-    for part in in_blocks(benchmark):
+    for part in in_blocks(items, n):
         search = _matcher(part, least)
 
         def match(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
@@ -128,14 +179,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFram
                 columns = list(zip(*((ids["doc_id"][r[0]].as_py(), *r[1:]) for r in rows), strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
-        found = texts(docs).mapInArrow(match, SCHEMA)
+        found = docs.mapInArrow(match, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows, all columns as they are, whose text holds no item."""
-    for part in in_blocks(benchmark):
+    items, n = items_of(benchmark)
+    clean = None
+    if n > 1:
+        marked = with_hits(docs, items, least)
+        clean, docs = marked.filter("not __hit").drop("__hit"), durable(marked.filter("__hit").drop("__hit"))
+    for part in in_blocks(items, n):
         search = _matcher(part, least)
 
         def keep(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
@@ -145,7 +201,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) ->
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs if clean is None else clean.unionByName(docs)
 
 
 def _matcher(part: pa.Table, least: int):

@@ -403,7 +403,11 @@ def bare(text):
     return [w for w in (x.strip(op8.PUNCTUATION) for x in words(lower(text))) if w]
 
 
-def test_op8_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [(8_000_000, 4_000_000), (120, 5)])
+def test_op8_equals_brute_force(spark, monkeypatch, block):
+    """One block of items, and many whose pieces are sent in several passes."""
+    monkeypatch.setattr(op8, "ITEM_CHARS", block[0])
+    monkeypatch.setattr(op8, "SENT_PIECES", block[1])
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(30)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([4, 5, 9, 10, 12, 20, 25, 33, 40])] + [(20, None), (21, ""), (22, "v1 v2 v3 v4 v5"), (22, "v1 v2 v3 v4 v5")]
