@@ -30,7 +30,7 @@ def test_stages_take_effect(spark, tmp_path):
     score = model.score(pa.array(tables[0].text))
     assert ids[1] == set(tables[0].doc_id[np.asarray(score) < op9.THRESHOLD])
 
-    near = near_brute([(r.doc_id, r.text) for r in tables[1].itertuples()], 5)
+    near = near_brute([(r.doc_id, r.text) for r in tables[1].itertuples()])  # two-word sets, as the operator's query
     assert ids[2] == {d for d, _, c in near if d == c} and len(tables[2]) == len(ids[2])
 
     items = [bare(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
