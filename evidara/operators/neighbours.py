@@ -132,7 +132,8 @@ def _by_bands(held: DataFrame, asked: DataFrame, need: int, flips: int, stats: d
         done = near.join(settled, "q", "left_semi").drop("n_ids")
         found = done if found is None else found.unionByName(done)
         left = durable(left.join(settled, "q", "left_anti"))
-        if left.isEmpty():
+        # where nothing is near, a wider radius isn't worth its lookups: the grid has what is left
+        if left.isEmpty() or near.filter("score > 0").isEmpty():
             break
     return found, left
 
