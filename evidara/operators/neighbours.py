@@ -9,7 +9,7 @@ another, however many, are one row.
 * Vectors are dealt to the regions of at most PIVOTS pivots.  A value asks its nearest regions first; the similarity of the
   last neighbour found and the triangle inequality of angles then rule out all regions that hold nothing better.
 * What is left (unsettled hashes, regions not ruled out) is compared in full over a grid of blocks, each pair of blocks in
-  one task.
+  one task.  A value is sent to a block of regions once, not to each of its regions.
 
 On uniformly random values nothing is near, so all is compared; on values in clusters a small part is.
 """
@@ -31,8 +31,14 @@ from evidara.sources.tables import durable
 #: Bytes of values in a block, which set the memory of one task, and pairs of a task where there are tasks to spare.
 BLOCK_BYTES, TASK_PAIRS = 8_000_000, 50_000_000
 BUCKET_ROWS = 2048
+#: Queries and rows of a block that are scored at once, as many as a CPU's cache holds.
+STEP = (256, 1024)
 #: At most so many pivots, and rows of a region on average.
 PIVOTS, REGION_ROWS = 1024, 1000
+#: At most so many regions of a group, bits of a mask.
+GROUP_REGIONS = 62
+#: Values whose angles to all pivots are held at once.
+VISIT_ROWS = 1000
 
 
 def _collapsed(rows: DataFrame, need: int) -> DataFrame:
@@ -46,12 +52,59 @@ def _best(found: DataFrame, need: int) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= need).drop("_n")
 
 
-def _met(index: DataFrame, asked: DataFrame, need: int, score: Callable, floor: float | None, width: int, stats: dict | None) -> DataFrame:
-    """q, first, score: of each q of ``asked`` (region, q, value) the ``need`` lowest rows of ``index`` (region, first, value).
+def _block_rows(width: int) -> int:
+    return max(256, BLOCK_BYTES // width)
 
-    ``score`` gets the values of two blocks as arrays; scores over ``floor`` don't count.  A value has ``width`` bytes.
+
+def _spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of two tables with rows for every value, never by broadcast: Spark estimates exploded and compressed tables far too small."""
+    return left.join(right.hint("merge"), key, how)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, parts: list[tuple[np.ndarray, int, int]], need: int, score: Callable, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in x and y and scores of the ``need`` lowest scores of each row of x, none over ``floor``, ties to the smaller of y's ``ids``.
+
+    ``parts``: rows of x and the range of y that they meet, in order of ids.  A row's limit is the score of its last neighbour so far,
+    so that few pairs pass; what has passed is ranked whenever it would fill the lists twice.
+    """
+    ordered = len(parts) == 1  # then an equal score comes too late
+    under = np.less if ordered else np.less_equal
+    most = np.inf if floor is None else np.nextafter(floor, np.inf) if ordered else floor
+    limit, held, new = None, None, []
+
+    def merged() -> None:
+        nonlocal held, new
+        q, j, v = (np.concatenate(c) for c in zip(*([held] if held else []), *new, strict=True))
+        order = np.lexsort((ids[j], v, q))
+        q, j, v = q[order], j[order], v[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        limit[q[rank == need - 1]] = v[rank == need - 1]
+        held, new = [c[rank < need] for c in (q, j, v)], []
+
+    for rows, start, stop in parts:
+        own = x[rows]
+        for at in range(start, stop, STEP[1]):
+            value = score(own, y[at : min(stop, at + STEP[1])])
+            if limit is None:
+                limit = np.full(len(x), np.iinfo(value.dtype).max if value.dtype.kind == "u" else most, value.dtype)
+            q, j = np.divmod(np.flatnonzero(under(value, limit[rows][:, None])), value.shape[1])
+            if len(q) > 4 * need * len(rows):  # the first ones: what is over a row's last of so many isn't among them
+                last = np.partition(value, need - 1, axis=1)[:, need - 1]
+                q, j = (c[value[q, j] <= last[q]] for c in (q, j))
+            new.append((rows[q], at + j, value[q, j]))
+            if sum(len(c[0]) for c in new) > 2 * need * len(x):
+                merged()
+    merged()
+    return tuple(held)
+
+
+def _met(index: DataFrame, asked: DataFrame, need: int, block: Callable, score: Callable, floor: float | None, width: int, stats: dict | None) -> DataFrame:
+    """q, first, score: of each q of ``asked`` (region, mask, q, value) the ``need`` lowest rows of ``index`` (region, part, first, value).
+
+    A q meets those parts of a region whose bits its mask has.  ``block`` makes an array of a column, ``score`` gets two of them; scores
+    over ``floor`` don't count.  A value has ``width`` bytes.
     """
-    most = max(256, BLOCK_BYTES // width)
+    most = _block_rows(width)
     sizes = [{r["region"]: r["n"] for r in x.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()} for x in (asked, index)]  # a row a region
     spare = 4 * index.sparkSession.sparkContext.defaultParallelism
     cells = []
@@ -59,31 +112,27 @@ def _met(index: DataFrame, asked: DataFrame, need: int, score: Callable, floor:
         n, m = sizes[0][region], sizes[1][region]
         columns = -(-m // most)
         cells.append((region, max(-(-n // most), -(-min(spare, -(-n * m // TASK_PAIRS)) // columns)), columns))
-        if stats is not None:
-            stats["pairs"] = stats.get("pairs", 0) + n * m
+    if stats is not None:
+        each = index.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"))
+        stats["pairs"] = stats.get("pairs", 0) + (asked.join(each, "region").filter("shiftrightunsigned(mask, part) & 1 = 1").agg(F.sum("n")).first()[0] or 0)
     grid = F.broadcast(index.sparkSession.createDataFrame(cells, "region int, rows int, columns int"))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(grid, "region").withColumn("row", deal("q", "rows")).withColumn("column", every("columns")).select("region", "row", "column", "q", "value")
-    right = index.join(grid, "region").withColumn("column", deal("first", "columns")).withColumn("row", every("rows")).select("region", "row", "column", "first", "value")
+    left = asked.join(grid, "region").withColumn("row", deal("q", "rows")).withColumn("column", every("columns")).select("region", "row", "column", "q", "mask", "value")
+    right = index.join(grid, "region").withColumn("column", deal("first", "columns")).withColumn("row", every("rows")).select("region", "row", "column", "first", "part", "value")
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, own = left["q"].to_numpy(), right["first"].to_numpy()
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        step = max(1, 4_000_000 // max(1, len(own)))
-        for a in range(0, len(ids) if len(own) else 0, step):
-            value = score(left["value"].slice(a, step), right["value"]).astype(np.float64)
-            some = ids[a : a + step]
-            if floor is not None:
-                value[value > floor] = np.inf
-            # all that tie with the last, so that ids decide among them
-            last = np.partition(value, min(need, len(own)) - 1, axis=1)[:, [min(need, len(own)) - 1]]
-            q, j = np.nonzero((value <= last) & np.isfinite(value))
-            order = np.lexsort((own[j], value[q, j], q))
-            q, j = q[order], j[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
-            q, j = q[rank < need], j[rank < need]
-            found.append((some[q], own[j], value[q, j]))
+        if len(left) and len(right):
+            ids, mask, own, part = left["q"].to_numpy(), left["mask"].to_numpy(), right["first"].to_numpy(), right["part"].to_numpy()
+            order = np.lexsort((own, part))
+            own, part, x, y = own[order], part[order], block(left["value"]), block(right["value"])[order]
+            bits, starts = np.unique(part, return_index=True)
+            for a in range(0, len(ids), STEP[0]):
+                meets = [(np.flatnonzero(mask[a : a + STEP[0]] >> bit & 1), i, j) for bit, i, j in zip(bits, starts, [*starts[1:], len(part)], strict=True)]
+                if meets := [m for m in meets if len(m[0])]:
+                    q, j, value = _nearest(x[a : a + STEP[0]], y, own, meets, need, score, floor)
+                    found.append((ids[a + q], own[j], value.astype(np.float64)))
         query, candidate, best = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"q": query, "first": candidate, "score": best})
 
@@ -94,9 +143,9 @@ def _met(index: DataFrame, asked: DataFrame, need: int, score: Callable, floor:
 
 def _lists(queries: DataFrame, asked: DataFrame, held: DataFrame, near: DataFrame, need: int) -> DataFrame:
     """query, candidate, score, rank from near (q, first, score): values become their ids, the query itself is left out."""
-    each = near.join(held.select("first", "ids"), "first").select("q", "score", F.explode("ids").alias("first"))
+    each = _spread(near, held.select("first", "ids"), "first").select("q", "score", F.explode("ids").alias("first"))
     best = _best(each, need).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "first"))).alias("list"))
-    lists = asked.join(best, "q").select("value", "list")
+    lists = _spread(asked, best, "q").select("value", "list")
     own = salted_join(queries, lists, ["value"], F.col("id")).select(F.col("id").alias("query"), F.slice(F.filter("list", lambda x: x["first"] != F.col("id")), 1, need - 1).alias("list"))
     return own.select("query", F.posexplode("list").alias("rank", "x")).select("query", F.col("x.first").alias("candidate"), F.col("x.score").alias("score"), (F.col("rank") + 1).alias("rank"))
 
@@ -123,15 +172,15 @@ def _by_bands(held: DataFrame, asked: DataFrame, need: int, flips: int, stats: d
     for step in range(flips + 1):
         probes = left.select("q", F.col("value").alias("own"), _band_keys(bands, step).alias("key"))
         if not hot.isEmpty():
-            probes = probes.join(probes.join(hot, "key", "left_semi").select("q").distinct(), "q", "left_anti")
-        near = probes.join(keyed, "key").select("q", "first", "n_ids", hashing.hamming(F.col("own"), F.col("value")).cast("double").alias("score"))
+            probes = _spread(probes, probes.join(hot, "key", "left_semi").select("q").distinct(), "q", "left_anti")
+        near = _spread(probes, keyed, "key").select("q", "first", "n_ids", hashing.hamming(F.col("own"), F.col("value")).cast("double").alias("score"))
         if stats is not None:
             stats["pairs"] = stats.get("pairs", 0) + near.count()
         near = durable(_best(near.filter(F.col("score") < bands * (step + 1)).distinct(), need))
         settled = near.groupBy("q").agg(F.sum("n_ids").alias("n")).filter(F.col("n") >= need).select("q")
-        done = near.join(settled, "q", "left_semi").drop("n_ids")
+        done = _spread(near, settled, "q", "left_semi").drop("n_ids")
         found = done if found is None else found.unionByName(done)
-        left = durable(left.join(settled, "q", "left_anti"))
+        left = durable(_spread(left, settled, "q", "left_anti"))
         # where nothing is near, a wider radius isn't worth its lookups: the grid has what is left
         if left.isEmpty() or near.filter("score > 0").isEmpty():
             break
@@ -149,17 +198,15 @@ def hamming_top_k(index: DataFrame, queries: DataFrame, k: int, flips: int = 1,
     Ties go to the smaller id.  ``stats`` gets the number of pairs that were compared.
     """
 
-    def distances(a, b):
-        a, b = a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)
-        return np.bitwise_count(a[:, None] ^ b[None, :])
-
+    block = lambda column: column.to_numpy().view(np.uint64)
+    distances = lambda a, b: np.bitwise_count(a[:, None] ^ b[None, :])
     keep = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("value").cast("long").alias("value")).filter("value is not null")
     index, queries, need = keep(index), keep(queries), k + 1
     held, asked = durable(_collapsed(index, need)), _numbered(queries)
     near, left = _by_bands(held, asked, need, flips, stats)
     if not left.isEmpty():
-        one = F.lit(0).alias("region")
-        near = near.unionByName(_met(held.select(one, "first", "value"), left.select(one, "q", "value"), need, distances, None, 8, stats))
+        one, only = F.lit(0).alias("region"), F.lit(0).alias("part")
+        near = near.unionByName(_met(held.select(one, only, "first", "value"), left.select(one, F.lit(1).cast("long").alias("mask"), "q", "value"), need, block, distances, None, 8, stats))
     found = _lists(queries, asked, held, near, need)
     return found.select("query", "candidate", F.col("score").cast("int").alias("distance"), "rank")
 
@@ -175,6 +222,15 @@ class _Regions:
         self.pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
         self.n, self.angle, self.length = (np.zeros(len(pivots)) for _ in range(3))
 
+    def groups(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each region its group and its place there: in order, of up to ``most`` rows where no region has more."""
+        group, part, rows = np.zeros(len(self.n), int), np.zeros(len(self.n), int), 0
+        for r in range(1, len(self.n)):
+            rows += self.n[r - 1]
+            new = part[r - 1] + 1 >= GROUP_REGIONS or rows + self.n[r] > most
+            group[r], part[r], rows = group[r - 1] + new, 0 if new else part[r - 1] + 1, 0 if new else rows
+        return group, part
+
     def angles(self, x: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(x @ self.pivots.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), -1, 1))
 
@@ -209,7 +265,7 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int, floor: float, sta
     width = 4 * max(1, regions.pivots.shape[1])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, VISIT_ROWS) for whole in batches for a in range(0, whole.num_rows, VISIT_ROWS)):
             x = _matrix(batch["value"])
             angles = regions.angles(x)
             at = angles.argmin(axis=1)
@@ -219,23 +275,31 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int, floor: float, sta
     placed = durable(held.select("first", "value").mapInArrow(place, f"region int, angle double, length double, first long, value {kind}"))
     for r in placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.max("length").alias("length")).collect():  # at most PIVOTS rows
         regions.n[r["region"]], regions.angle[r["region"]], regions.length[r["region"]] = r["n"], r["angle"], r["length"]
+    group, part = regions.groups(_block_rows(width))
+    places = F.broadcast(index.sparkSession.createDataFrame([(r, int(g), int(b)) for r, (g, b) in enumerate(zip(group, part, strict=True))], "own int, region int, part int"))
+    grouped = placed.select(F.col("region").alias("own"), "first", "value").join(places, "own").select("region", "part", "first", "value")
+    starts, bits = np.flatnonzero(np.diff(group, prepend=-1)), np.int64(1) << part
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch["value"])
-            go = regions.first(x, need)
-            if "least" in batch.schema.names:
-                go = regions.possible(x, batch["least"].to_numpy(zero_copy_only=False)) & ~go
-            q, region = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), batch["q"].take(pa.array(q)), batch["value"].take(pa.array(q))], names=["region", "q", "value"])
-
-    schema = f"region int, q long, value {kind}"
-    negative = lambda a, b: -(_matrix(a) @ _matrix(b).T)
-    met = lambda rows: _met(placed.select("region", "first", "value"), durable(rows.mapInArrow(visits, schema)), need, negative, -floor, width, stats)
+        # a value goes to a group of regions once, with a bit for each region that it asks there
+        for whole in batches:
+            for a in range(0, whole.num_rows, VISIT_ROWS):
+                batch = whole.slice(a, VISIT_ROWS)
+                x = _matrix(batch["value"])
+                go = regions.first(x, need)
+                if "least" in batch.schema.names:
+                    go = regions.possible(x, batch["least"].to_numpy(zero_copy_only=False)) & ~go
+                mask = np.bitwise_or.reduceat(np.where(go, bits, 0), starts, axis=1)
+                q, to = np.nonzero(mask)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(mask[q, to]), batch["q"].take(pa.array(q)), batch["value"].take(pa.array(q))], names=["region", "mask", "q", "value"])
+
+    schema = f"region int, mask long, q long, value {kind}"
+    negative = lambda a, b: -(a @ b.T)
+    met = lambda rows: _met(grouped, durable(rows.mapInArrow(visits, schema)), need, _matrix, negative, -floor, width, stats)
     near = durable(met(asked.select("q", "value")))
     if n_pivots > 1:
         last = near.groupBy("q").agg(F.when(F.count(F.lit(1)) >= need, -F.max("score")).otherwise(floor).alias("least"))
-        further = asked.join(last, "q", "left").select("q", "value", F.coalesce("least", F.lit(float(floor))).alias("least"))
+        further = _spread(asked, last, "q", "left").select("q", "value", F.coalesce("least", F.lit(float(floor))).alias("least"))
         near = near.unionByName(met(further))
     found = _lists(queries, asked, held, near, need)
     return found.select("query", "candidate", (-F.col("score")).alias("similarity"), "rank")
