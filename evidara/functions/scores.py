@@ -61,3 +61,11 @@ def blended_video_score(frames: Column) -> Column:
     mean = F.aggregate(frames, F.lit(0.0), lambda a, x: a + x) / n
     spread = F.sqrt(F.aggregate(frames, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
     return F.when(n > 0, 0.7 * mean + 0.3 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 4 * spread)))
+
+
+def plain_text(score: Column) -> Column:
+    """A score of up to 15 digits as text, 0.000123 rather than Spark's 1.23E-4; under 0.0001 as 1.2e-05."""
+    text, size = score.cast("string"), F.abs(score)
+    small = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E-(\d)$", "e-0$2"), r"(\.0)?E-", "e-")
+    fixed = F.regexp_replace(score.cast("decimal(38,20)").cast("string"), "0+$", "")
+    return F.when(size.between(1e-4, 1e-3), fixed).when((size > 0) & (size < 1e-4), small).otherwise(text)

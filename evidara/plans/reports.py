@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.functions import files
+from evidara.functions import files, scores
 from evidara.operators import chain, evaluation, latest, listing, reports
 from evidara.plans.cases import _LOG_SQL, EVENT_KINDS, _log
 from evidara.plans.graphs import _M, _N, _matches, _nodes
@@ -121,12 +121,12 @@ def chain_heads(spark: SparkSession, d: str) -> DataFrame:
 def modality_auc(spark: SparkSession, d: str) -> DataFrame:
     """Area under the ROC curve per modality; a modality of one class has none."""
     rows = _scored(spark, d)
-    return evaluation.auc(rows, "modality").select("modality", F.round("auc", 9).cast("string").alias("auc"))
+    return evaluation.auc(rows, "modality").select("modality", scores.plain_text(F.round("auc", 9)).alias("auc"))
 
 
 def modality_eer(spark: SparkSession, d: str) -> DataFrame:
     """Equal error rate per modality; a modality of one class has none."""
-    return evaluation.eer(_scored(spark, d), by="modality").select("modality", F.round("eer_gap", 9).cast("string").alias("eer_gap"), F.round("eer", 9).cast("string").alias("eer"))
+    return evaluation.eer(_scored(spark, d), by="modality").select("modality", scores.plain_text(F.round("eer_gap", 9)).alias("eer_gap"), scores.plain_text(F.round("eer", 9)).alias("eer"))
 
 
 QUERIES = {
