@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from evidara.functions.files import row_hash
 from evidara.operators.skew import salted_join
+from evidara.sources.tables import durable
 
 GENESIS = "0" * 64
 #: Rows of a range whose order is settled in one task.
@@ -61,27 +64,30 @@ def forks(log: DataFrame, seq: str = "seq") -> DataFrame:
     return salted_join(log, shared, ["previous_hash"], F.col(seq))
 
 
-def _folded(rows: pd.DataFrame) -> pd.DataFrame:
-    """previous_hash and row_hash of rows in order, from the hash that precedes the first one on."""
-    rows = rows.sort_values("seq")
-    previous, links = rows["start"].iloc[0], []
-    for text in rows["content"]:
-        links.append((previous, previous := hashlib.sha256((previous + text).encode()).hexdigest()))
-    return pd.DataFrame({"chain": rows["chain"], "seq": rows["seq"], "previous_hash": [a for a, _ in links], "row_hash": [b for _, b in links]})
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """previous_hash and row_hash of rows in order of chain and place; a chain goes on in the next batch."""
+    last, link = None, ""
+    for batch in batches:
+        links = []
+        for chain, start, text in zip(*(batch[c].to_pylist() for c in ("_chain", "_start_hash", "_text")), strict=True):
+            if (chain,) != last:
+                last, link = (chain,), start
+            links.append((link, link := hashlib.sha256((link + text).encode()).hexdigest()))
+        kept = {c: batch[c] for c in batch.schema.names if c not in ("_chain", "_start_hash", "_text")}
+        yield pa.RecordBatch.from_pydict(kept | {"previous_hash": pa.array([a for a, _ in links], pa.string()), "row_hash": pa.array([b for _, b in links], pa.string())})
 
 
 def relink(log: DataFrame, content: str = "content", seq: str = "seq", chain: str | None = None, start: str | None = None) -> DataFrame:
     """The log with previous_hash and row_hash computed anew.
 
-    A chain is a fold and has one order, so each chain runs as one group; only seq and the content's text go there.
-    ``start`` names a column with the hash before a chain's first row here; without it the chain begins.
+    A chain is a fold and has one order, so each chain runs in one task, many chains one after the other; rows pass in their
+    order and none are gathered.  ``start`` names a column with the hash before a chain's first row here; without it the
+    chain begins.
     """
-    lean = log.select((F.col(chain) if chain else F.lit(0)).cast("string").alias("chain"), F.col(seq).alias("seq"), F.col(content).alias("content"), (F.col(start) if start else F.lit(GENESIS)).alias("start"))
-    anew = lean.groupBy("chain").applyInPandas(_folded, "chain string, seq long, previous_hash string, row_hash string")
-    keys = [chain, seq] if chain else [seq]
-    anew = anew.withColumnRenamed("seq", seq)
-    anew = anew.withColumn(chain, F.col("chain").cast(log.schema[chain].dataType)) if chain else anew
-    return log.drop("previous_hash", "row_hash").join(anew.select(*keys, "previous_hash", "row_hash"), keys)
+    bare = log.drop("previous_hash", "row_hash")
+    helped = bare.select("*", (F.col(chain) if chain else F.lit(0)).cast("string").alias("_chain"), (F.col(start) if start else F.lit(GENESIS)).alias("_start_hash"), F.col(content).alias("_text"))
+    hashes = [StructField(c, StringType()) for c in ("previous_hash", "row_hash")]
+    return helped.repartition("_chain").sortWithinPartitions("_chain", seq).mapInArrow(_folded, StructType([*bare.schema.fields, *hashes]))
 
 
 def diagnosis(log: DataFrame, chain: str, content: str = "content", seq: str = "seq") -> DataFrame:
@@ -102,9 +108,10 @@ def repair(log: DataFrame, chain: str, content: str = "content", seq: str = "seq
 
     A dry run leaves the log as it is.  Rows before a break, clean and refused chains are not touched.
     """
-    found = diagnosis(log, chain, content, seq)
     if dry_run:
-        return log, found
+        return log, diagnosis(log, chain, content, seq)
+    log = durable(log)  # read six times below
+    found = durable(diagnosis(log, chain, content, seq))
     broken = found.filter("status = 'repairable'").select(chain, "first_break", "n_to_relink")
     marked = log.join(broken, chain, "left")
     kept = marked.filter(F.col("first_break").isNull() | (F.col(seq) < F.col("first_break"))).select(*log.columns)

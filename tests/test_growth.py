@@ -3,8 +3,9 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from evidara.operators import neighbours
+from evidara.operators import chain, neighbours
 
 
 def test_searches_broadcast_no_table_of_values(spark, monkeypatch):
@@ -22,3 +23,33 @@ def test_searches_broadcast_no_table_of_values(spark, monkeypatch):
     told(neighbours.cosine_top_k(df, df, 3, 0.0))
     assert any("SortMergeJoin" in p for p in plans)
     assert not [m for p in plans for m in re.findall(r"BroadcastHashJoin \[(?:key|q|first)#\S*", p)]
+
+
+def test_a_repair_computes_its_log_once(spark):
+    """What the log is made from is read once, not once for each part of the repair."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(c, i, f"text {c} {i}") for c in "ab" for i in range(200)], "c string, seq long, content string")
+    log = chain.relink(rows, chain="c").withColumn("previous_hash", F.when(F.col("seq") == 150, "0").otherwise(F.col("previous_hash")))
+    log = log.withColumn("row_hash", F.sha2(F.concat("previous_hash", "content"), 256)).mapInArrow(counted, log.schema)
+    repaired, found = chain.repair(log, "c", dry_run=False)
+    checked = chain.link_check(repaired, chain="c")
+    assert checked.filter("link_ok and content_ok").count() == repaired.count() == 402
+    assert [r.status for r in found.collect()] == ["repairable"] * 2 and seen.value == 400
+
+
+def test_a_chain_goes_on_from_batch_to_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(c, i, f"{c}{i}", "f" * 64) for c in ("a", "b", None) for i in range(20)], "c string, seq long, content string, start string")
+        for start, first in ((None, chain.GENESIS), ("start", "f" * 64)):
+            got = {(r.c, r.seq): r for r in chain.relink(rows, chain="c", start=start).collect()}
+            assert len(got) == 60 and all(got[c, 0].previous_hash == first for c in ("a", "b", None))
+            assert all(got[c, i].previous_hash == got[c, i - 1].row_hash for c in ("a", "b", None) for i in range(1, 20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
