@@ -26,7 +26,9 @@ def bits_to_hash(bits: Column) -> Column:
 def mean_hash(vector: Column) -> Column:
     """Average hash of 64 values: which lie above their mean (summed as doubles)."""
     mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(vector)
-    return F.conv(F.array_join(F.transform(vector, lambda x: F.when(x.cast("double") > mean, "1").otherwise("0")), ""), 2, -10).cast("bigint")
+    # the mean is bound to a name, else it is summed again for every value
+    bits = F.transform(F.array(mean), lambda m: F.array_join(F.transform(vector, lambda x: F.when(x.cast("double") > m, "1").otherwise("0")), ""))
+    return F.conv(F.get(bits, F.lit(0)), 2, -10).cast("bigint")
 
 
 def gradient_hash(vector: Column) -> Column:

@@ -37,9 +37,10 @@ PAYLOADS = {
 
 def facts(stored_files: DataFrame) -> DataFrame:
     """What is read from the bytes of files (path, content) where they lie, so that bytes never leave their task: path, recomputed
-    (digest), tags, xmp, icc, has_manifest and declared."""
+    (digest), tags, xmp, icc, has_manifest and declared (NULL without a manifest: only then the whole text is searched)."""
     content = F.col("content")
-    return stored_files.select("path", F.sha2(content, 256).alias("recomputed"), containers.exif_tags(content).alias("tags"), profiles.xmp(content).alias("xmp"), profiles.icc(content).alias("icc"), containers.credentials(content).alias("has_manifest"), containers.declared_details(content).alias("declared"))
+    read = stored_files.select("path", "content", F.sha2(content, 256).alias("recomputed"), containers.exif_tags(content).alias("tags"), profiles.xmp(content).alias("xmp"), profiles.icc(content).alias("icc"), containers.credentials(content).alias("has_manifest"))
+    return read.withColumn("declared", F.when(F.col("has_manifest"), containers.declared_details(content))).drop("content")
 
 
 def gate(evidence: DataFrame, read: DataFrame) -> DataFrame:
@@ -108,7 +109,9 @@ def search(items: DataFrame, index: DataFrame, top_k: int, most: int = hashing.P
     # ids are texts: numbers stand for them in the search
     numbered = durable(own.select("id").unionByName(index.select("id")).distinct().select("id", F.monotonically_increasing_id().alias("n")))
     number = lambda df: value(df).join(numbered, "id").select(F.col("n").alias("id"), "value")
-    near = neighbours.hamming_top_k(number(index), number(own), POOL).select("query", "candidate")
+    # only a second hash can bring in what is further off by the first
+    reach = most if own.filter("dhash is not null or ahash is not null").isEmpty() else None
+    near = neighbours.hamming_top_k(number(index), number(own), POOL, most=reach).select("query", "candidate")
     query, candidate = numbered.toDF("query_id", "query"), numbered.toDF("candidate_id", "candidate")
     pool = near.join(query, "query").join(candidate, "candidate").select("query_id", "candidate_id")
     # of very many copies only the smallest ids can rank, as all of them tie
@@ -132,7 +135,9 @@ def signals_of(items: DataFrame, results: DataFrame, matches: DataFrame) -> Data
     newest = results.groupBy("evidence_id").pivot("kind", list(PAYLOADS)).agg(F.first(F.struct("status", "score", "payload")))
     best = matches.groupBy(F.col("query_id").alias("evidence_id")).agg(F.count(F.lit(1)).alias("n_candidates"), F.bool_or("same_bytes").alias("same_bytes"), F.min("distance").alias("near"))
     base = items.select(F.col("id").alias("evidence_id"), "media_type", F.col("phash").isNotNull().alias("hashed")).join(newest, "evidence_id", "left").join(best, "evidence_id", "left")
-    payload = {kind: F.from_json(F.col(f"{kind}.payload"), ddl) for kind, ddl in PAYLOADS.items()}
+    # parsed once an item, in a step of its own: the fields are named in many places below
+    base = base.select("*", *[F.from_json(F.col(f"{kind}.payload"), ddl).alias(f"_{kind}") for kind, ddl in PAYLOADS.items()])
+    payload = {kind: F.col(f"_{kind}") for kind in PAYLOADS}
     meta, origin = payload[METADATA], payload[PROVENANCE]
     ai = fusion.ai_detection({"score": F.col("detector.score"), "status": F.col("detector.status"), "abstained": payload[DETECTOR]["abstained"]})
     near = fusion.perceptual(F.when(F.col("hashed"), F.coalesce("n_candidates", F.lit(0))), F.coalesce("same_bytes", F.lit(False)), F.col("near"))

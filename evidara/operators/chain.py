@@ -6,9 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evidara.functions.files import row_hash
 from evidara.operators.skew import salted_join
@@ -18,6 +18,8 @@ GENESIS = "0" * 64
 #: Rows of a range whose order is settled in one task.
 RANGE_ROWS = 200_000
 MOST_RANGES = 2000
+#: Tasks of a core that chains are dealt to.
+CHAIN_TASKS = 4
 
 
 def with_previous(log: DataFrame, seq: str, columns: list[str], chain: str | None = None) -> DataFrame:
@@ -65,16 +67,17 @@ def forks(log: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """previous_hash and row_hash of rows in order of chain and place; a chain goes on in the next batch."""
-    last, link = None, ""
+    """previous_hash, row_hash and _place (1, 2, 3...) of rows in order of chain and place; a chain goes on in the next batch."""
+    last, link, place = None, "", 0
     for batch in batches:
         links = []
         for chain, start, text in zip(*(batch[c].to_pylist() for c in ("_chain", "_start_hash", "_text")), strict=True):
             if (chain,) != last:
-                last, link = (chain,), start
-            links.append((link, link := hashlib.sha256((link + text).encode()).hexdigest()))
+                last, link, place = (chain,), start, 0
+            links.append((link, link := hashlib.sha256((link + text).encode()).hexdigest(), place := place + 1))
         kept = {c: batch[c] for c in batch.schema.names if c not in ("_chain", "_start_hash", "_text")}
-        yield pa.RecordBatch.from_pydict(kept | {"previous_hash": pa.array([a for a, _ in links], pa.string()), "row_hash": pa.array([b for _, b in links], pa.string())})
+        before, own, places = zip(*links, strict=True) if links else ((), (), ())
+        yield pa.RecordBatch.from_pydict(kept | {"previous_hash": pa.array(before, pa.string()), "row_hash": pa.array(own, pa.string()), "_place": pa.array(places, pa.int64())})
 
 
 def relink(log: DataFrame, content: str = "content", seq: str = "seq", chain: str | None = None, start: str | None = None) -> DataFrame:
@@ -85,9 +88,21 @@ def relink(log: DataFrame, content: str = "content", seq: str = "seq", chain: st
     chain begins.
     """
     bare = log.drop("previous_hash", "row_hash")
-    helped = bare.select("*", (F.col(chain) if chain else F.lit(0)).cast("string").alias("_chain"), (F.col(start) if start else F.lit(GENESIS)).alias("_start_hash"), F.col(content).alias("_text"))
-    hashes = [StructField(c, StringType()) for c in ("previous_hash", "row_hash")]
-    return helped.repartition("_chain").sortWithinPartitions("_chain", seq).mapInArrow(_folded, StructType([*bare.schema.fields, *hashes]))
+    return numbered(bare, F.col(content), [seq], F.col(chain) if chain else F.lit(0), F.col(start) if start else F.lit(GENESIS)).drop("_place")
+
+
+def numbered(rows: DataFrame, text: Column, order: list[str], chain: Column, start: Column, kept: list[str] | None = None) -> DataFrame:
+    """rows (of them ``kept``) with previous_hash, row_hash and _place, their number in their chain's ``order``, in one sort.
+
+    ``text`` is made where the rows lie, before they go to their chain's task.  The number of tasks is given, so that small
+    partitions aren't put together: a task would get several chains while others have none.
+    """
+    helped = rows.select("*", chain.cast("string").alias("_chain"), start.alias("_start_hash"), text.alias("_text"))
+    new = [StructField("previous_hash", StringType()), StructField("row_hash", StringType()), StructField("_place", LongType())]
+    tasks = CHAIN_TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    kept = kept or rows.columns
+    ordered = helped.repartition(tasks, "_chain").sortWithinPartitions("_chain", *order).select(*kept, "_chain", "_start_hash", "_text")
+    return ordered.mapInArrow(_folded, StructType([*rows.select(*kept).schema.fields, *new]))
 
 
 def diagnosis(log: DataFrame, chain: str, content: str = "content", seq: str = "seq") -> DataFrame:

@@ -70,6 +70,7 @@ def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, parts: list[tuple[np
     ordered = len(parts) == 1  # then an equal score comes too late
     under = np.less if ordered else np.less_equal
     most = np.inf if floor is None else np.nextafter(floor, np.inf) if ordered else floor
+    whole = None if floor is None else int(floor) + ordered  # the same for scores that are whole numbers
     limit, held, new = None, None, []
 
     def merged() -> None:
@@ -86,7 +87,7 @@ def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, parts: list[tuple[np
         for at in range(start, stop, STEP[1]):
             value = score(own, y[at : min(stop, at + STEP[1])])
             if limit is None:
-                limit = np.full(len(x), np.iinfo(value.dtype).max if value.dtype.kind == "u" else most, value.dtype)
+                limit = np.full(len(x), most if value.dtype.kind != "u" else np.iinfo(value.dtype).max if whole is None else whole, value.dtype)
             q, j = np.divmod(np.flatnonzero(under(value, limit[rows][:, None])), value.shape[1])
             if len(q) > 4 * need * len(rows):  # the first ones: what is over a row's last of so many isn't among them
                 last = np.partition(value, need - 1, axis=1)[:, need - 1]
@@ -192,10 +193,11 @@ def _numbered(queries: DataFrame) -> DataFrame:
     return durable(queries.select("value").distinct().select(F.monotonically_increasing_id().alias("q"), "value"))
 
 
-def hamming_top_k(index: DataFrame, queries: DataFrame, k: int, flips: int = 1, stats: dict | None = None) -> DataFrame:
+def hamming_top_k(index: DataFrame, queries: DataFrame, k: int, flips: int = 1, stats: dict | None = None, most: int | None = None) -> DataFrame:
     """query, candidate, distance, rank over (id, value) tables of 64-bit hashes; NULL hashes take no part.
 
-    Ties go to the smaller id.  ``stats`` gets the number of pairs that were compared.
+    Ties go to the smaller id.  ``stats`` gets the number of pairs that were compared.  Distances over ``most`` don't count, so
+    that the grid keeps no pair of hashes that are further apart.
     """
 
     block = lambda column: column.to_numpy().view(np.uint64)
@@ -206,7 +208,9 @@ def hamming_top_k(index: DataFrame, queries: DataFrame, k: int, flips: int = 1,
     near, left = _by_bands(held, asked, need, flips, stats)
     if not left.isEmpty():
         one, only = F.lit(0).alias("region"), F.lit(0).alias("part")
-        near = near.unionByName(_met(held.select(one, only, "first", "value"), left.select(one, F.lit(1).cast("long").alias("mask"), "q", "value"), need, block, distances, None, 8, stats))
+        near = near.unionByName(_met(held.select(one, only, "first", "value"), left.select(one, F.lit(1).cast("long").alias("mask"), "q", "value"), need, block, distances, most, 8, stats))
+    if most is not None:
+        near = near.filter(F.col("score") <= most)
     found = _lists(queries, asked, held, near, need)
     return found.select("query", "candidate", F.col("score").cast("int").alias("distance"), "rank")
 

@@ -197,14 +197,16 @@ def case_analysis(spark: SparkSession, d: str) -> DataFrame:
     candidates and what the first of them rests on.
     """
     hashed = _hashes(spark, d).select(F.col("id").alias("doc_id"), hashing.hash_to_hex(F.col("value")).alias("phash"))
-    docs = table(spark, d, "documents").select("doc_id", "source", F.col("text").cast("binary").alias("content")).join(hashed, "doc_id", "left")
     name, none = F.col("doc_id").cast("string"), F.lit(None).cast("string")
-    files_ = docs.select(name.alias("id"), F.col("source").alias("case_id"), name.alias("path"), name.alias("filename"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("length"), F.lit("image/png").alias("mime"), F.lit("image").alias("media_type"), "phash", none.alias("dhash"), none.alias("ahash"), "content")
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("case_id"), name.alias("path"), F.col("text").cast("binary").alias("content"))
+    # digests and lengths join the hashes, bytes don't
+    known = docs.select("doc_id", "case_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("length")).join(hashed, "doc_id", "left")
+    files_ = known.select(F.col("path").alias("id"), "case_id", "path", F.col("path").alias("filename"), "sha256", "length", F.lit("image/png").alias("mime"), F.lit("image").alias("media_type"), "phash", none.alias("dhash"), none.alias("ahash"))
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-    intake.take_in(store, files_.drop("content"), "intake", "query", NOW)
+    intake.take_in(store, files_, "intake", "query", NOW)
     said = table(spark, d, "labels").filter("toxic is not null").select(F.col("doc_id").cast("string").alias("evidence_id"), F.when(F.col("toxic") == 1, 0.9).otherwise(0.1).alias("score"), F.lit("OK").alias("status"), F.lit(False).alias("abstained"))
     decoded = spark.createDataFrame([], "origin string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
-    casework.analyse(store, files_.select("case_id").distinct(), files_.select("path", "content"), decoded, "run", "query", NOW, said)
+    casework.analyse(store, docs.select("case_id").distinct(), docs.select("path", "content"), decoded, "run", "query", NOW, said)
     results = store.read("analysis_results", schema.ANALYSIS)
     stages = results.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n_stages"), F.max(F.when(F.col("kind") == casework.FUSION, F.col("verdict"))).alias("verdict"))
     best = store.read("matches", schema.MATCHES).groupBy(F.col("query_evidence_id").alias("evidence_id")).agg(F.count(F.lit(1)).alias("n_candidates"), F.min_by("method", "rank").alias("basis"))
